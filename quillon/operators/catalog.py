@@ -104,10 +104,9 @@ def rank_tables(catalog_df: DataFrame, texts: DataFrame, id_col: str, text_col:
     hits = (texts.select(id_col, F.explode(words(F.col(text_col))).alias("piece"))
             .join(weights, "piece").select(id_col, "table", F.col("weight").alias("points")))
     bonus = sum((F.when(F.lower("table").contains(w), BUSINESS_POINTS).otherwise(0) for w in BUSINESS_WORDS), F.lit(0))
-    business = catalog_df.groupBy().agg(F.collect_set("table").alias("tables")).select(
-        F.filter("tables", lambda t: F.lit(True)).alias("tables")).scalar()
-    extra = (texts.select(id_col, F.explode(business).alias("table"))
-             .select(id_col, "table", bonus.cast("bigint").alias("points")).where("points > 0"))
+    business = (catalog_df.select("table", bonus.cast("bigint").alias("points")).distinct().where("points > 0")
+                .agg(F.collect_list(F.struct("table", "points")).alias("tables")))
+    extra = texts.select(id_col, F.inline(business.scalar()))
     scores = hits.unionByName(extra).groupBy(id_col, "table").agg(F.sum("points").alias("score"))
     order = Window.partitionBy(id_col).orderBy(F.desc("score"), "table")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
