@@ -58,7 +58,7 @@ def format_measure(col: Column, name: str, type_name: str) -> Column:
         shown = F.format_number(F.abs(col), 2)
         return F.when(col < 0, F.concat(F.lit("-$"), shown)).when(col.isNotNull(), F.concat(F.lit("$"), shown))
     if kind == "percentage":
-        return F.concat(F.format_number(col * 100, "0.00"), F.lit("%"))
+        return F.when(col.isNotNull(), F.format_string("%.2f%%", col.cast("double") * 100))
     if kind == "date":
         return F.date_format(col, "MM/dd/yyyy")
     if kind == "whole_number":

@@ -23,12 +23,15 @@ def money(col: Column) -> Column:
 # The four kinds of secret and the mark that replaces their value.
 SECRET_NAMES = ("api[_-]?key", "password", "token", "secret")
 REDACTED = "***REDACTED***"
+# White space of any script, as a character class body.
+SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 
 
 def redact(col: Column) -> Column:
     """Mask the value after a secret's name, whatever the case; the name stays."""
     for name in SECRET_NAMES:
-        col = F.regexp_replace(col, rf'(?i)({name}["\s]*[:=]["\s]*)[^\s"]+', f"$1{REDACTED}")
+        around = f'["{SPACE}]*'
+        col = F.regexp_replace(col, f'(?iu)({name}{around}[:=]{around})[^{SPACE}"]+', f"$1{REDACTED}")
     return col
 
 

@@ -44,6 +44,20 @@ def schema_diff(old_catalog: DataFrame, new_catalog: DataFrame, nullable: bool =
     ).distinct()
 
 
+def catalog_sets(old_catalog: DataFrame, new_catalog: DataFrame) -> DataFrame:
+    """All rows with ``membership``: columns only in the old, only in the new, or in both catalogs.
+
+    Rows of columns in both come from the new catalog.
+    """
+    key = ["table", "column"]
+    common = old_catalog.select(*key).intersect(new_catalog.select(*key))
+    return (
+        old_catalog.join(new_catalog.select(*key), key, "left_anti").withColumn("membership", F.lit("only_old"))
+        .unionByName(new_catalog.join(old_catalog.select(*key), key, "left_anti")
+                     .withColumn("membership", F.lit("only_new")))
+        .unionByName(new_catalog.join(common, key, "left_semi").withColumn("membership", F.lit("both"))))
+
+
 def save_snapshot(catalog_df: DataFrame, path: str, source: str) -> None:
     """Append the catalog of a source with the time it was taken."""
     (catalog_df.withColumns({"source": F.lit(source), "taken_at": F.current_timestamp()})

@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quillon.functions import names as N
 from quillon.operators.catalog import local_frame
-from quillon.operators.profile import frequencies
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+from quillon.operators.profile import key_frequencies
 
 
 def detect_keys(catalog_df: DataFrame, legacy: bool = False, fk_suffixes=("_id", "key")) -> DataFrame:
@@ -36,17 +32,14 @@ def suggest_fields(catalog_df: DataFrame, legacy: bool = False) -> DataFrame:
 
 
 def key_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """Rows, missing, distinct values and the largest group of single columns, one scan per table."""
-    frames = []
-    for table, names in columns.items():
-        counts = frequencies(tables[table], names).groupBy("column").agg(
-            F.sum("rows").alias("row_count"),
-            F.sum(F.when(F.col("key").isNull(), F.col("rows")).otherwise(0)).alias("null_count"),
-            F.count("key").alias("unique_count"),
-            F.max(F.when(F.col("key").isNotNull(), F.col("rows"))).alias("largest_group"))
-        frames.append(counts.select(F.lit(table).alias("table"), "*"))
+    """Rows, missing, distinct values and the largest group of single columns."""
     unique = (F.col("row_count") == F.col("unique_count")) & (F.col("null_count") == 0)
-    return _union(frames).withColumn("is_unique", unique)
+    return key_frequencies(tables, columns).groupBy("table", "column").agg(
+        F.sum("rows").alias("row_count"),
+        F.sum(F.when(F.col("key").isNull(), F.col("rows")).otherwise(0)).alias("null_count"),
+        F.count("key").alias("unique_count"),
+        F.max(F.when(F.col("key").isNotNull(), F.col("rows"))).alias("largest_group"),
+    ).withColumn("is_unique", unique)
 
 
 def verify_primary_key(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,18 +89,22 @@ def classify_tables(catalog_df: DataFrame, keys_df: DataFrame, own_keys: DataFra
 
 
 def infer_relationships(catalog_df: DataFrame, tables_df: DataFrame, star_only: bool = True,
-                        strip_prefix: bool = False) -> DataFrame:
+                        strip_prefix: bool = False, own_keys: DataFrame | None = None) -> DataFrame:
     """Edges ``(from_table, from_column, to_table, to_column, cardinality)`` by name.
 
     A column refers to a dimension when it is called like the dimension's key,
     ``<table>_<key>`` or ``<table>id``; the first such column counts. ``strip_prefix``
     compares names without a leading one- or two-letter table prefix. Without
-    ``star_only`` every table may refer to every other one.
+    ``star_only`` every table may refer to every other one. With ``own_keys`` (proven
+    unique columns) only tables whose key is among them are referred to.
     """
     def bare(col):
         return F.regexp_replace(F.lower(col), "^[a-z]{1,2}_", "") if strip_prefix else F.lower(col)
 
     targets = tables_df.where("primary_key IS NOT NULL")
+    if own_keys is not None:
+        proven = own_keys.select("table", F.col("column").alias("primary_key"))
+        targets = targets.join(proven, ["table", "primary_key"], "left_semi")
     sources = tables_df
     if star_only:
         targets, sources = targets.where("kind = 'dimension'"), sources.where("kind = 'fact'")
@@ -143,26 +140,33 @@ def edge_list(edges_df: DataFrame) -> list[dict]:
     return [row.asDict() for row in edges_df.select(*EDGE_FIELDS).collect()]
 
 
-def cardinality(tables: dict[str, DataFrame], edges: list[dict]) -> DataFrame:
-    """The edges with the largest group on either side, their cardinality and filter direction."""
+def _edge_columns(edges: list[dict]) -> dict[str, list[str]]:
     columns: dict[str, list[str]] = {}
     for e in edges:
         for end in ("from", "to"):
             names = columns.setdefault(e[f"{end}_table"], [])
             if e[f"{end}_column"] not in names:
                 names.append(e[f"{end}_column"])
-    keys = key_profile(tables, columns).select("table", "column", "largest_group")
+    return columns
+
+
+def _edge_frame(tables: dict[str, DataFrame], edges: list[dict]) -> DataFrame:
+    spark = next(iter(tables.values())).sparkSession
+    return local_frame(spark, [tuple(e[f] for f in EDGE_FIELDS) for e in edges], EDGE_SCHEMA)
+
+
+def cardinality(tables: dict[str, DataFrame], edges: list[dict]) -> DataFrame:
+    """The edges with the largest group on either side, their cardinality and filter direction."""
+    keys = key_profile(tables, _edge_columns(edges)).select("table", "column", "largest_group")
 
     def side(end: str) -> DataFrame:
         return keys.select(F.col("table").alias(f"{end}_table"), F.col("column").alias(f"{end}_column"),
                            F.col("largest_group").alias(f"{end}_largest"))
 
-    spark = next(iter(tables.values())).sparkSession
-    frame = local_frame(spark, [tuple(e[f] for f in EDGE_FIELDS) for e in edges], EDGE_SCHEMA)
     many_from, many_to = F.coalesce("from_largest", F.lit(0)) > 1, F.coalesce("to_largest", F.lit(0)) > 1
     kind = (F.when(many_from & many_to, "many_to_many").when(many_from, "many_to_one")
             .when(many_to, "one_to_many").otherwise("one_to_one"))
-    return (frame.join(side("from"), ["from_table", "from_column"], "left")
+    return (_edge_frame(tables, edges).join(side("from"), ["from_table", "from_column"], "left")
             .join(side("to"), ["to_table", "to_column"], "left")
             .select(*EDGE_FIELDS, "from_largest", "to_largest", kind.alias("cardinality"),
                     F.lit("single").alias("filter_direction")))
@@ -184,18 +188,22 @@ def fk_matched(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFra
 
 
 def inclusion(tables: dict[str, DataFrame], edges: list[dict]) -> DataFrame:
-    """The edges with the rows on the ``from`` side that have, or lack, a partner."""
-    frames = []
-    for e in edges:
-        child = tables[e["from_table"]].select(F.col(e["from_column"]).alias("key")).where("key IS NOT NULL")
-        parent = tables[e["to_table"]].select(F.col(e["to_column"]).alias("key")).where("key IS NOT NULL")
-        counted = child.groupBy("key").agg(F.count("*").alias("rows"))
-        both = counted.join(parent.groupBy("key").agg(F.lit(True).alias("found")), "key", "left")
-        frames.append(both.agg(
-            F.coalesce(F.sum(F.when(F.col("found"), F.col("rows"))), F.lit(0)).alias("matched_rows"),
-            F.coalesce(F.sum(F.when(F.col("found").isNull(), F.col("rows"))), F.lit(0)).alias("orphan_rows"),
-        ).select(*[F.lit(e[f]).alias(f) for f in EDGE_FIELDS], "matched_rows", "orphan_rows"))
-    return _union(frames)
+    """The edges with the rows on the ``from`` side that have, or lack, a partner.
+
+    Both sides of all edges are counted per key first and meet in one join of distinct keys.
+    """
+    keys = key_frequencies(tables, _edge_columns(edges)).where("key IS NOT NULL")
+    frame = _edge_frame(tables, edges)
+
+    def side(end: str) -> DataFrame:
+        named = keys.withColumnsRenamed({"table": f"{end}_table", "column": f"{end}_column"})
+        return frame.join(named, [f"{end}_table", f"{end}_column"])
+
+    partners = side("to").select(*EDGE_FIELDS, "key", F.lit(True).alias("found"))
+    both = side("from").join(partners, [*EDGE_FIELDS, "key"], "left")
+    return both.groupBy(*EDGE_FIELDS).agg(
+        F.sum(F.when(F.col("found"), F.col("rows")).otherwise(0)).alias("matched_rows"),
+        F.sum(F.when(F.col("found").isNull(), F.col("rows")).otherwise(0)).alias("orphan_rows"))
 
 
 def relationship_cycles(edges_df: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quillon.functions.types import value_or_null
 
 ACCURACY = 20_000
-MARGIN = 2.0 / ACCURACY  # twice the rank error the summary guarantees
+MARGIN = 3.0 / ACCURACY  # three times the rank error the summary guarantees
+SMALL = 50_000  # rows up to which a column is its own bracket: there the margin is too few ranks
 
 
 def long_numbers(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -31,9 +32,13 @@ def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFr
     values = long_numbers(df, columns)
     edges = [e for p in probs for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
     summary = values.groupBy("column").agg(
-        F.count("*").alias("n"), F.percentile_approx("value", edges, ACCURACY).alias("edge"))
+        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.percentile_approx("value", edges, ACCURACY).alias("edge"))
+    small = F.col("n") <= SMALL
     brackets = summary.select("column", "n", F.inline(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.col("edge")[2 * i].alias("lo"), F.col("edge")[2 * i + 1].alias("hi"))
+        F.struct(F.lit(p).alias("p"),
+                 F.when(small, F.col("least")).otherwise(F.col("edge")[2 * i]).alias("lo"),
+                 F.when(small, F.col("most")).otherwise(F.col("edge")[2 * i + 1]).alias("hi"))
         for i, p in enumerate(probs)])))
     # one row per column and probability, so the broadcast cannot grow with the data
     near = values.alias("v").join(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quillon.functions.scalars import percent
@@ -33,14 +35,20 @@ def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells)))
 
 
+def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
+    return _cells(df, columns).select("column", _key(F.col("text")).alias("key"), F.char_length("text").alias("length"))
+
+
 def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows ``(column, key, rows, length)`` per distinct value; a missing value has a NULL key."""
-    return (
-        _cells(df, columns or df.columns)
-        .select("column", _key(F.col("text")).alias("key"), F.char_length("text").alias("length"))
-        .groupBy("column", "key")
-        .agg(F.count("*").alias("rows"), F.max("length").alias("length"))
-    )
+    return _keyed(df, columns or df.columns).groupBy("column", "key").agg(
+        F.count("*").alias("rows"), F.max("length").alias("length"))
+
+
+def key_frequencies(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
+    """Rows ``(table, column, key, rows)`` of columns of several tables: a scan each, one shuffle."""
+    cells = [_keyed(tables[t], names).select(F.lit(t).alias("table"), "column", "key") for t, names in columns.items()]
+    return reduce(DataFrame.unionByName, cells).groupBy("table", "column", "key").agg(F.count("*").alias("rows"))
 
 
 def column_types(df: DataFrame) -> dict[str, str]:

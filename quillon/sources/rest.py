@@ -78,11 +78,12 @@ def _load(name: str):
     return getattr(importlib.import_module(module), attribute)
 
 
-def _records(answer) -> list[dict]:
-    """A list holds the rows; a single object is one row; anything else is no data."""
+def _records(answer) -> Iterator[dict]:
+    """A list or an iterator holds the rows; a single object is one row; anything else is no data."""
     if isinstance(answer, dict):
-        return [answer]
-    return list(answer) if answer is not None and not isinstance(answer, (str, int, float, bool)) else []
+        yield answer
+    elif answer is not None and not isinstance(answer, (str, int, float, bool)):
+        yield from answer
 
 
 class RestReader(DataSourceReader):

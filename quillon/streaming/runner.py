@@ -17,6 +17,9 @@ PROCESSORS: dict[str, Processor] = {}
 # Seconds between checkpoints and records per batch.
 CHECKPOINT_SECONDS, BATCH_SIZE = 30, 100
 
+# Times in JSON text keep their microseconds.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def register(name: str, func: Processor) -> None:
     """Name a function from frame to frame as the processor of a source."""
@@ -44,7 +47,7 @@ def read_stream(spark: SparkSession, cfg: dict) -> DataFrame:
         rows = reader.load(cfg["path"])
         if cfg.get("format") == "text":
             return rows.select("value")
-        return rows.select(F.to_json(F.struct("*")).alias("value"))
+        return rows.select(F.to_json(F.struct("*"), JSON_TIMES).alias("value"))
     spec = source_spec(cfg)
     if spec.kind != "stream":
         raise ValueError(f"{cfg['type']} is not a stream")
@@ -154,7 +157,7 @@ def newest_state(spark: SparkSession, sink: str) -> DataFrame:
 
 def to_messages(df: DataFrame, key: str | None = None) -> DataFrame:
     """Rows as JSON messages with an optional key."""
-    cells = [F.to_json(F.struct("*")).alias("value")]
+    cells = [F.to_json(F.struct("*"), JSON_TIMES).alias("value")]
     if key:
         cells.insert(0, F.col(key).cast("string").alias("key"))
     return df.select(*cells)
