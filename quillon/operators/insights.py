@@ -11,9 +11,6 @@ from quillon.functions.types import numeric_columns, text_columns, value_or_null
 from quillon.operators.outliers import outlier_counts, outliers
 from quillon.operators.profile import frequencies
 
-PAIRS_PER_AGGREGATION = 200
-
-
 def missing(df: DataFrame, warn_above: float = 20.0) -> DataFrame:
     """Missing cells of the whole dataset, one row; none when nothing is missing."""
     holes = sum((F.count_if(value_or_null(df, c).isNull()) for c in df.columns), F.lit(0))
@@ -25,23 +22,23 @@ def missing(df: DataFrame, warn_above: float = 20.0) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson's r of every pair of columns over the rows that have both; NULL if one is constant."""
+    """Pearson's r of every pair of columns over the rows that have both; NULL if one is constant.
+
+    A row gives one value pair per pair of columns. The pairs of a task are combined in place,
+    so that the shuffle carries one partial result per task and pair of columns.
+    """
     columns = columns or numeric_columns(df)
+    if len(columns) < 2:
+        raise ValueError("a correlation needs two numeric columns")
     value = {c: value_or_null(df, c).cast("double") for c in columns}
     pairs = list(combinations(columns, 2))
-    found = None
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATION):
-        cells = []
-        for a, b in pairs[start:start + PAIRS_PER_AGGREGATION]:
-            x, y = value[a], value[b]
-            scale = (F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
-            cells.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                                  F.try_divide(F.covar_pop(x, y), scale).alias("r")))
-        part = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        raise ValueError("a correlation needs two numeric columns")
-    return found
+    cells = [
+        F.struct(F.lit(i).alias("pair"), F.when(value[b].isNotNull(), value[a]).alias("x"),
+                 F.when(value[a].isNotNull(), value[b]).alias("y")) for i, (a, b) in enumerate(pairs)]
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    found = df.select(F.inline(F.array(*cells))).groupBy("pair").agg(r.alias("r"))
+    names = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b")) for a, b in pairs])
+    return found.withColumn("names", F.get(names, F.col("pair"))).select("names.column_a", "names.column_b", "r")
 
 
 def high_correlation(df: DataFrame, columns: list[str] | None = None, limit: float = 0.7) -> DataFrame:

@@ -193,17 +193,19 @@ def inclusion(tables: dict[str, DataFrame], edges: list[dict]) -> DataFrame:
     Both sides of all edges are counted per key first and meet in one join of distinct keys.
     """
     keys = key_frequencies(tables, _edge_columns(edges)).where("key IS NOT NULL")
-    frame = _edge_frame(tables, edges)
+    frame = local_frame(next(iter(tables.values())).sparkSession,
+                        [(i, *[e[f] for f in EDGE_FIELDS]) for i, e in enumerate(edges)], "edge int, " + EDGE_SCHEMA)
 
     def side(end: str) -> DataFrame:
-        named = keys.withColumnsRenamed({"table": f"{end}_table", "column": f"{end}_column"})
-        return frame.join(named, [f"{end}_table", f"{end}_column"])
+        ends = frame.select("edge", F.col(f"{end}_table").alias("table"), F.col(f"{end}_column").alias("column"))
+        return keys.join(ends, ["table", "column"]).select("edge", "key", "rows")
 
-    partners = side("to").select(*EDGE_FIELDS, "key", F.lit(True).alias("found"))
-    both = side("from").join(partners, [*EDGE_FIELDS, "key"], "left")
-    return both.groupBy(*EDGE_FIELDS).agg(
+    # counting the partners too keeps both sides the same shuffle, done once
+    partners = side("to").select("edge", "key", (F.col("rows") > 0).alias("found"))
+    counts = side("from").join(partners, ["edge", "key"], "left").groupBy("edge").agg(
         F.sum(F.when(F.col("found"), F.col("rows")).otherwise(0)).alias("matched_rows"),
         F.sum(F.when(F.col("found").isNull(), F.col("rows")).otherwise(0)).alias("orphan_rows"))
+    return frame.join(counts, "edge").select(*EDGE_FIELDS, "matched_rows", "orphan_rows")
 
 
 def relationship_cycles(edges_df: DataFrame, max_depth: int | None = None) -> DataFrame:

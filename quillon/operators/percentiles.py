@@ -2,14 +2,15 @@
 
 The built-in exact percentile keeps every distinct value of a column in one task. Here a
 quantile summary first gives a narrow bracket around each wanted rank; a second pass counts
-the values below the bracket and, one by one, those inside it. A value held by any share of
-the rows is one counted row, and both passes combine before they shuffle.
+the values inside the brackets one by one, and those between brackets together. A value held
+by any share of the rows is one counted row, and both passes combine before they shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillon.functions.names import any_of
 from quillon.functions.types import value_or_null
 
 ACCURACY = 20_000
@@ -19,11 +20,11 @@ SMALL = 50_000  # rows up to which a column is its own bracket: there the margin
 
 def long_numbers(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per non-missing cell: the kept columns, ``column`` and ``value``."""
-    cells = [
-        F.struct(F.lit(c).alias("column"), value_or_null(df, c).cast("double").alias("value"))
-        for c in columns
-    ]
-    return df.select(*keep, F.inline(F.array(*cells))).where("value IS NOT NULL")
+    held = {c: f"__keep_{i}" for i, c in enumerate(keep)}
+    wide = df.select(*[F.col(f"`{c}`").alias(k) for c, k in held.items()],
+                     *[value_or_null(df, c).cast("double").alias(c) for c in columns])
+    cells = wide.unpivot(list(held.values()), [F.col(f"`{c}`") for c in columns], "column", "value")
+    return cells.where("value IS NOT NULL").withColumnsRenamed({k: c for c, k in held.items()})
 
 
 def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
@@ -31,31 +32,35 @@ def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFr
     probs = sorted(set(float(p) for p in probs))
     values = long_numbers(df, columns)
     edges = [e for p in probs for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
-    summary = values.groupBy("column").agg(
-        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
-        F.percentile_approx("value", edges, ACCURACY).alias("edge"))
     small = F.col("n") <= SMALL
-    brackets = summary.select("column", "n", F.inline(F.array(*[
-        F.struct(F.lit(p).alias("p"),
-                 F.when(small, F.col("least")).otherwise(F.col("edge")[2 * i]).alias("lo"),
-                 F.when(small, F.col("most")).otherwise(F.col("edge")[2 * i + 1]).alias("hi"))
-        for i, p in enumerate(probs)])))
-    # one row per column and probability, so the broadcast cannot grow with the data
-    near = values.alias("v").join(
-        F.broadcast(brackets.alias("b")),
-        (F.col("v.column") == F.col("b.column")) & (F.col("value") <= F.col("hi")))
-    counted = near.groupBy(
-        "b.column", "p", "n", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value"),
+    brackets = values.groupBy("column").agg(
+        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.percentile_approx("value", edges, ACCURACY).alias("edge"),
+    ).select("column", "n", *[
+        F.when(small, F.col(whole)).otherwise(F.col("edge")[2 * i + j]).alias(f"{side}{i}")
+        for i in range(len(probs)) for j, (side, whole) in enumerate((("lo", "least"), ("hi", "most")))])
+    inside = any_of([F.col("value").between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(probs))])
+    passed = [F.when(F.col("value") > F.col(f"hi{i}"), F.col(f"hi{i}")) for i in range(len(probs))]
+    last_passed = F.greatest(*passed) if len(passed) > 1 else passed[0]
+    # one row per column, so the broadcast cannot grow with the data; a value outside of all
+    # brackets is counted just behind the last bracket below it
+    counted = values.join(F.broadcast(brackets), "column").groupBy(
+        "column", "n", F.when(inside, F.col("value")).otherwise(last_passed).alias("value"),
+        (~inside).alias("behind"),
     ).agg(F.count("*").alias("rows"))
-    # the NULL value stands for everything below the bracket and sorts first
-    upto = Window.partitionBy("column", "p", "n").orderBy(F.asc_nulls_first("value")).rowsBetween(
+    upto = Window.partitionBy("column").orderBy(F.asc_nulls_first("value"), "behind").rowsBetween(
         Window.unboundedPreceding, 0)
-    place = (F.col("n") - 1) * F.col("p")
     ranked = counted.withColumn("end", F.sum("rows").over(upto))
-    low = F.min(F.when(F.col("end") > F.floor(place), F.col("value")))
-    high = F.min(F.when(F.col("end") > F.ceil(place), F.col("value")))
-    share = F.max(place - F.floor(place))
-    return ranked.groupBy("column", "p", "n").agg((low + (high - low) * share).alias("value"))
+
+    def at(p: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(p)
+        low = F.min(F.when(F.col("end") > F.floor(place), F.col("value")))
+        high = F.min(F.when(F.col("end") > F.ceil(place), F.col("value")))
+        share = F.max(place - F.floor(place))
+        return F.struct(F.lit(p).alias("p"), F.max("n").alias("n"), (low + (high - low) * share).alias("value"))
+
+    return ranked.groupBy("column").agg(F.array(*[at(p) for p in probs]).alias("found")).select(
+        "column", F.inline("found"))
 
 
 def quantile_table(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:

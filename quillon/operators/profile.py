@@ -31,8 +31,8 @@ def _key(text: Column) -> Column:
 
 
 def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("text")) for c in columns]
-    return df.select(F.inline(F.array(*cells)))
+    wide = df.select(*[_as_text(df, c).alias(c) for c in columns])
+    return wide.unpivot([], [F.col(f"`{c}`") for c in columns], "column", "text")
 
 
 def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:

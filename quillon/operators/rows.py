@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions.types import numeric_columns, value_or_null
-
-BUCKET_STEPS = (128, 64, 32, 16, 8, 4, 2, 1)
+from quillon.session import scratch
 
 
 def sample(df: DataFrame, n: int = 1000, order_by: list[str] | None = None) -> DataFrame:
@@ -18,44 +17,31 @@ def sample(df: DataFrame, n: int = 1000, order_by: list[str] | None = None) -> D
     return df.orderBy(*order_by).limit(n) if order_by else df.limit(n)
 
 
-def _bounds_below(bounds: Column, value: Column, inclusive: bool) -> Column:
-    """How many of the sorted bounds lie below ``value``, by halving steps."""
-    def step(found: Column, width: Column) -> Column:
-        bound = F.get(bounds, found + width - 1)
-        return F.when(bound <= value if inclusive else bound < value, found + width).otherwise(found)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in BUCKET_STEPS]), F.lit(0), step)
-
-
 def with_row_number(df: DataFrame, order_by: str, name: str = "row_number") -> DataFrame:
-    """Number all rows from 1 in the order of a numeric column, without one global sort.
+    """Number all rows from 1 in the order of a column, without a sort in one task.
 
-    Rows go to ordered buckets between approximate quantiles, are numbered inside their
-    bucket and shifted by the size of the buckets before it. Where one value spans several
-    quantiles, its rows are spread by hash over the buckets it covers, so a hot value does
-    not fill one task; equal values are numbered in a repeatable but unspecified order.
+    Rows are range-partitioned by the column and a hash of the row, so that a value held by
+    many rows spreads over several tasks, and sorted and numbered inside their partition. The
+    result is written to the shared folder: the offsets of the partitions and the rows then
+    come from the same ranges, also when an executor is lost. Equal values are numbered in
+    a repeatable but unspecified order.
     """
-    parts = len(BUCKET_STEPS)
-    buckets = 2 ** parts
-    probs = [i / buckets for i in range(1, buckets)]
-    key = F.col(f"`{order_by}`").cast("double")
-    bounds = df.agg(F.percentile_approx(key, probs, 10_000)).scalar()
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    low = F.coalesce(_bounds_below(F.col("__bounds"), key, False), F.lit(-1))
-    high = F.coalesce(_bounds_below(F.col("__bounds"), key, True), F.lit(-1))
-    placed = (
-        df.withColumn("__bounds", bounds).withColumns({"__low": low, "__high": high})
-        .withColumn("__bucket", F.col("__low") + F.pmod(spread, F.col("__high") - F.col("__low") + 1))
-        .drop("__bounds", "__low", "__high"))
-    # at most 257 rows: the global window and the broadcast are bounded
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = placed.groupBy("__bucket").agg(F.count("*").alias("__rows")).select(
-        "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__shift"))
-    inside = Window.partitionBy("__bucket").orderBy(key.asc_nulls_first(), spread)
-    return (placed.withColumn("__inside", F.row_number().over(inside))
-            .join(F.broadcast(shift), "__bucket")
-            .withColumn(name, F.col("__inside") + F.col("__shift"))
-            .drop("__bucket", "__inside", "__shift"))
+    spark = df.sparkSession
+    path = scratch(spark, "numbered")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.withColumn("__spread", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    keys = [F.col(f"`{order_by}`").asc_nulls_first(), F.col("__spread").asc()]
+    (ordered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("__spread")
+     .withColumn("__id", F.monotonically_increasing_id()).write.parquet(path))
+    # an id is the partition number in the upper bits and the row's place in the lower 33
+    placed = spark.read.schema(ordered.drop("__spread").withColumn("__id", F.lit(0).cast("bigint")).schema).parquet(path)
+    placed = placed.withColumns({"__part": F.shiftright("__id", 33), "__place": F.col("__id") % (1 << 33)})
+    # one row per partition: the window over all of them and the broadcast are bounded
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = placed.groupBy("__part").agg(F.count("*").alias("__rows")).select(
+        "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__shift"))
+    return (placed.join(F.broadcast(shift), "__part")
+            .withColumn(name, F.col("__place") + F.col("__shift") + 1).drop("__part", "__place", "__shift", "__id"))
 
 
 def with_chunks(df: DataFrame, order_by: str, chunk_size: int = 10_000) -> DataFrame:

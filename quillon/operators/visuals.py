@@ -81,28 +81,25 @@ def visual_bundle(df: DataFrame, specs: Sequence[Measure], date: str | None = No
 
     # the level has a bit per grouped-away column, the first column being the highest
     full = (1 << len(names)) - 1
-    out = []
+
+    def entry(kind: str, level: int, category: Column, j: int, value: Column) -> Column:
+        return F.when(F.col("level") == level, F.struct(
+            F.lit(PRIORITIES[kind]).alias("priority"), F.lit(kind).alias("visual"),
+            category.cast("string").alias("category"), F.lit(specs[j].title).alias("measure"),
+            value.alias("value")))
+
+    entries = [entry("card", full, F.lit(None), j, F.col(f"m{j}")) for j in range(len(specs[:MEASURE_LIMITS["card"]]))]
     for i, n in enumerate(names):
-        kind = n.removeprefix("__")
-        here = groups.where(F.col("level") == full - (1 << (len(names) - 1 - i)))
-        for j, m in enumerate(specs[:MEASURE_LIMITS[kind]]):
-            out.append(here.select(F.lit(PRIORITIES[kind]).alias("priority"), F.lit(kind).alias("visual"),
-                                   F.col(n).alias("category"), F.lit(m.title).alias("measure"),
-                                   F.col(f"m{j}").alias("value")))
+        kind, level = n.removeprefix("__"), full - (1 << (len(names) - 1 - i))
+        entries += [entry(kind, level, F.col(n), j, F.col(f"m{j}"))
+                    for j in range(len(specs[:MEASURE_LIMITS[kind]]))]
         if kind == "column":
-            total = groups.where(F.col("level") == full).select(F.col("m0").alias("total")).scalar()
-            out.append(here.select(F.lit(PRIORITIES["pie"]).alias("priority"), F.lit("pie").alias("visual"),
-                                   F.col(n).alias("category"), F.lit(specs[0].title).alias("measure"),
-                                   divide(F.col("m0"), total).alias("value")))
-    for j, m in enumerate(specs[:MEASURE_LIMITS["card"]]):
-        out.append(groups.where(F.col("level") == full).select(
-            F.lit(PRIORITIES["card"]).alias("priority"), F.lit("card").alias("visual"),
-            F.lit(None).cast("string").alias("category"), F.lit(m.title).alias("measure"),
-            F.col(f"m{j}").alias("value")))
-    frame = out[0]
-    for part in out[1:]:
-        frame = frame.unionByName(part)
-    return frame.orderBy("priority", "visual", "category", "measure")
+            # all measures are asked for, so that the total comes from the same shuffled groups
+            totals = groups.where(F.col("level") == full).select(
+                F.struct(*[f"m{j}" for j in range(len(specs))])).scalar()
+            entries.append(entry("pie", level, F.col(n), 0, divide(F.col("m0"), totals["m0"])))
+    return groups.select(F.inline(F.array_compact(F.array(*entries)))).orderBy(
+        "priority", "visual", "category", "measure")
 
 
 def apply_filters(df: DataFrame, filters: Sequence[dict]) -> DataFrame:
