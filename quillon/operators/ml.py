@@ -6,22 +6,30 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillon.functions.types import numeric_columns, text_columns
+from quillon.operators.natural_join import natural_join
+from quillon.operators.rows import with_row_number
+from quillon.sources.registry import read_tables
 
 # Seed, share of training rows in tenths, trees.
 SEED, TRAIN_TENTHS, TREES = 42, 8, 100
+MAX_LABELS = 1_000_000
 
 
 def label_encode(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Codes 0..n-1 of the sorted values; a missing value has no code."""
-    model = StringIndexer(inputCol=column, outputCol=into, stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df.where(F.col(column).isNotNull()))
-    coded = model.transform(df)
-    return coded.withColumn(into, F.when(F.col(column).isNotNull(), F.col(into).cast("bigint")))
+    """Codes 0..n-1 of the sorted values; a missing value has no code.
+
+    The distinct values are numbered across tasks and joined back, so their number is not
+    limited by the driver.
+    """
+    values = df.where(F.col(column).isNotNull()).select(column).distinct()
+    codes = with_row_number(values, column, "__code").select(
+        F.col(column).alias("__value"), (F.col("__code") - 1).cast("bigint").alias(into))
+    return df.join(codes, df[column] == codes["__value"], "left").drop("__value")
 
 
 def in_training(*key: str, seed: int = SEED) -> Column:
@@ -54,25 +62,32 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFr
 def build_pipeline(df: DataFrame, target: str, kind: str, trees: int = TREES, drop: tuple[str, ...] = ()) -> Pipeline:
     """Encoders, assembler and forest in one pipeline, fitted once and reused for prediction.
 
-    Values unseen in training get a code of their own instead of failing.
+    Text becomes the number of its value in sorted order; values unseen in training share a
+    number of their own instead of failing. The encoders keep their values on the driver, so
+    a column with more of them than ``MAX_LABELS`` is refused: encode it with
+    :func:`label_encode` first.
     """
     texts = [c for c in text_columns(df) if c != target and c not in drop]
     numbers = [c for c in numeric_columns(df) if c != target and c not in drop]
-    stages = [StringIndexer(inputCols=texts, outputCols=[f"{c}__code" for c in texts],
-                            stringOrderType="alphabetAsc", handleInvalid="keep")] if texts else []
-    stages.append(VectorAssembler(inputCols=numbers + [f"{c}__code" for c in texts],
-                                  outputCol="features", handleInvalid="skip"))
-    # a forest needs a bin per category
-    widest = 0
+    stages = []
     if texts:
-        widest = max(df.agg(*[F.approx_count_distinct(c, 0.01) for c in texts]).first())
-    bins = max(32, int(widest * 1.05) + 2)
+        sizes = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in texts]).first()
+        wide = [c for c in texts if sizes[c] > MAX_LABELS]
+        if wide:
+            raise ValueError(f"too many values to encode on the driver: {', '.join(wide)}")
+        stages.append(StringIndexer(inputCols=texts, outputCols=[f"{c}__code" for c in texts],
+                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
+        # plain numbers: a forest splits them by order and needs no bin per value
+        plain = ", ".join(f"`{c}__code` + 0.0D AS `{c}__number`" for c in texts)
+        stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
+    stages.append(VectorAssembler(inputCols=numbers + [f"{c}__number" for c in texts],
+                                  outputCol="features", handleInvalid="skip"))
     if kind == "regression":
-        stages.append(RandomForestRegressor(labelCol=target, numTrees=trees, seed=SEED, maxBins=bins))
+        stages.append(RandomForestRegressor(labelCol=target, numTrees=trees, seed=SEED))
     elif kind == "classification":
         labels = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
                                handleInvalid="keep").fit(df)
-        stages += [labels, RandomForestClassifier(labelCol="label", numTrees=trees, seed=SEED, maxBins=bins),
+        stages += [labels, RandomForestClassifier(labelCol="label", numTrees=trees, seed=SEED),
                    IndexToString(inputCol="prediction", outputCol="predicted", labels=labels.labels)]
     else:
         raise ValueError(f"unknown model type {kind!r}")
@@ -104,10 +119,11 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     The target need not be there: the stage that encodes it is passed over.
     """
     for stage in model.stages:
-        needs = stage.getOrDefault("inputCol") if stage.hasParam("inputCol") and stage.isSet("inputCol") else None
+        needs = stage.getInputCol() if stage.hasParam("inputCol") and stage.isSet("inputCol") else None
         if needs is None or needs in df.columns:
             df = stage.transform(df)
-    return df.drop("features", "rawPrediction", "label", *[c for c in df.columns if c.endswith("__code")])
+    helpers = [c for c in df.columns if c.endswith(("__code", "__number"))]
+    return df.drop("features", "rawPrediction", "label", *helpers)
 
 
 def save_model(model: PipelineModel, path: str, metrics: DataFrame, features: list[str]) -> None:
@@ -122,13 +138,13 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame
     return PipelineModel.load(f"{path}/model"), spark.read.json(f"{path}/info")
 
 
-def train_on_source(read, target: str, kind: str = "regression", key: list[str] | None = None,
-                    trees: int = TREES) -> tuple[PipelineModel, DataFrame]:
-    """Train on all tables of a source, joined on the columns they share.
+def train_on_source(spark: SparkSession, cfg: dict, target: str, kind: str = "regression",
+                    key: list[str] | None = None, trees: int = TREES) -> tuple[PipelineModel, DataFrame]:
+    """Train on all tables of a source, joined on the columns they share."""
+    joined, _ = natural_join(read_tables(spark, cfg))
+    return train(joined, target, kind, key, trees)
 
-    ``read`` is a dict of frames by table name.
-    """
-    from quillon.operators.natural_join import natural_join
 
-    joined, _ = natural_join(read)
-    return train(joined, target, kind, key, trees)
+def predict_on_source(spark: SparkSession, cfg: dict, model: PipelineModel) -> DataFrame:
+    joined, _ = natural_join(read_tables(spark, cfg))
+    return predict(model, joined)

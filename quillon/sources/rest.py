@@ -101,13 +101,18 @@ class RestReader(DataSourceReader):
         if isinstance(partition, Slice):
             yield from map(self._row, _records(fetch(self.options, partition.predicate)))
             return
-        page = partition.first
-        while True:
+        page, left = partition.first, int(self.options.get("limit", -1))
+        while left != 0:
             answer = fetch(self.options, page)
+            if isinstance(answer, dict) and page == 1:
+                yield self._row(answer)
             # pages end at the first one that is empty or no list
             if not isinstance(answer, list) or not answer:
                 return
-            yield from map(self._row, answer)
+            # no stripe needs more rows than the whole read
+            for record in answer[:left] if left > 0 else answer:
+                yield self._row(record)
+            left = max(left - len(answer), 0) if left > 0 else left
             page += partition.step
 
     def _row(self, record: dict) -> tuple:
