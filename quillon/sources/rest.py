@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BooleanType, DataType, DoubleType, LongType, NullType, StringType, StructField, StructType,
+)
 
 RETRIES = 3
 
@@ -127,6 +129,14 @@ def _as(value, kind: str):
     return {"double": float, "float": float, "long": int, "integer": int, "boolean": bool}.get(kind, lambda v: v)(value)
 
 
+def _kind(value) -> DataType:
+    if value is None:
+        return NullType()
+    if isinstance(value, bool):
+        return BooleanType()
+    return LongType() if isinstance(value, int) else DoubleType() if isinstance(value, float) else StringType()
+
+
 class RestDataSource(DataSource):
     """``spark.read.format("rest")`` with the options ``endpoint``, ``resource``, ``paginate``,
     ``parallelism`` (pages read side by side), ``headers`` and ``params`` (JSON), and
@@ -147,19 +157,16 @@ class RestDataSource(DataSource):
                 break
         if not rows:
             raise ValueError("the endpoint returned no record to infer a schema from; pass one")
-        kinds: dict[str, str] = {}
-        for row in rows:
-            for name, value in row.items():
-                kind = ("boolean" if isinstance(value, bool) else "bigint" if isinstance(value, int)
-                        else "double" if isinstance(value, float) else "string")
-                old = kinds.get(name)
-                if value is None:
-                    kinds.setdefault(name, "")
-                elif not old or old == kind:
-                    kinds[name] = kind
-                else:
-                    kinds[name] = "double" if {old, kind} == {"bigint", "double"} else "string"
-        return StructType.fromDDL(", ".join(f"`{n}` {k or 'string'}" for n, k in kinds.items()))
+        found: dict[str, DataType] = {}
+        for name, value in (cell for row in rows for cell in row.items()):
+            kind = _kind(value)
+            old = found.setdefault(name, NullType())
+            if isinstance(old, NullType):
+                found[name] = kind
+            elif not isinstance(kind, NullType) and kind != old:
+                numbers = {kind, old} <= {LongType(), DoubleType()}
+                found[name] = DoubleType() if numbers else StringType()
+        return StructType([StructField(n, StringType() if isinstance(k, NullType) else k) for n, k in found.items()])
 
     def reader(self, schema: StructType) -> RestReader:
         return RestReader(schema, dict(self.options))
