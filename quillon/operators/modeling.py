@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillon.functions import names as N
+from quillon.functions.types import spark_family, value_or_null
 from quillon.operators.catalog import local_frame
-from quillon.operators.profile import key_frequencies
 
 
 def detect_keys(catalog_df: DataFrame, legacy: bool = False, fk_suffixes=("_id", "key")) -> DataFrame:
@@ -31,15 +31,34 @@ def suggest_fields(catalog_df: DataFrame, legacy: bool = False) -> DataFrame:
             .select("table", "column", "type", "role", suggestion.alias("suggestion")))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def key_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows ``(key, rows)``; whole numbers of any width are one type, so that keys compare."""
+    key = value_or_null(df, column)
+    if spark_family(df.schema[column].dataType) == "integer":
+        key = key.cast("bigint")
+    return df.groupBy(key.alias("key")).agg(F.count("*").alias("rows"))
+
+
 def key_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """Rows, missing, distinct values and the largest group of single columns."""
+    """Rows, missing, distinct values and the largest group of single columns.
+
+    Every column is read and counted on its own: the file format gives it without the
+    others, and its keys shuffle in their own narrow type.
+    """
+    found = F.col("key").isNotNull()
+    frames = [
+        key_counts(tables[t], c).agg(
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
+            F.coalesce(F.sum(F.when(~found, F.col("rows"))), F.lit(0)).alias("null_count"),
+            F.count("key").alias("unique_count"), F.max(F.when(found, F.col("rows"))).alias("largest_group"),
+        ).select(F.lit(t).alias("table"), F.lit(c).alias("column"), "*")
+        for t, names in columns.items() for c in names]
     unique = (F.col("row_count") == F.col("unique_count")) & (F.col("null_count") == 0)
-    return key_frequencies(tables, columns).groupBy("table", "column").agg(
-        F.sum("rows").alias("row_count"),
-        F.sum(F.when(F.col("key").isNull(), F.col("rows")).otherwise(0)).alias("null_count"),
-        F.count("key").alias("unique_count"),
-        F.max(F.when(F.col("key").isNotNull(), F.col("rows"))).alias("largest_group"),
-    ).withColumn("is_unique", unique)
+    return _union(frames).withColumn("is_unique", unique)
 
 
 def verify_primary_key(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -190,22 +209,20 @@ def fk_matched(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFra
 def inclusion(tables: dict[str, DataFrame], edges: list[dict]) -> DataFrame:
     """The edges with the rows on the ``from`` side that have, or lack, a partner.
 
-    Both sides of all edges are counted per key first and meet in one join of distinct keys.
+    Both sides are counted per key first, so a join sees every key once and reuses the
+    partitioning of the counts; a key's count is shuffled once however many edges use it.
     """
-    keys = key_frequencies(tables, _edge_columns(edges)).where("key IS NOT NULL")
-    frame = local_frame(next(iter(tables.values())).sparkSession,
-                        [(i, *[e[f] for f in EDGE_FIELDS]) for i, e in enumerate(edges)], "edge int, " + EDGE_SCHEMA)
-
-    def side(end: str) -> DataFrame:
-        ends = frame.select("edge", F.col(f"{end}_table").alias("table"), F.col(f"{end}_column").alias("column"))
-        return keys.join(ends, ["table", "column"]).select("edge", "key", "rows")
-
-    # counting the partners too keeps both sides the same shuffle, done once
-    partners = side("to").select("edge", "key", (F.col("rows") > 0).alias("found"))
-    counts = side("from").join(partners, ["edge", "key"], "left").groupBy("edge").agg(
-        F.sum(F.when(F.col("found"), F.col("rows")).otherwise(0)).alias("matched_rows"),
-        F.sum(F.when(F.col("found").isNull(), F.col("rows")).otherwise(0)).alias("orphan_rows"))
-    return frame.join(counts, "edge").select(*EDGE_FIELDS, "matched_rows", "orphan_rows")
+    frames = []
+    for e in edges:
+        # the counts of both sides are kept, so that all uses of a column are the same shuffle
+        child = key_counts(tables[e["from_table"]], e["from_column"]).where("key IS NOT NULL")
+        parent = key_counts(tables[e["to_table"]], e["to_column"]).select("key", (F.col("rows") > 0).alias("found"))
+        both = child.join(parent, "key", "left")
+        frames.append(both.agg(
+            F.coalesce(F.sum(F.when(F.col("found"), F.col("rows"))), F.lit(0)).alias("matched_rows"),
+            F.coalesce(F.sum(F.when(F.col("found").isNull(), F.col("rows"))), F.lit(0)).alias("orphan_rows"),
+        ).select(*[F.lit(e[f]).alias(f) for f in EDGE_FIELDS], "matched_rows", "orphan_rows"))
+    return _union(frames)
 
 
 def relationship_cycles(edges_df: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -244,13 +261,11 @@ def star_compliance(catalog_df: DataFrame, keys_df: DataFrame, edges_df: DataFra
     ends = per_table.select(F.col("table").alias("from_table"), F.col("is_fact").alias("from_fact"))
     others = per_table.select(F.col("table").alias("to_table"), F.col("is_fact").alias("to_fact"))
     wrong = (edges_df.join(ends, "from_table").join(others, "to_table")
-             .where("from_fact AND NOT to_fact AND cardinality <> 'many_to_one'")
-             .agg(F.count("*").alias("invalid_edges")).withColumn("k", F.lit(1)))
-    split = per_table.agg(F.count_if("is_fact").alias("fact_count"),
-                          F.count_if(~F.col("is_fact")).alias("dimension_count")).withColumn("k", F.lit(1))
+             .where("from_fact AND NOT to_fact AND cardinality <> 'many_to_one'").agg(F.count("*")))
     ok = (F.col("fact_count") > 0) & (F.col("dimension_count") > 0) & (F.col("invalid_edges") == 0)
-    return split.join(wrong, "k").select("fact_count", "dimension_count", "invalid_edges",
-                                         ok.alias("is_compliant"))
+    return per_table.agg(
+        F.count_if("is_fact").alias("fact_count"), F.count_if(~F.col("is_fact")).alias("dimension_count"),
+    ).withColumn("invalid_edges", wrong.scalar()).withColumn("is_compliant", ok)
 
 
 # Points a model loses per finding.
@@ -263,13 +278,10 @@ def validate_model(tables_with_key: DataFrame, edges_df: DataFrame, cycles_df: D
 
     ``tables_with_key`` has one row per table with a boolean ``has_key``.
     """
-    def one(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("k", F.lit(1))
-
-    row = (one(tables_with_key.agg(F.count_if(~F.col("has_key")).alias("tables_without_key")))
-           .join(one(edges_df.agg(F.count_if(F.col("cardinality") == "many_to_many").alias("many_to_many"))), "k")
-           .join(one(cycles_df.agg(F.count("*").alias("cycles"))), "k")
-           .join(one(compliance_df.select("is_compliant")), "k").drop("k"))
+    row = tables_with_key.agg(F.count_if(~F.col("has_key")).alias("tables_without_key")).withColumns({
+        "many_to_many": edges_df.agg(F.count_if(F.col("cardinality") == "many_to_many")).scalar(),
+        "cycles": cycles_df.agg(F.count("*")).scalar(),
+        "is_compliant": compliance_df.select("is_compliant").scalar()})
     raw = (100 - F.when(F.col("cycles") > 0, CYCLE_POINTS).otherwise(0)
            - NO_KEY_POINTS * F.col("tables_without_key") - MANY_TO_MANY_POINTS * F.col("many_to_many")
            - F.when(F.col("is_compliant"), 0).otherwise(NOT_STAR_POINTS))

@@ -1,9 +1,10 @@
 """Exact quantiles of many columns without sorting or collecting a column.
 
 The built-in exact percentile keeps every distinct value of a column in one task. Here a
-quantile summary first gives a narrow bracket around each wanted rank; a second pass counts
-the values inside the brackets one by one, and those between brackets together. A value held
-by any share of the rows is one counted row, and both passes combine before they shuffle.
+histogram with a bounded number of bins per column first shows between which values each
+wanted rank lies; a second pass counts the values inside these brackets one by one, and those
+between brackets together. A value held by any share of the rows is one counted row, and all
+passes combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillon.functions.names import any_of
 from quillon.functions.types import value_or_null
 
-ACCURACY = 20_000
-MARGIN = 3.0 / ACCURACY  # three times the rank error the summary guarantees
-SMALL = 50_000  # rows up to which a column is its own bracket: there the margin is too few ranks
+LINEAR_BINS = 1 << 16
+BINS_PER_DOUBLING = 1 << 8
+LARGEST = 8e307
 
 
 def long_numbers(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -27,23 +28,44 @@ def long_numbers(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ())
     return cells.where("value IS NOT NULL").withColumnsRenamed({k: c for c, k in held.items()})
 
 
+def _bin(value: Column, lo: Column, hi: Column) -> Column:
+    """A bin number that never falls as the value rises.
+
+    Equal steps between the extremes come first and equal steps of the logarithm second, so
+    that narrow clusters and long tails both spread. As both rise with the value, the bins in
+    use are at most the sum of the steps, not their product.
+    """
+    def held(c: Column) -> Column:
+        return F.greatest(F.least(c, F.lit(LARGEST)), F.lit(-LARGEST))
+
+    step = F.coalesce(F.floor(F.try_divide(held(value) - held(lo), held(hi) - held(lo)) * LINEAR_BINS), F.lit(0))
+    size = F.floor(F.log2(F.least(F.abs(value), F.lit(LARGEST))) * BINS_PER_DOUBLING)
+    # the smallest positive double has the logarithm -1074
+    signed = F.when(value == 0, 0).otherwise(F.signum(value).cast("bigint") * (size + 1075 * BINS_PER_DOUBLING))
+    return step * (1 << 24) + signed
+
+
 def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Rows ``(column, p, n, value)``: quantiles by linear interpolation, missing values left out."""
     probs = sorted(set(float(p) for p in probs))
     values = long_numbers(df, columns)
-    edges = [e for p in probs for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
-    small = F.col("n") <= SMALL
-    brackets = values.groupBy("column").agg(
-        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
-        F.percentile_approx("value", edges, ACCURACY).alias("edge"),
-    ).select("column", "n", *[
-        F.when(small, F.col(whole)).otherwise(F.col("edge")[2 * i + j]).alias(f"{side}{i}")
-        for i in range(len(probs)) for j, (side, whole) in enumerate((("lo", "least"), ("hi", "most")))])
+    span = values.groupBy("column").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+    def place(p: float) -> Column:
+        return (F.col("n") - 1) * F.lit(p)
+
+    # spans and brackets have one row per column, so the broadcasts cannot grow with the data
+    bins = values.join(F.broadcast(span), "column").groupBy(
+        "column", "n", _bin(F.col("value"), F.col("least"), F.col("most")).alias("bin"),
+    ).agg(F.count("*").alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    by_bin = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    brackets = bins.withColumn("end", F.sum("rows").over(by_bin)).groupBy("column", "n").agg(*[
+        F.min(F.when(F.col("end") > up(place(p)), F.col(side))).alias(f"{side}{i}")
+        for i, p in enumerate(probs) for side, up in (("lo", F.floor), ("hi", F.ceil))])
     inside = any_of([F.col("value").between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(probs))])
     passed = [F.when(F.col("value") > F.col(f"hi{i}"), F.col(f"hi{i}")) for i in range(len(probs))]
     last_passed = F.greatest(*passed) if len(passed) > 1 else passed[0]
-    # one row per column, so the broadcast cannot grow with the data; a value outside of all
-    # brackets is counted just behind the last bracket below it
+    # a value outside of all brackets is counted just behind the last bracket below it
     counted = values.join(F.broadcast(brackets), "column").groupBy(
         "column", "n", F.when(inside, F.col("value")).otherwise(last_passed).alias("value"),
         (~inside).alias("behind"),
@@ -53,11 +75,11 @@ def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFr
     ranked = counted.withColumn("end", F.sum("rows").over(upto))
 
     def at(p: float) -> Column:
-        place = (F.col("n") - 1) * F.lit(p)
-        low = F.min(F.when(F.col("end") > F.floor(place), F.col("value")))
-        high = F.min(F.when(F.col("end") > F.ceil(place), F.col("value")))
-        share = F.max(place - F.floor(place))
-        return F.struct(F.lit(p).alias("p"), F.max("n").alias("n"), (low + (high - low) * share).alias("value"))
+        low = F.min(F.when(F.col("end") > F.floor(place(p)), F.col("value")))
+        high = F.min(F.when(F.col("end") > F.ceil(place(p)), F.col("value")))
+        share = F.max(place(p) - F.floor(place(p)))
+        between = F.when(low == high, low).otherwise(low + (high - low) * share)
+        return F.struct(F.lit(p).alias("p"), F.max("n").alias("n"), between.alias("value"))
 
     return ranked.groupBy("column").agg(F.array(*[at(p) for p in probs]).alias("found")).select(
         "column", F.inline("found"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quillon.functions.scalars import percent
@@ -45,12 +43,6 @@ def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.count("*").alias("rows"), F.max("length").alias("length"))
 
 
-def key_frequencies(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """Rows ``(table, column, key, rows)`` of columns of several tables: a scan each, one shuffle."""
-    cells = [_keyed(tables[t], names).select(F.lit(t).alias("table"), "column", "key") for t, names in columns.items()]
-    return reduce(DataFrame.unionByName, cells).groupBy("table", "column", "key").agg(F.count("*").alias("rows"))
-
-
 def column_types(df: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in df.schema.fields}
 

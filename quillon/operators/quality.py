@@ -44,20 +44,19 @@ def _lost(pct: str, points: tuple[int, int]) -> Column:
 
 def quality_score(columns_df: DataFrame, issues_df: DataFrame, strict: bool = False) -> DataFrame:
     """One row with the score from 0 to 100; a dataset without rows scores 0."""
-    by_issue = issues_df.agg(
-        F.count_if(F.col("severity") == "error").alias("error_count"), F.count("*").alias("issue_count"))
-    by_column = columns_df.agg(
-        F.coalesce(F.max("row_count"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum(_lost("null_percentage", NULL_POINTS[strict])
-                         + _lost("duplicate_percentage", DUPLICATE_POINTS[strict])), F.lit(0)).alias("points"))
-    issue_points = (by_issue.select(F.lit("score").alias("k"), "error_count", "issue_count")
-                    .join(by_column.select(F.lit("score").alias("k"), "row_count", "points"), "k"))
+    points = F.sum(_lost("null_percentage", NULL_POINTS[strict])
+                   + _lost("duplicate_percentage", DUPLICATE_POINTS[strict]))
+    columns = columns_df.agg(F.struct(
+        F.coalesce(F.max("row_count"), F.lit(0)).alias("rows"), F.coalesce(points, F.lit(0)).alias("points")))
+    found = issues_df.agg(
+        F.count("*").alias("issue_count"), F.count_if(F.col("severity") == "error").alias("error_count"),
+    ).withColumn("columns", columns.scalar())
     raw = (100 - F.col("error_count") * ISSUE_POINTS["error"]
-           - (F.col("issue_count") - F.col("error_count")) * ISSUE_POINTS["other"] - F.col("points"))
+           - (F.col("issue_count") - F.col("error_count")) * ISSUE_POINTS["other"] - F.col("columns.points"))
     bounded = F.greatest(F.lit(0), F.least(F.lit(100), raw))
-    return issue_points.select(
-        "row_count", "issue_count", "error_count",
-        F.when(F.col("row_count") == 0, 0.0).otherwise(bounded.cast("double")).alias("score"))
+    return found.select(
+        F.col("columns.rows").alias("row_count"), "issue_count", "error_count",
+        F.when(F.col("columns.rows") == 0, 0.0).otherwise(bounded.cast("double")).alias("score"))
 
 
 def passes_gate(score_df: DataFrame, minimum: float = 75.0) -> DataFrame:

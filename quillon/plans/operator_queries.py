@@ -569,7 +569,8 @@ EVENT_RECORD = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING
 
 
 def event_stream_config(spark, sf_dir) -> dict:
-    return {"type": "files", "name": "events", "format": "parquet", "path": sf_dir, "glob": "events.parquet",
+    # a pattern, since a stream's path may otherwise be a folder only
+    return {"type": "files", "name": "events", "format": "parquet", "path": f"{sf_dir}/{{events}}.parquet",
             "schema": load(spark, sf_dir, "events").schema, "required": ("event_id",)}
 
 

@@ -46,21 +46,28 @@ def test_constant_column(edge):
     assert got["const"]["std"] == 0 and got["const"]["median"] == 7.0 and got["const"]["skewness"] is None
 
 
-@pytest.mark.parametrize("small", [50_000, 0])
-def test_percentiles_are_exact(spark, monkeypatch, small):
-    # small=0 forces the brackets; a hot value, long tails and few rows are all in there
-    monkeypatch.setattr(percentiles, "SMALL", small)
+@pytest.mark.parametrize("linear, doubling", [(1 << 16, 1 << 8), (4, 1)])
+def test_percentiles_are_exact(spark, monkeypatch, linear, doubling):
+    # a hot value, long tails, far clusters and infinite values, with fine and with coarse bins
+    monkeypatch.setattr(percentiles, "LINEAR_BINS", linear)
+    monkeypatch.setattr(percentiles, "BINS_PER_DOUBLING", doubling)
     rng = np.random.default_rng(3)
     n = 200_000
     hot = np.where(rng.random(n) < 0.34, 5.0, rng.normal(0, 1, n))
     tail = np.exp(rng.normal(0, 8, n))
-    frame = pd.DataFrame({"hot": hot, "tail": tail, "whole": np.arange(n)[rng.permutation(n)]})
+    frame = pd.DataFrame({
+        "hot": hot, "tail": tail, "whole": np.arange(n)[rng.permutation(n)], "far": 1.7e9 + rng.normal(0, 1e-3, n),
+        "signs": np.sign(rng.normal(0, 1, n)) * np.exp(rng.normal(-300, 50, n)),
+        "endless": np.where(rng.random(n) < 0.001, np.inf, tail)})
     df = spark.createDataFrame(frame).repartition(7)
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
     got = {(r.column, r.p): r.value for r in percentiles.percentiles(df, list(frame.columns), probs).collect()}
     for c in frame.columns:
         for p in probs:
-            assert got[c, p] == pytest.approx(np.quantile(frame[c], p), rel=1e-12), (c, p)
+            if (c, p) == ("endless", 1.0):
+                assert got[c, p] == np.inf
+                continue
+            assert got[c, p] == pytest.approx(np.quantile(frame[c], p), rel=1e-12, abs=0), (c, p)
 
 
 def test_percentiles_of_few_rows(spark):
