@@ -48,7 +48,9 @@ def _bin(value: Column, lo: Column, hi: Column) -> Column:
 def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Rows ``(column, p, n, value)``: quantiles by linear interpolation, missing values left out."""
     probs = sorted(set(float(p) for p in probs))
-    values = long_numbers(df, columns)
+    # the number of the column is a cheaper key than its name
+    values = df.select(F.posexplode(F.array(*[
+        value_or_null(df, c).cast("double") for c in columns])).alias("column", "value")).where("value IS NOT NULL")
     span = values.groupBy("column").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
 
     def place(p: float) -> Column:
@@ -82,7 +84,7 @@ def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFr
         return F.struct(F.lit(p).alias("p"), F.max("n").alias("n"), between.alias("value"))
 
     return ranked.groupBy("column").agg(F.array(*[at(p) for p in probs]).alias("found")).select(
-        "column", F.inline("found"))
+        F.get(F.array(*[F.lit(c) for c in columns]), F.col("column")).alias("column"), F.inline("found"))
 
 
 def quantile_table(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
