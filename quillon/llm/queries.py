@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillon.llm import byte_bpe, warc_chunks
+from quillon.llm import byte_bpe, robust_outliers, warc_chunks
 from quillon.session import load
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_robust_outliers(spark, sf_dir):
+    return robust_outliers.verdicts(load(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     return byte_bpe.token_digests(load(spark, sf_dir, "documents"), RANKS)
 
@@ -18,4 +22,4 @@ def op10_warc_chunks(spark, sf_dir):
     return warc_chunks.round_trip(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op9_byte_bpe, op10_warc_chunks)}
+QUERIES = {f.__name__: f for f in (op2_robust_outliers, op9_byte_bpe, op10_warc_chunks)}
