@@ -6,12 +6,13 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from quillon.llm.tables import with_python
 
 #: A long text is cut into pieces of about this many characters; no row or character is left out.
 PIECE_CHARS = 50_000
@@ -56,32 +57,37 @@ def encode_text(codec: tiktoken.Encoding, text: str, size: int = PIECE_CHARS) ->
 def encode(docs: DataFrame, rank_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns, and the token ids of ``text`` as ``array<int>`` in a column ``ids``, which replaces one of that name.
 
-    Null and the empty text have no ids. Rows are neither dropped nor merged, whatever repeats. The rank file must be
-    at the same path on every executor; it is a parameter and read there.
+    Null and the empty text have no ids. Rows are neither dropped nor merged, whatever repeats; an empty table gives
+    none. The rank file must be at the same path on every executor; it is a parameter and read there.
     """
-    schema = docs.select(*[c for c in docs.columns if c != ids], F.expr("cast(null as array<int>)").alias(ids)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> Iterator[tuple]:
         codec = encoding(rank_file)
-        for batch in batches:
-            batch[ids] = [encode_text(codec, t or "") for t in batch[text]]
-            yield batch[schema.names]
+        return ((encode_text(codec, t or ""),) for t in texts)
 
-    return docs.mapInPandas(run, schema)
+    return with_python(docs, [text], {ids: ("array<int>", pa.list_(pa.int32()))}, run)
 
 
 def decode(tokens: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns, and the raw bytes of the ids as ``binary`` in a column ``out``. Bytes that end inside a character
     stay as they are. Null ids give no bytes; an id that the rank file lacks raises."""
-    schema = tokens.select(*[c for c in tokens.columns if c != out], F.lit(None).cast("binary").alias(out)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(rows: list[list[int] | None]) -> Iterator[tuple]:
         codec = encoding(rank_file)
-        for batch in batches:
-            batch[out] = [b"" if i is None else codec.decode_bytes(list(i)) for i in batch[ids]]
-            yield batch[schema.names]
+        return ((codec.decode_bytes(row or []),) for row in rows)
+
+    return with_python(tokens, [ids], {out: ("binary", pa.binary())}, run)
 
-    return tokens.mapInPandas(run, schema)
+
+def digest(codec: tiktoken.Encoding, text: str) -> tuple[int, str, str]:
+    """Number of ids, digest of the ids, digest of the bytes they decode to; piece by piece."""
+    n, by_id, by_byte = 0, hashlib.sha256(), hashlib.sha256()
+    for piece in pieces(text):
+        ids = codec.encode_ordinary(piece)
+        by_id.update(("," * bool(n and ids) + ",".join(map(str, ids))).encode())
+        by_byte.update(codec.decode_bytes(ids))
+        n += len(ids)
+    return n, by_id.hexdigest(), by_byte.hexdigest()
 
 
 def token_digests(docs: DataFrame, rank_file: str) -> DataFrame:
@@ -91,21 +97,9 @@ def token_digests(docs: DataFrame, rank_file: str) -> DataFrame:
     of the text as a column, are never shuffled or stored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> Iterator[tuple]:
         codec = encoding(rank_file)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                n, by_id, by_byte = 0, hashlib.sha256(), hashlib.sha256()
-                for piece in pieces(text or ""):
-                    ids = codec.encode_ordinary(piece)
-                    by_id.update(("," * bool(n and ids) + ",".join(map(str, ids))).encode())
-                    by_byte.update(codec.decode_bytes(ids))
-                    n += len(ids)
-                rows.append((n, by_id.hexdigest(), by_byte.hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return (digest(codec, t or "") for t in texts)
+
+    return with_python(docs, ["text"], {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()),
+                                        "decoded_sha256": ("string", pa.string())}, run, keep=["doc_id"])

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.tables import written
+from quillon.llm.tables import with_python, written
 from quillon.llm.text_stats import text_stats
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -31,19 +32,11 @@ MAX_STEPS = 10
 STEPS_PER_OCTAVE = 16
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """All columns and the counts of ``text`` (``COUNTS``, 0 for null); counts replace columns of their names."""
-    kept = [c for c in docs.columns if c not in COUNTS]
-    schema = docs.select(*kept, *[F.lit(0).cast("long").alias(c) for c in COUNTS]).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = np.array([text_stats(t) for t in batch["text"]], dtype="int64").reshape(-1, len(COUNTS))
-            for i, c in enumerate(COUNTS):
-                batch[c] = counts[:, i]
-            yield batch[schema.names]
-
-    return docs.mapInPandas(run, schema)
+def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) and the counts of ``text`` (``COUNTS``, 0 for null); counts replace columns
+    of their names."""
+    return with_python(docs, ["text"], {c: ("long", pa.int64()) for c in COUNTS},
+                       lambda texts: map(text_stats, texts), keep)
 
 
 def base_failed() -> Column:
@@ -208,7 +201,7 @@ def judge(measured: DataFrame, models: tuple[DataFrame, DataFrame], cutoff: floa
 
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``doc_id``, the counts, ``base_failed, kept, distance`` of every row of ``docs``; a row per row, repeated ids too."""
-    counts = written(measure(docs.select("doc_id", "lang", "source", "text")).drop("text"), "text-counts")
+    counts = written(measure(docs, ["doc_id", "lang", "source"]), "text-counts")
     judged = judge(counts, fit_all(counts), cutoff)
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", F.round("distance", 6).alias("distance"))
 
@@ -219,7 +212,7 @@ def filter_documents(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     if clash:  # columns of the caller's that have the names of ours travel as one struct
         packed = docs.select("lang", "source", "text", F.struct(*docs.columns).alias("_row"))
         return filter_documents(packed, cutoff).select("_row.*")
-    models = fit_all(written(measure(docs.select("lang", "source", "text")).drop("text"), "text-counts"))
+    models = fit_all(written(measure(docs, ["lang", "source"]), "text-counts"))
     return judge(measure(docs), models, cutoff).where("kept").select(*docs.columns)
 
 

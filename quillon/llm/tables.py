@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.session import scratch
@@ -39,6 +40,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_key(text: Column) -> Column:
-    """16 bytes that stand for a text; null has the key of no text, unlike the empty one."""
-    return F.unhex(F.substring(F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("n")).cast("binary"), 256), 1, 32))
+def with_python(df: DataFrame, inputs: list[str], outputs: dict[str, tuple[str, pa.DataType]],
+                function: Callable[..., Iterable[tuple]], keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) as they are, and new ones that ``function`` makes from lists of ``inputs``.
+
+    ``outputs`` names the new columns with their Spark and Arrow types; they replace columns of their names.
+    ``function`` takes a list per input and returns a tuple per row. Batches come and go as Arrow tables, so the other
+    columns, nulls and large whole numbers among them, are never converted.
+    """
+    kept = [c for c in (df.columns if keep is None else keep) if c not in outputs]
+    schema = df.select(*kept, *[F.lit(None).cast(kind).alias(c) for c, (kind, _) in outputs.items()]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(function(*[batch.column(c).to_pylist() for c in inputs]))
+            made = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(outputs.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=[*kept, *outputs])
+
+    return df.select(*dict.fromkeys([*kept, *inputs])).mapInArrow(run, schema)
