@@ -11,4 +11,23 @@ SELECT page_id, n AS payload_bytes, d.s AS payload_digest,
   CASE WHEN n >= 100 AND page_id <> m THEN m END AS refers_to
 FROM d LEFT JOIN f ON d.s = f.s"""
 
-ORACLE = {"op10_warc_chunks": OP10}
+OP8 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+v AS (SELECT item_id, least(len(ws), 10) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i, ws FROM b
+    WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS t FROM v),
+sizes AS (SELECT DISTINCT n FROM win),
+p AS (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM w, sizes WHERE len(ws) >= n),
+t AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS t FROM p),
+o AS (SELECT doc_id, t.n, i, item_id FROM t JOIN win ON t.t = win.t AND t.n = win.n),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM o) GROUP BY doc_id),
+x AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM o) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+ORACLE = {"op8_decontaminate": OP8, "op10_warc_chunks": OP10}

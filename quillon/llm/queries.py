@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillon.llm import byte_bpe, prob_minhash, robust_outliers, warc_chunks
+from quillon.llm import byte_bpe, decontaminate, prob_minhash, robust_outliers, warc_chunks
 from quillon.session import load
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,6 +18,10 @@ def op4_prob_minhash(spark, sf_dir):
     return prob_minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op9_byte_bpe(spark, sf_dir):
     return byte_bpe.token_digests(load(spark, sf_dir, "documents"), RANKS)
 
@@ -26,4 +30,4 @@ def op10_warc_chunks(spark, sf_dir):
     return warc_chunks.round_trip(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_robust_outliers, op4_prob_minhash, op9_byte_bpe, op10_warc_chunks)}
+QUERIES = {f.__name__: f for f in (op2_robust_outliers, op4_prob_minhash, op8_decontaminate, op9_byte_bpe, op10_warc_chunks)}
