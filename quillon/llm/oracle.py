@@ -30,4 +30,42 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)"""
 
-ORACLE = {"op8_decontaminate": OP8, "op10_warc_chunks": OP10}
+
+
+def _secret_sql() -> str:
+    """Base and weak spans by the patterns of the operator, positions from the text between the matches."""
+    from quillon.llm.secret_links import KINDS, PATTERNS, SCOPE
+
+    found, steps = [], []
+    for k, pattern in enumerate(PATTERNS):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        steps.append(f"""m{k} AS (SELECT r, generate_subscripts(ms, 1) AS i, ms, gaps FROM (SELECT r,
+            regexp_extract_all(t, {quoted}) AS ms, string_split_regex(t, {quoted}) AS gaps FROM d) WHERE len(ms) > 0)""")
+        value = f"length(regexp_extract(ms[i], {quoted}, 1)) >= 8" if k == 0 else "length(ms[i]) >= 16" if k == 1 else "true"
+        if k == 5:
+            value = ("regexp_matches(ms[i], '[0-9]') AND regexp_matches(ms[i], '[A-Z]') AND regexp_matches(ms[i], '[a-z]')"
+                     " AND len(list_distinct(string_split(ms[i], ''))) >= 10")
+        found.append(f"""SELECT r, {k} AS k, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(ms[i]) AS n
+            FROM m{k} WHERE {value}""")
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{", ".join(steps)},
+spans AS (SELECT r, k, s, s + n AS e FROM ({" UNION ALL ".join(found)})),
+base AS (SELECT * FROM spans WHERE k < 3),
+places AS (SELECT * FROM spans WHERE k IN (3, 4)),
+apart AS (SELECT * FROM spans w WHERE k >= 3 AND NOT (k = 5 AND EXISTS (SELECT 1 FROM places p
+    WHERE p.r = w.r AND p.s < w.e AND w.s < p.e))),
+weak AS (SELECT * FROM apart w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.s < w.e AND w.s < b.e)),
+parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+kept AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM parts o WHERE o.r = w.r
+    AND (o.k IN (0, 2, 5)) <> (w.k IN (0, 2, 5)) AND o.s - {SCOPE} <= w.e AND w.s <= o.e + {SCOPE})),
+listed AS (SELECT r, k, s, {names}[k + 1] || ':' || s || ':' || e AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM kept)),
+one AS (SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+    string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY s, k) AS spans FROM listed GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN one USING (r)"""
+
+
+ORACLE = {"op3_secret_links": _secret_sql(), "op8_decontaminate": OP8, "op10_warc_chunks": OP10}

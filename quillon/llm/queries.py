@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillon.llm import byte_bpe, decontaminate, prob_minhash, robust_outliers, warc_chunks
+from quillon.llm import byte_bpe, decontaminate, prob_minhash, robust_outliers, secret_links, warc_chunks
 from quillon.session import load
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -14,6 +14,10 @@ def op2_robust_outliers(spark, sf_dir):
     return robust_outliers.verdicts(load(spark, sf_dir, "documents"))
 
 
+def op3_secret_links(spark, sf_dir):
+    return secret_links.scan(load(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op4_prob_minhash(spark, sf_dir):
     return prob_minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -30,4 +34,4 @@ def op10_warc_chunks(spark, sf_dir):
     return warc_chunks.round_trip(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_robust_outliers, op4_prob_minhash, op8_decontaminate, op9_byte_bpe, op10_warc_chunks)}
+QUERIES = {f.__name__: f for f in (op2_robust_outliers, op3_secret_links, op4_prob_minhash, op8_decontaminate, op9_byte_bpe, op10_warc_chunks)}
