@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillon.llm import byte_bpe, decontaminate, language_mixture, prob_minhash, robust_outliers, secret_links, warc_chunks, weak_pii
+from quillon.llm import byte_bpe, decontaminate, language_mixture, prob_minhash, robust_outliers, secret_links, suffix_dedup, warc_chunks, weak_pii
 from quillon.session import load
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicate(load(spark, sf_dir, "documents"))
+
+
 def op2_robust_outliers(spark, sf_dir):
     return robust_outliers.verdicts(load(spark, sf_dir, "documents"))
 
@@ -42,4 +46,4 @@ def op10_warc_chunks(spark, sf_dir):
     return warc_chunks.round_trip(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_robust_outliers, op3_secret_links, op4_prob_minhash, op5_language_mixture, op6_weak_pii, op8_decontaminate, op9_byte_bpe, op10_warc_chunks)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_robust_outliers, op3_secret_links, op4_prob_minhash, op5_language_mixture, op6_weak_pii, op8_decontaminate, op9_byte_bpe, op10_warc_chunks)}
