@@ -3,26 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe
+from quillon.llm import byte_bpe, decontaminate, prob_minhash, robust_outliers, secret_links
 from quillon.llm.queries import RANKS
 from quillon.llm.tables import written
 from quillon.session import load
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids and the decoded bytes of every document."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return robust_outliers.filter_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one with the smallest id."""
+    return prob_minhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.clean(docs, load(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark; ``n_chars`` follows a changed text."""
+    marked = secret_links.redact(docs.withColumn("_before", F.length("text")))
+    n = F.when(F.length("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return marked.withColumn("n_chars", n).select(*docs.columns)
+
+
+def byte_bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of every document."""
     return byte_bpe.token_digests(docs, RANKS)
 
 
-STAGES = [("byte_bpe", tokens)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("byte_bpe", byte_bpe_tokens),
+]
 
-#: The stages learn thresholds and join near copies, which SQL can't express.
+#: Estimates, sketches and tokens of the stages can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in a row, each written and reread."""
+    """All stages in a row over documents, each written and reread."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

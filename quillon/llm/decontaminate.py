@@ -15,6 +15,8 @@ SHINGLE_WORDS = 3
 BLOCK_SHINGLES = 1_000_000
 #: Windows whose prefixes may be broadcast (about 200 bytes each).
 BROADCAST_WINDOWS = 200_000
+#: Documents with hits whose keys may be broadcast (16 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -166,6 +168,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> Da
     """The rows of ``docs`` without any hit, with their columns."""
     dirty = contamination(docs, benchmark, size).where("contaminated").select(
         F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct()
-    left = docs.alias("d")
-    key = F.xxhash64(F.coalesce(F.col("d.text"), F.lit("")))
-    return left.join(dirty, F.col("d.doc_id").eqNullSafe(F.col("_doc_id")) & (key == F.col("_text_key")), "left_anti")
+    dirty = written(dirty, "dirty")
+    if dirty.count() <= BROADCAST_ROWS:
+        dirty = F.broadcast(dirty)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (key == F.col("_text_key")), "left_anti")

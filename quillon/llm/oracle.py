@@ -32,6 +32,21 @@ FROM w LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)"""
 
 
 
+OP7 = r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+r AS (SELECT t.conv_id, perspective, turn, role, text, coalesce(role = perspective, false) AS own,
+    CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' WHEN role IS NULL THEN '<|user|>'
+      ELSE '<|user name=' || url_encode(role) || '|>' END || chr(10)
+      || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS segment
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+p AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(sum(length(segment)) OVER w AS BIGINT) AS stop FROM r
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, perspective, seq, turn, role, segment, stop - length(segment) AS start, stop AS "end",
+  CASE WHEN own THEN stop - length(segment) + 14 END AS mask_start, CASE WHEN own THEN stop - 1 END AS mask_end FROM p"""
+
+
 def _secret_sql() -> str:
     """Base and weak spans by the patterns of the operator, positions from the text between the matches."""
     from quillon.llm.secret_links import KINDS, PATTERNS, SCOPE
@@ -68,4 +83,4 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN one USING (r)"""
 
 
-ORACLE = {"op3_secret_links": _secret_sql(), "op8_decontaminate": OP8, "op10_warc_chunks": OP10}
+ORACLE = {"op3_secret_links": _secret_sql(), "op7_perspectives": OP7, "op8_decontaminate": OP8, "op10_warc_chunks": OP10}

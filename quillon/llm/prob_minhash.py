@@ -129,7 +129,8 @@ def node_of(doc_id: int | None, text: str | None, words: list[str]) -> bytes:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, node, bands`` of every row; no bands without words."""
+    """``doc_id, text_key, node, bands`` of every row; no bands without words."""
+    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
 
     def run(ids: list[int | None], texts: list[str | None]) -> Iterator[tuple]:
         for doc_id, text in zip(ids, texts):
@@ -138,7 +139,8 @@ def sketches(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
             yield node_of(doc_id, text, words), bands
 
     return with_python(docs, ["doc_id", "text"], {"node": ("binary", pa.binary()),
-                                                  "bands": ("array<long>", pa.list_(pa.int64()))}, run, ["doc_id"])
+                                                  "bands": ("array<long>", pa.list_(pa.int64()))}, run,
+                       ["doc_id", "text_key"])
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -189,8 +191,8 @@ def cross_class(members: DataFrame, labels: DataFrame) -> DataFrame:
     return classed.join(mixed.drop("classes"), "band")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, class_id`` of every row of ``docs``: the smallest doc_id of all rows linked to it, directly or not.
+def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id, text_key, root, class_id`` of every row of ``docs``: its class and the smallest doc_id in it.
 
     Rows with the same words are one node. Nodes meet in buckets of equal bands; a link is a pair that shares a bucket
     and whose exact similarity is ``threshold`` or more. Classes are the components of all links, but not all links
@@ -199,7 +201,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     class are compared with the nodes of the other classes in that bucket, so that no pair of two classes that share a
     bucket stays unchecked. Comparisons inside a class are left out, as they can't change a class.
 
-    Repeated rows get the same class. Texts without words are alike only if equal; a null text is alone. Null ids
+    ``text_key`` tells rows of a repeated doc_id apart. Repeated rows get the same class. Texts without words are alike only if equal; a null text is alone. Null ids
     don't count for the smallest id: a class of null ids has a null class_id. An empty table gives no rows.
     """
     drawn = written(sketches(docs, size), "sketches")
@@ -228,5 +230,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     named = nodes.select("node", "doc_id").join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = named.join(smallest, "root").select("node", "class_id")
-    return drawn.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id")
+    known = named.select("node", "root").join(smallest, "root")
+    return drawn.select("doc_id", "text_key", "node").join(known, "node").drop("node")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id, class_id`` of every row of ``docs``: the smallest doc_id of all rows linked to it, directly or not."""
+    return classes(docs, threshold, size).select("doc_id", "class_id")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` less all but one of each class, with their columns: the one with the smallest doc_id (nulls
+    last). Rows that repeat that one's id and text go too."""
+    rows = written(classes(docs, threshold, size), "classes")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = rows.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    more = rows.join(first, "root")
+    gone = written(more.where(place != F.col("first")).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "copies")
+    twice = more.where(place == F.col("first")).groupBy("doc_id", "text_key").count().where("count > 1")
+    twice = written(twice.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "repeats")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
+    if gone.count() <= BROADCAST_IDS:  # 16 bytes each; beyond, the texts are shuffled
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, same, "left_anti")
+    if not twice.limit(1).count():
+        return kept
+    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillon.llm import byte_bpe, decontaminate, language_mixture, prob_minhash, robust_outliers, secret_links, suffix_dedup, warc_chunks, weak_pii
+from quillon.llm import byte_bpe, decontaminate, language_mixture, perspectives, prob_minhash, robust_outliers, secret_links, suffix_dedup, warc_chunks, weak_pii
 from quillon.session import load
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,10 @@ def op6_weak_pii(spark, sf_dir):
     return weak_pii.detect(load(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op7_perspectives(spark, sf_dir):
+    return perspectives.perspectives(load(spark, sf_dir, "conversations"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("text_key")
 
@@ -46,4 +50,4 @@ def op10_warc_chunks(spark, sf_dir):
     return warc_chunks.round_trip(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_robust_outliers, op3_secret_links, op4_prob_minhash, op5_language_mixture, op6_weak_pii, op8_decontaminate, op9_byte_bpe, op10_warc_chunks)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_robust_outliers, op3_secret_links, op4_prob_minhash, op5_language_mixture, op6_weak_pii, op7_perspectives, op8_decontaminate, op9_byte_bpe, op10_warc_chunks)}

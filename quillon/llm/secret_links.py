@@ -15,6 +15,8 @@ SECRETS = (0, 2, 5)  # a value that must be kept secret; the others say whose it
 #: Code points between two parts that belong together, at most.
 SCOPE = 200
 BIN = 256
+#: Spans of documents that may be broadcast; beyond, the texts are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 PATTERNS = [
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -121,6 +123,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     found = scan(docs).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"),
                               F.col("spans").alias("_spans")).where("_spans <> ''").distinct()
+    found = written(found, "secret-spans")
+    if (found.agg(F.sum(F.length("_spans") + 40)).first()[0] or 0) <= BROADCAST_BYTES:
+        found = F.broadcast(found)
     both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(text) == F.col("_text_key")), "left")
     spans = F.transform(F.split("_spans", ","), lambda s: F.struct(
         F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
