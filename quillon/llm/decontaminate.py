@@ -171,5 +171,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> Da
     dirty = written(dirty, "dirty")
     if dirty.count() <= BROADCAST_ROWS:
         dirty = F.broadcast(dirty)
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (key == F.col("_text_key")), "left_anti")
+    key = F.xxhash64(F.coalesce("d.text", F.lit("")))
+    return docs.alias("d").join(dirty.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h._doc_id"))
+                                & (key == F.col("h._text_key")), "left_anti")

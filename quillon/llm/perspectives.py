@@ -17,7 +17,7 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<\\$1|")
 
 
-def unescaped(text: Column) -> Column:
+def unescaped(text: Column | str) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
@@ -21,6 +22,9 @@ THRESHOLD = 0.8
 REGISTERS = 128
 BAND_ROWS = 4
 BANDS = REGISTERS // BAND_ROWS
+#: Buckets of up to so many nodes are compared whole; of larger ones, so many nodes of the largest class a round.
+SMALL = 16
+SHOWN = 3
 #: Candidate ids up to this number (16 bytes each) may be broadcast; beyond, ids and texts are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -181,25 +185,40 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
-def cross_class(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold nodes of two or more classes: ``band, node, root, main`` with the bucket's largest
-    class. Counts per bucket and class combine before the shuffle."""
-    classed = members.join(labels, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+def next_pairs(members: DataFrame, labels: DataFrame, number: int) -> DataFrame:
+    """``a, b``: nodes of different classes that share a bucket and are to be compared in round ``number``.
+
+    In a bucket of up to ``SMALL`` nodes, all of them. In a larger one every node outside the bucket's largest class
+    meets some nodes of that class and one from outside it, which a hash chooses anew in each round and bucket. So a round has a
+    bounded number of pairs for each node and bucket, whatever the size of the bucket.
+    """
+    classed = members.join(labels, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
     sizes = classed.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
-                                      F.count("*").alias("classes")).where("classes > 1")
-    return classed.join(mixed.drop("classes"), "band")
+                                      F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    rows = written(classed.join(mixed, "band"), "mixed")
+    outside = rows.where((F.col("n") > SMALL) & (F.col("root") != F.col("main")))
+    few = rows.where(F.col("n") <= SMALL).select("band", F.col("node").alias("u"), F.col("root").alias("ru"))
+    pairs = few.join(rows, "band").where((F.col("u") < F.col("node")) & (F.col("ru") != F.col("root"))).select(
+        F.col("u").alias("a"), F.col("node").alias("b"))
+    inside = rows.where((F.col("n") > SMALL) & (F.col("root") == F.col("main")))
+    for side, shown in ((inside, SHOWN), (outside, 1)):
+        chosen = side.groupBy("band").agg(F.array_distinct(F.array(*[
+            F.min_by("node", F.xxhash64("node", "band", F.lit(SHOWN * number + i))) for i in range(shown)])).alias("c"))
+        chosen = chosen.select("band", F.explode("c").alias("other"))
+        met = outside.join(chosen, "band").where("node <> other")
+        pairs = pairs.union(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+    return pairs.distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, text_key, root, class_id`` of every row of ``docs``: its class and the smallest doc_id in it.
 
     Rows with the same words are one node. Nodes meet in buckets of equal bands; a link is a pair that shares a bucket
-    and whose exact similarity is ``threshold`` or more. Classes are the components of all links, but not all links
-    are looked for: first every node of a bucket is compared with the bucket's smallest node, which joins large
-    groups of copies in as many comparisons as nodes; then, round by round, the nodes outside a bucket's largest
-    class are compared with the nodes of the other classes in that bucket, so that no pair of two classes that share a
-    bucket stays unchecked. Comparisons inside a class are left out, as they can't change a class.
+    and whose exact similarity is ``threshold`` or more. Classes are the components of the links. A large group of near copies
+    has more links than can be looked at, and its class needs few of them: first every node of a bucket is
+    compared with the bucket's most central node, the one whose buckets are the largest; then, round by round, nodes
+    that are still in different classes of a bucket are compared (``next_pairs``), until a round finds no link.
 
     ``text_key`` tells rows of a repeated doc_id apart. Repeated rows get the same class. Texts without words are alike only if equal; a null text is alone. Null ids
     don't count for the smallest id: a class of null ids has a null class_id. An empty table gives no rows.
@@ -207,25 +226,24 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     drawn = written(sketches(docs, size), "sketches")
     nodes = written(drawn.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
     placed = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
-    members = written(placed.join(shared.drop("n"), "band"), "buckets")
-    stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = written(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
-    sets = shingle_sets(docs, wanted, size)
+    shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(placed.join(shared, "band"), "buckets")
+    weights = written(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    heads = members.join(weights, "node").groupBy("band").agg(
+        F.max_by("node", F.struct("weight", "node")).alias("head"))
+    stars = members.join(heads, "band").where("node <> head").select(
+        F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    sets = shingle_sets(docs, written(weights.join(nodes, "node").select("node", "doc_id"), "wanted"), size)
     tried = written(stars, "pairs")
     links = written(verified(tried, sets, threshold), "links")
     labels = components(links)
-    members = members.select("band", "node")
-
-    mixed = written(cross_class(members, labels), "mixed")
-    rest = mixed.where("root <> main").select("band", F.col("node").alias("u"), F.col("root").alias("ru"))
-    pairs = rest.join(mixed, "band").where(
-        (F.col("ru") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("u") < F.col("node"))))
-    pairs = pairs.select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
-    fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(fresh, sets, threshold), "links")
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    for number in count():
+        fresh = written(next_pairs(members, labels, number).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = written(verified(fresh, sets, threshold), "links")
+        if not found.limit(1).count():
+            break
+        tried, links = tried.union(fresh), links.union(found)
+        labels = components(links)
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("root", "node").alias("root"))
@@ -250,10 +268,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "copies")
     twice = more.where(place == F.col("first")).groupBy("doc_id", "text_key").count().where("count > 1")
     twice = written(twice.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "repeats")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
+    def same(other: str) -> Column:
+        return F.col("d.doc_id").eqNullSafe(F.col(f"{other}._id")) & (
+            F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col(f"{other}._key"))
+
     if gone.count() <= BROADCAST_IDS:  # 16 bytes each; beyond, the texts are shuffled
         gone = F.broadcast(gone)
-    kept = docs.join(gone, same, "left_anti")
+    kept = docs.alias("d").join(gone.alias("g"), same("g"), "left_anti").alias("d")
     if not twice.limit(1).count():
         return kept
-    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    one = kept.join(twice.alias("t"), same("t"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice.alias("t"), same("t"), "left_anti").union(one)

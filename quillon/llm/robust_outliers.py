@@ -208,10 +208,14 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 def filter_documents(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns. Texts are not shuffled: the second pass counts again."""
-    clash = [c for c in docs.columns if c in (*COUNTS, "base_failed", "distance", "kept")]
-    if clash:  # columns of the caller's that have the names of ours travel as one struct
+    if not {*docs.columns} <= {"doc_id", "text", "lang", "source", "n_chars"}:
+        # further columns may have the names of ours and travel as one struct
         packed = docs.select("lang", "source", "text", F.struct(*docs.columns).alias("_row"))
-        return filter_documents(packed, cutoff).select("_row.*")
+        return _filtered(packed, cutoff).select("_row.*")
+    return _filtered(docs, cutoff)
+
+
+def _filtered(docs: DataFrame, cutoff: float) -> DataFrame:
     models = fit_all(written(measure(docs, ["lang", "source"]), "text-counts"))
     return judge(measure(docs), models, cutoff).where("kept").select(*docs.columns)
 

@@ -120,25 +120,25 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by ``mark``; no row goes. Touching and overlapping spans
     become one mark. A null text stays null."""
-    text = F.coalesce("text", F.lit(""))
     found = scan(docs).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"),
                               F.col("spans").alias("_spans")).where("_spans <> ''").distinct()
     found = written(found, "secret-spans")
     if (found.agg(F.sum(F.length("_spans") + 40)).first()[0] or 0) <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(text) == F.col("_text_key")), "left")
-    spans = F.transform(F.split("_spans", ","), lambda s: F.struct(
+    text = F.coalesce("d.text", F.lit(""))
+    both = docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f._doc_id"))
+                                & (F.xxhash64(text) == F.col("f._text_key")), "left")
+    spans = F.transform(F.split("f._spans", ","), lambda s: F.struct(
         F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
+    # spans come by their starts
     def step(state: Column, span: Column) -> Column:
-        fresh = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, span["start"] - state["at"]), F.lit(mark))
-        return F.when(span["start"] <= state["at"], F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when((state["out"] == "") & (state["at"] == 0), F.lit(mark)).otherwise(state["out"]).alias("out"))).otherwise(
-            F.struct(span["end"].alias("at"), fresh.alias("out")))
-
-    marked = F.aggregate(spans, start, step, lambda s: F.concat(
-        s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return both.select(*[(F.when(F.col("_spans").isNull(), F.col("text")).otherwise(marked)).alias("text")
-                         if c == "text" else docs[c] for c in docs.columns])
+        gap = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
+        joined = (span["start"] <= state["at"]) & (state["out"] != "")
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"),
+                        F.concat(state["out"], F.when(joined, F.lit("")).otherwise(F.concat(gap, F.lit(mark)))).alias("out"))
+
+    marked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(
+        s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return both.select(*[F.when(F.col("f._spans").isNull(), F.col("d.text")).otherwise(marked).alias("text")
+                         if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
