@@ -299,8 +299,10 @@ def deduplicate(docs: DataFrame, size: int = MIN_BYTES, keep_bytes: bool = False
     texts = written(read.where(F.col("n_bytes") >= size).groupBy("text_key").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("hashes").alias("hashes")), "texts")
     each = texts.select("text_key", "doc_id", F.explode("hashes").alias("hash"))
-    shared = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = each.join(shared.select("hash", (F.col("n") > hot).alias("hot")), "hash").groupBy("text_key").agg(
+    # a table of its own, so that the join shuffles both sides and may split a hash with very many places
+    shared = written(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(
+        "hash", (F.col("n") > hot).alias("hot")), "shared-hashes")
+    wanted = each.join(shared, "hash").groupBy("text_key").agg(
         F.first("doc_id").alias("doc_id"), F.collect_set(F.struct("hash", "hot")).alias("found"))
     found = written(contexts(texts_of(docs, written(wanted, "shared-anchors")), size), "contexts")
     runs = repeats(found, size).alias("r")
