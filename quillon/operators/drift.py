@@ -64,7 +64,7 @@ def save_snapshot(catalog_df: DataFrame, path: str, source: str) -> None:
      .write.mode("append").partitionBy("source").parquet(path))
 
 
-def latest_snapshot(spark: SparkSession, path: str, source: str, max_age_seconds: int | None = 3600) -> DataFrame:
+def latest_snapshot(spark: SparkSession, path: str, source: str, max_age_seconds: int | None = None) -> DataFrame:
     """The newest catalog of a source, no rows if there is none young enough."""
     rows = spark.read.parquet(path).where(F.col("source") == source)
     if max_age_seconds is not None:
@@ -75,7 +75,7 @@ def latest_snapshot(spark: SparkSession, path: str, source: str, max_age_seconds
 
 
 def detect_drift(spark: SparkSession, path: str, source: str, catalog_df: DataFrame,
-                 nullable: bool = False, max_age_seconds: int | None = 3600) -> tuple[bool, DataFrame]:
+                 nullable: bool = False, max_age_seconds: int | None = None) -> tuple[bool, DataFrame]:
     """``(known, changes)`` against the last snapshot; then the catalog becomes the snapshot.
 
     ``known`` is false when the source has no usable snapshot, and then there are no changes.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillon.functions.scalars import percent
 from quillon.functions.types import numeric_columns, text_columns, value_or_null
 from quillon.operators.outliers import outlier_counts, outliers
-from quillon.operators.profile import frequencies
+from quillon.operators.profile import frequencies, top_values
 
 def missing(df: DataFrame, warn_above: float = 20.0) -> DataFrame:
     """Missing cells of the whole dataset, one row; none when nothing is missing."""
@@ -53,15 +53,14 @@ def outlier_share(df: DataFrame, columns: list[str] | None = None, factor: float
 
 
 def value_counts_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Distinct values, the most frequent one and its rows, per text column.
+    """Rows, distinct values and the rows of the most frequent one, per text column.
 
-    Equal counts resolve to the smallest value key. Columns without values give no row.
+    Columns without values give no row.
     """
     best = F.max(F.when(F.col("key").isNotNull(), F.col("rows")))
     freq = frequencies(df, columns or text_columns(df))
     return (freq.groupBy("column").agg(
-        F.sum("rows").alias("row_count"), F.count("key").alias("unique_count"), best.alias("top_rows"),
-        F.min_by("key", F.when(F.col("key").isNotNull(), F.struct(-F.col("rows"), F.col("key")))).alias("top_key"))
+        F.sum("rows").alias("row_count"), F.count("key").alias("unique_count"), best.alias("top_rows"))
         .where("unique_count > 0"))
 
 
@@ -71,11 +70,13 @@ def high_cardinality(df: DataFrame, columns: list[str] | None = None, above: int
 
 def imbalance(df: DataFrame, columns: list[str] | None = None, max_values: int = 10,
               share: float = 80.0) -> DataFrame:
-    """Text columns of few values where one value holds most of all rows."""
+    """Text columns of few values where one value holds most of all rows, with that value."""
+    columns = columns or text_columns(df)
     pct = F.col("top_rows") * 100.0 / F.col("row_count")
     return (value_counts_summary(df, columns)
             .where((F.col("unique_count") <= max_values) & (pct > share))
-            .select("column", F.col("top_key").alias("value"), "top_rows",
+            .join(top_values(df, columns, 1).select("column", "value"), "column")
+            .select("column", "value", "top_rows",
                     pct.cast("double").alias("top_percentage")))
 
 

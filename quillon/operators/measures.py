@@ -13,7 +13,7 @@ from quillon.functions.scalars import divide, measure_title
 
 @dataclass(frozen=True)
 class Measure:
-    """An aggregate with its display name; ``column`` may be an expression text or a Column."""
+    """An aggregate with its display name; ``column`` is a column's name, or an expression as a Column."""
 
     column: str | Column
     aggregation: str = "SUM"
@@ -29,7 +29,7 @@ class Measure:
         return measure_format(self.title if not isinstance(self.column, str) else self.column, self.aggregation)
 
     def expression(self) -> Column:
-        col = F.expr(self.column) if isinstance(self.column, str) else self.column
+        col = F.col(f"`{self.column}`") if isinstance(self.column, str) else self.column
         kind = self.aggregation.upper()
         if kind == "SUM":
             return F.sum(col)

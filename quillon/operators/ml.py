@@ -10,7 +10,7 @@ from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, Vec
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillon.functions.types import numeric_columns, text_columns
+from quillon.functions.types import numeric_columns, text_columns, value_or_null
 from quillon.operators.natural_join import natural_join
 from quillon.operators.rows import with_row_number
 from quillon.sources.registry import read_tables
@@ -62,6 +62,7 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFr
 def build_pipeline(df: DataFrame, target: str, kind: str, trees: int = TREES, drop: tuple[str, ...] = ()) -> Pipeline:
     """Encoders, assembler and forest in one pipeline, fitted once and reused for prediction.
 
+    A missing number counts as the mean of its column, so every row is used and predicted.
     Text becomes the number of its value in sorted order; values unseen in training share a
     number of their own instead of failing. The encoders keep their values on the driver, so
     a column with more of them than ``MAX_LABELS`` is refused: encode it with
@@ -80,8 +81,13 @@ def build_pipeline(df: DataFrame, target: str, kind: str, trees: int = TREES, dr
         # plain numbers: a forest splits them by order and needs no bin per value
         plain = ", ".join(f"`{c}__code` + 0.0D AS `{c}__number`" for c in texts)
         stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
-    stages.append(VectorAssembler(inputCols=numbers + [f"{c}__number" for c in texts],
-                                  outputCol="features", handleInvalid="skip"))
+    if numbers:
+        means = df.agg(*[F.avg(value_or_null(df, c).cast("double")).alias(c) for c in numbers]).first()
+        filled = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), {float(means[c] or 0.0)!r}D) AS `{c}__number`"
+                           for c in numbers)
+        stages.append(SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"))
+    stages.append(VectorAssembler(inputCols=[f"{c}__number" for c in numbers + texts],
+                                  outputCol="features", handleInvalid="error"))
     if kind == "regression":
         stages.append(RandomForestRegressor(labelCol=target, numTrees=trees, seed=SEED))
     elif kind == "classification":

@@ -11,6 +11,7 @@ from quillon.functions.types import (
 from quillon.operators.percentiles import quantile_table
 
 LONG_VALUE_BYTES = 64
+HEAD_CHARS = 64
 
 
 def _as_text(df: DataFrame, name: str) -> Column:
@@ -34,13 +35,17 @@ def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
-    return _cells(df, columns).select("column", _key(F.col("text")).alias("key"), F.char_length("text").alias("length"))
+    return _cells(df, columns).select("column", _key(F.col("text")).alias("key"), F.char_length("text").alias("length"),
+                                      F.substring("text", 1, HEAD_CHARS).alias("head"))
 
 
 def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows ``(column, key, rows, length)`` per distinct value; a missing value has a NULL key."""
+    """Rows ``(column, key, rows, length, head)`` per distinct value; a missing value has a NULL key.
+
+    ``key`` stands for a long value; ``head`` holds its first characters.
+    """
     return _keyed(df, columns or df.columns).groupBy("column", "key").agg(
-        F.count("*").alias("rows"), F.max("length").alias("length"))
+        F.count("*").alias("rows"), F.max("length").alias("length"), F.max("head").alias("head"))
 
 
 def column_types(df: DataFrame) -> dict[str, str]:
@@ -102,20 +107,26 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, top: int = 10) -> DataFrame:
-    """The most frequent values per column; equal counts in ascending order of the value key."""
+    """The most frequent values per column; equal counts in ascending order of the value.
+
+    Values are ranked by their counts and first characters, which are all that is shuffled of a long
+    one. The whole texts of those that can be among the first, ties of equal beginnings
+    included, then settle the order.
+    """
     columns = columns or text_columns(df)
-    order = Window.partitionBy("column").orderBy(F.desc("rows"), F.asc("key"))
-    ranked = (
-        frequencies(df, columns).where("key IS NOT NULL")
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-        .select("column", "key", "rank", "rows"))
+    rough = Window.partitionBy("column").orderBy(F.desc("rows"), F.asc("head"))
+    near = (frequencies(df, columns).where("key IS NOT NULL")
+            .withColumn("place", F.rank().over(rough)).where(F.col("place") <= top)
+            .select("column", "key", "rows", "length", "head"))
     longest = (_cells(df, columns).where(F.octet_length("text") > LONG_VALUE_BYTES)
                .select("column", F.sha2("text", 256).alias("key"), "text"))
-    # the ranked side holds at most `top` rows per column
-    texts = (longest.join(F.broadcast(ranked.select("column", "key")), ["column", "key"])
-             .groupBy("column", "key").agg(F.max("text").alias("text")))
-    return ranked.join(texts, ["column", "key"], "left").select(
-        "column", "rank", F.coalesce("text", "key").alias("value"), "rows")
+    texts = longest.join(near.select("column", "key"), ["column", "key"], "left_semi").groupBy("column", "key").agg(
+        F.max("text").alias("text"))
+    value = F.coalesce("text", "key")
+    order = Window.partitionBy("column").orderBy(F.desc("rows"), F.asc("value"))
+    return (near.join(texts, ["column", "key"], "left").select("column", value.alias("value"), "rows")
+            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+            .select("column", "rank", "value", "rows"))
 
 
 def text_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

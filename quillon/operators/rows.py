@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillon.functions.types import numeric_columns, value_or_null
 from quillon.session import scratch
 
+RETAIN_PARTS = 64
+
 
 def sample(df: DataFrame, n: int = 1000, order_by: list[str] | None = None) -> DataFrame:
     """The first ``n`` rows; with an order the same rows every time."""
@@ -68,7 +70,17 @@ def chunk_summary(df: DataFrame, order_by: str, chunk_size: int = 5000,
 
 
 def retain_last(df: DataFrame, key: list[str], order: list[Column], n: int = 100) -> DataFrame:
-    """The first ``n`` rows of every key in the given (descending) order."""
+    """The first ``n`` rows of every key in the given (descending) order.
+
+    Up to 1000, Spark itself keeps ``n`` rows of a key per task before the shuffle. Beyond, the rows
+    of a key are first ranked in parts by a hash of the row, and only the first ``n`` of
+    each part go on, so that a hot key is not sorted whole in one task.
+    """
+    if n > 1000:
+        part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(RETAIN_PARTS))
+        within = Window.partitionBy(*key, "__part").orderBy(*order)
+        df = df.withColumn("__part", part).withColumn("__rank", F.row_number().over(within)).where(
+            F.col("__rank") <= n).drop("__part", "__rank")
     ranked = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= n).drop("__rank")
 
@@ -89,11 +101,11 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order_by: str
 
 
 def map_chunks(df: DataFrame, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-               chunk_size: int = 10_000, on_error: str = "skip", errors=None) -> DataFrame:
+               chunk_size: int = 10_000, on_error: str = "raise", errors=None) -> DataFrame:
     """Apply a pandas function to slices of each partition and unite the results.
 
-    A slice that fails is logged and left out with ``on_error='skip'`` (counted in the
-    accumulator ``errors`` if one is given), or fails the job with ``'raise'``.
+    A slice that fails also fails the job. With ``on_error='skip'`` its rows are left out and
+    logged (and the slice is counted in the accumulator ``errors`` if one is given, again with every retry).
     """
     if on_error not in ("skip", "raise"):
         raise ValueError("on_error must be 'skip' or 'raise'")

@@ -15,9 +15,10 @@ MEASURE_LIMITS = {"line": 3, "column": 2, "card": 4, "map": 1, "pie": 1}
 TABLE_FIELDS = 10
 
 
-def table_visual(df: DataFrame, measure_fields: Sequence[str], dimension_fields: Sequence[str] = ()) -> DataFrame:
-    """Detail rows: the first ten fields, measures first."""
-    return df.select(*[*measure_fields, *dimension_fields][:TABLE_FIELDS])
+def table_visual(df: DataFrame, measure_fields: Sequence[str], dimension_fields: Sequence[str] = (),
+                 fields: int | None = TABLE_FIELDS) -> DataFrame:
+    """Detail rows: the first ``fields`` fields, measures first; all of them with None."""
+    return df.select(*[F.col(f"`{c}`") for c in [*measure_fields, *dimension_fields][:fields]])
 
 
 def pie_visual(df: DataFrame, category: str | Column, measure: Measure) -> DataFrame:
@@ -29,22 +30,23 @@ def pie_visual(df: DataFrame, category: str | Column, measure: Measure) -> DataF
 
 
 def visual(df: DataFrame, kind: str, dims: Sequence[str | Column], specs: Sequence[Measure],
-           grain: str = "month") -> DataFrame:
+           grain: str = "month", limits: dict[str, int] | None = MEASURE_LIMITS) -> DataFrame:
     """The data of one visual: ``line, column, pie, map, card, table, matrix``.
 
-    A line takes a date as its first dimension and groups it by ``grain``. Fields beyond
-    what a visual shows are not computed. A matrix has subtotals from left to right.
+    A line takes a date as its first dimension and groups it by ``grain``. ``limits`` has the
+    number of measures that a kind shows; with None all are computed. A matrix has subtotals from left to right.
     """
+    specs = specs[:(limits or {}).get(kind, len(specs))]
     if kind == "line":
         day = F.col(dims[0]) if isinstance(dims[0], str) else dims[0]
         period = F.date_trunc(grain, day.cast("timestamp")).cast("date").alias("period")
-        return measures(df, specs[:MEASURE_LIMITS[kind]], [period, *dims[1:]])
+        return measures(df, specs, [period, *dims[1:]])
     if kind in ("column", "map"):
-        return measures(df, specs[:MEASURE_LIMITS[kind]], dims[:1])
+        return measures(df, specs, dims[:1])
     if kind == "pie":
         return pie_visual(df, dims[0], specs[0])
     if kind == "card":
-        return measures(df, specs[:MEASURE_LIMITS[kind]])
+        return measures(df, specs)
     if kind == "matrix":
         return df.rollup(*dims).agg(
             *[F.grouping_id().alias("level")], *[m.expression().alias(m.title) for m in specs])
@@ -59,11 +61,15 @@ def pivot_visual(df: DataFrame, rows: Sequence[str], across: str, values: Sequen
 
 
 def visual_bundle(df: DataFrame, specs: Sequence[Measure], date: str | None = None,
-                  category: str | None = None, geography: str | None = None) -> DataFrame:
+                  category: str | None = None, geography: str | None = None,
+                  limits: dict[str, int] | None = MEASURE_LIMITS) -> DataFrame:
     """Line, column, pie, map and card data of a page from one scan.
 
-    Rows ``(priority, visual, category, measure, value)``; the pie's value is the share.
+    ``limits`` as for :func:`visual`; a pie shows the first measure. Rows ``(priority, visual, category, measure, value)``; the pie's value is the share.
     """
+    def shown(kind: str) -> int:
+        return min(len(specs), (limits or {}).get(kind, len(specs)))
+
     parts: dict[str, Column] = {}
     if date:
         parts["__line"] = F.date_format(F.date_trunc("month", F.col(date).cast("timestamp")), "yyyy-MM")
@@ -88,11 +94,11 @@ def visual_bundle(df: DataFrame, specs: Sequence[Measure], date: str | None = No
             category.cast("string").alias("category"), F.lit(specs[j].title).alias("measure"),
             value.alias("value")))
 
-    entries = [entry("card", full, F.lit(None), j, F.col(f"m{j}")) for j in range(len(specs[:MEASURE_LIMITS["card"]]))]
+    entries = [entry("card", full, F.lit(None), j, F.col(f"m{j}")) for j in range(shown("card"))]
     for i, n in enumerate(names):
         kind, level = n.removeprefix("__"), full - (1 << (len(names) - 1 - i))
         entries += [entry(kind, level, F.col(n), j, F.col(f"m{j}"))
-                    for j in range(len(specs[:MEASURE_LIMITS[kind]]))]
+                    for j in range(shown(kind))]
         if kind == "column":
             # all measures are asked for, so that the total comes from the same shuffled groups
             totals = groups.where(F.col("level") == full).select(

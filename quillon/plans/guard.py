@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 FORBIDDEN = ("DROP", "DELETE", "TRUNCATE", "ALTER", "CREATE", "INSERT", "UPDATE", "EXEC", "EXECUTE")
 FORBIDDEN_PREFIXES = ("XP_", "SP_")
 COMMENT_MARKS = ("--", "/*", "*/")
+FORBIDDEN_CALLS = ("REFLECT", "JAVA_METHOD", "TRY_REFLECT")
+FILES_AS_TABLES = "spark.sql.runSQLOnFiles"
 
 _QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", re.S)
 
@@ -26,8 +28,10 @@ def check_sql(sql: str) -> str:
     bare = _QUOTED.sub("''", text)
     found = [m for m in COMMENT_MARKS if m in bare]
     for word in re.findall(r"\w+", bare.upper()):
-        if word in FORBIDDEN or word.startswith(FORBIDDEN_PREFIXES):
+        if word in FORBIDDEN + FORBIDDEN_CALLS or word.startswith(FORBIDDEN_PREFIXES):
             found.append(word)
+    # a function keeps its meaning in backquotes
+    found += [name for name in re.findall(r"`([^`]*)`", text) if name.strip().upper() in FORBIDDEN_CALLS]
     if found:
         raise ValueError(f"not allowed in a query: {', '.join(sorted(set(found)))}")
     if ";" in bare:
@@ -38,11 +42,27 @@ def check_sql(sql: str) -> str:
 
 
 def guarded_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Run a checked query; ``views`` are registered under their names first."""
+    """Run a checked query over ``views``; a path can't stand for a table.
+
+    The names hold while the query is analysed, which binds it to these frames. Views that
+    the session has under the same names come back afterwards.
+    """
     text = check_sql(sql)
-    for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text)
+    held = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) if name in held else None for name in views or {}}
+    files = spark.conf.get(FILES_AS_TABLES)
+    spark.conf.set(FILES_AS_TABLES, "false")
+    try:
+        for name, df in (views or {}).items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(text)
+    finally:
+        spark.conf.set(FILES_AS_TABLES, files)
+        for name, df in before.items():
+            if df is None:
+                spark.catalog.dropTempView(name)
+            else:
+                df.createOrReplaceTempView(name)
 
 
 def run_batch(spark: SparkSession, queries: list[dict], sources: dict[str, dict[str, DataFrame]] | None = None,

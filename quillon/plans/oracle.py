@@ -117,8 +117,7 @@ def _quantile(column: str, p: float) -> str:
 
 def _top(table: str, column: str) -> str:
     return f"""SELECT '{column}' AS "column", '{table}' AS "table", value, rows, rank FROM (
-        SELECT *, row_number() OVER (ORDER BY rows DESC, CASE WHEN strlen(value) > 64 THEN sha256(value) ELSE value END)
-                  AS rank
+        SELECT *, row_number() OVER (ORDER BY rows DESC, value) AS rank
         FROM (SELECT {column} AS value, count(*) AS rows FROM {table} WHERE {column} IS NOT NULL GROUP BY 1))
       WHERE rank <= 10"""
 

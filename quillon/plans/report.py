@@ -20,7 +20,7 @@ def _visual_data(joined: DataFrame, fields: list) -> DataFrame:
     have = set(joined.columns)
     specs = [Measure(f.column, f.suggestion) for f in fields if f.role == "measure" and f.column in have]
     if not specs:
-        return table_visual(joined, [], joined.columns)
+        return table_visual(joined, [], joined.columns, None)
     pick = {kind: next((f.column for f in fields if f.suggestion == kind and f.column in have), None)
             for kind in ("time", "category", "geography")}
     return visual_bundle(joined, specs, pick["time"], pick["category"], pick["geography"])
@@ -28,8 +28,8 @@ def _visual_data(joined: DataFrame, fields: list) -> DataFrame:
 
 def build_report(spark: SparkSession, sources: dict[str, DataFrame], requirements: str,
                  snapshot_path: str | None = None, source_name: str = "source",
-                 approx: bool = False) -> dict[str, DataFrame]:
-    """Frames of a report over the tables that fit the requirements.
+                 approx: bool = False, tables: int = 5) -> dict[str, DataFrame]:
+    """Frames of a report over the ``tables`` tables that fit the requirements best.
 
     ``catalog, tables, joined, dataset, columns, issues, score, advice, insights, fields,
     visuals, visual_data`` and, with a snapshot path, ``drift``. Table choice reads the
@@ -39,8 +39,8 @@ def build_report(spark: SparkSession, sources: dict[str, DataFrame], requirement
     out = {"catalog": catalog}
     if snapshot_path:
         _, out["drift"] = detect_drift(spark, snapshot_path, source_name, catalog)
-    out["tables"] = rank_tables_for(spark, catalog, requirements)
-    # at most five table names
+    out["tables"] = rank_tables_for(spark, catalog, requirements, tables)
+    # at most so many table names
     chosen = [r.table for r in out["tables"].orderBy("rank").collect()] or list(sources)[:1]
     joined, _ = natural_join({t: sources[t] for t in chosen})
     out["joined"] = joined

@@ -169,7 +169,7 @@ def product_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_vs_net_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average list price and average net price per unit, per part."""
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     return load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
         F.round(F.avg(unit), 4).alias("average_price"),
         F.round(F.avg(unit * (1 - F.col("l_discount"))), 4).alias("average_net"), F.count("*").alias("line_count"))

@@ -217,9 +217,15 @@ def read_source(spark: SparkSession, cfg: dict, table: str | None = None, column
         if spec.format == "rest":
             rest.register(spark)
         reader = spark.read.format(spec.format).options(**spec.options(cfg, table))
-        if cfg.get("schema"):
-            reader = reader.schema(cfg["schema"])
+        # a database has schemas of its own, so what it is read as has another key there
+        read_as = cfg.get("read_schema") or (cfg.get("schema") if spec.format == "rest" else None)
+        if read_as:
+            reader = reader.schema(read_as)
+            if spec.format == "rest":
+                reader = reader.option("strict", str(cfg.get("strict", False)).lower())
         df = reader.load()
+        if spec.format == "rest" and cfg.get("limit") is not None:
+            df = df.limit(int(cfg["limit"]))  # the tasks stop at so many rows each
     if cfg["type"] == "salesforce" and "attributes" in df.columns:
         df = df.drop("attributes")
     return apply_cuts(df, columns, where, limit)

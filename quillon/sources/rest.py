@@ -108,9 +108,12 @@ class RestReader(DataSourceReader):
             answer = fetch(self.options, page)
             if isinstance(answer, dict) and page == 1:
                 yield self._row(answer)
-            # pages end at the first one that is empty or no list
-            if not isinstance(answer, list) or not answer:
                 return
+            # pages end at the first one that is empty
+            if not answer and (answer is None or isinstance(answer, list)):
+                return
+            if not isinstance(answer, list):
+                raise ValueError(f"page {page} is no list of records: {json.dumps(answer)[:200]}")
             # no stripe needs more rows than the whole read
             for record in answer[:left] if left > 0 else answer:
                 yield self._row(record)
@@ -118,6 +121,11 @@ class RestReader(DataSourceReader):
             page += partition.step
 
     def _row(self, record: dict) -> tuple:
+        if self.options.get("strict", "true").lower() == "true":
+            unknown = sorted(set(record) - {f.name for f in self.schema.fields})
+            if unknown:
+                raise ValueError(f"fields that the schema lacks: {', '.join(unknown)}; pass a schema with them, "
+                                 "or strict=false to leave them out")
         return tuple(_as(record.get(f.name), f.dataType.typeName()) for f in self.schema.fields)
 
 
@@ -126,7 +134,11 @@ def _as(value, kind: str):
         return None
     if kind == "string":
         return value if isinstance(value, str) else json.dumps(value)
-    return {"double": float, "float": float, "long": int, "integer": int, "boolean": bool}.get(kind, lambda v: v)(value)
+    if kind in ("long", "integer") and (isinstance(value, bool) or not isinstance(value, int)) or (
+            kind == "boolean" and not isinstance(value, bool)) or (
+            kind in ("double", "float") and (isinstance(value, bool) or not isinstance(value, (int, float)))):
+        raise ValueError(f"{json.dumps(value)[:100]} is no {kind}; pass a schema that fits")
+    return float(value) if kind in ("double", "float") else value
 
 
 def _kind(value) -> DataType:
@@ -139,22 +151,22 @@ def _kind(value) -> DataType:
 
 class RestDataSource(DataSource):
     """``spark.read.format("rest")`` with the options ``endpoint``, ``resource``, ``paginate``,
-    ``parallelism`` (pages read side by side), ``headers`` and ``params`` (JSON), and
-    ``fetcher`` (``module:function``, to read something other than HTTP)."""
+    ``parallelism`` (pages read side by side), ``headers`` and ``params`` (JSON), ``strict``
+    (``false`` leaves out fields that the schema lacks instead of failing), ``limit`` (rows a
+    task reads at most) and ``fetcher`` (``module:function``, to read something other than HTTP)."""
 
     @classmethod
     def name(cls) -> str:
         return "rest"
 
     def schema(self) -> StructType:
-        """Types of the first answer's first ten records, when no schema is given."""
+        """Types of the records of the first answer, when no schema is given.
+
+        A later record with another field or a value that does not fit its type is an error.
+        """
         fetch = _load(self.options.get("fetcher", "quillon.sources.rest:fetch_http"))
         paged = self.options.get("paginate", "false").lower() == "true"
-        rows = []
-        for record in _records(fetch(dict(self.options), 1 if paged else None)):
-            rows.append(record)
-            if len(rows) == 10:
-                break
+        rows = list(_records(fetch(dict(self.options), 1 if paged else None)))
         if not rows:
             raise ValueError("the endpoint returned no record to infer a schema from; pass one")
         found: dict[str, DataType] = {}

@@ -14,8 +14,8 @@ from quillon.sources.registry import source_spec
 Processor = Callable[[DataFrame], DataFrame]
 PROCESSORS: dict[str, Processor] = {}
 
-# Seconds between checkpoints and records per batch.
-CHECKPOINT_SECONDS, BATCH_SIZE = 30, 100
+# Fixed value: seconds between checkpoints.
+CHECKPOINT_SECONDS = 30
 
 # Times in JSON text keep their microseconds.
 JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -51,8 +51,8 @@ def read_stream(spark: SparkSession, cfg: dict) -> DataFrame:
     spec = source_spec(cfg)
     if spec.kind != "stream":
         raise ValueError(f"{cfg['type']} is not a stream")
-    options = {"maxOffsetsPerTrigger": str(BATCH_SIZE), **spec.options(cfg, None)}
-    return spark.readStream.format(spec.format).options(**options).load().select(
+    # a batch takes all that has come, unless the configuration has a batch_size
+    return spark.readStream.format(spec.format).options(**spec.options(cfg, None)).load().select(
         F.col("value").cast("string").alias("value"))
 
 

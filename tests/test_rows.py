@@ -53,11 +53,11 @@ def test_chunk_function_errors(spark):
         return pdf.assign(size=len(pdf))
 
     errors = spark.sparkContext.accumulator(0)
-    got = R.map_chunks(df, work, "id long, size long", chunk_size=10, errors=errors)
+    got = R.map_chunks(df, work, "id long, size long", chunk_size=10, on_error="skip", errors=errors)
     assert sorted(r.id for r in got.collect()) == [i for i in range(40) if not 20 <= i < 30]
     assert errors.value == 1
     with pytest.raises(Exception, match="bad chunk"):
-        R.map_chunks(df, work, "id long, size long", 10, on_error="raise").collect()
+        R.map_chunks(df, work, "id long, size long", 10).collect()
     with pytest.raises(ValueError):
         R.map_chunks(df, work, "id long", on_error="ignore")
 
