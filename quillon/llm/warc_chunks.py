@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,23 +221,27 @@ def read_archives(files: DataFrame, with_payload: bool = True, rows_per_batch: i
     end a record.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CHUNKS.split(", ")]
-        whole = {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"}
-        for batch in batches:
-            for path in batch["path"]:
-                rows = []
-                for row in read_chunks(path):
-                    if with_payload or row[8] is not None:
-                        rows.append(row if with_payload else (*row[:5], None, *row[6:]))
-                    if len(rows) >= (rows_per_batch if with_payload else 10_000):
-                        yield pd.DataFrame(rows, columns=names).astype(whole)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names).astype(whole)
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    columns = {c.split()[0]: kinds[c.split()[1]] for c in CHUNKS.split(", ")}
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(columns.values())],
+                                          names=list(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for batch in batches for p in batch.column("path").to_pylist()):
+            rows = []
+            for row in read_chunks(path):
+                if with_payload or row[8] is not None:
+                    rows.append(row if with_payload else (*row[:5], None, *row[6:]))
+                if len(rows) >= (rows_per_batch if with_payload else 10_000):
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
 
     spread = files.select("path").repartition(max(1, files.count()), "path")
-    return spread.mapInPandas(run, CHUNKS)
+    return spread.mapInArrow(run, CHUNKS)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
