@@ -1,19 +1,23 @@
 """Exact quantiles of many columns without sorting or collecting a column.
 
-The built-in exact percentile keeps every distinct value of a column in one task. Here a
-histogram with a bounded number of bins per column first shows between which values each
-wanted rank lies; a second pass counts the values inside these brackets one by one, and those
-between brackets together. A value held by any share of the rows is one counted row, and all
-passes combine before they shuffle.
+The built-in exact percentile keeps every distinct value of a column in one task. Here histograms
+with a bounded number of bins show between which values each wanted rank lies, until so few
+values are left there that they can be counted one by one. A value held by any share of the
+rows is one counted row, and all passes combine before they shuffle.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.functions.names import any_of
 from quillon.functions.types import value_or_null
+from quillon.operators.catalog import local_frame
 
+#: Values between two bounds, from which on they are counted one by one.
+COUNTED = 1 << 20
 LINEAR_BINS = 1 << 16
 BINS_PER_DOUBLING = 1 << 8
 LARGEST = 8e307
@@ -45,46 +49,100 @@ def _bin(value: Column, lo: Column, hi: Column) -> Column:
     return step * (1 << 24) + signed
 
 
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per non-missing cell: the number of its column, which is a cheaper key than its name, and its value."""
+    return df.select(F.posexplode(F.array(*[
+        value_or_null(df, c).cast("double") for c in columns])).alias("column", "value")).where("value IS NOT NULL")
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """Values of a column from ``lo`` to ``hi``: how many there are, and how many are smaller."""
+
+    column: int
+    lo: float
+    hi: float
+    rows: int
+    below: int
+
+    @property
+    def settled(self) -> bool:
+        return self.lo == self.hi
+
+
+def _inside(cells: DataFrame, brackets: list[Bracket]) -> DataFrame:
+    """Cells with the number of the bracket they lie in; there are a few brackets per column, however many rows."""
+    rows = [(b.column, i, b.lo, b.hi) for i, b in enumerate(brackets)]
+    spans = local_frame(cells.sparkSession, rows, "column int, bracket int, lo double, hi double")
+    return cells.join(F.broadcast(spans), "column").where(F.col("value").between(F.col("lo"), F.col("hi")))
+
+
+def _at_ranks(counted: DataFrame, order: str, wanted: dict[int, list[int]], below: list[Bracket]) -> list:
+    """The row of ``counted`` (``bracket, rows, lo, hi``) that holds each wanted rank: ``(bracket, rank, lo, hi, rows, end)``."""
+    upto = Window.partitionBy("bracket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    places = [(i, r, r - below[i].below) for i, ranks in wanted.items() for r in ranks]
+    ranks = local_frame(counted.sparkSession, places, "bracket int, rank bigint, place bigint")
+    found = counted.withColumn("end", F.sum("rows").over(upto)).join(F.broadcast(ranks), "bracket").where("end > place")
+    return found.groupBy("bracket", "rank").agg(
+        F.min_by(F.struct("lo", "hi", "rows", "end"), "end").alias("at")).select("bracket", "rank", "at.*").collect()
+
+
+def _values_at(df: DataFrame, columns: list[str], wanted: list[list[int]], brackets: list[Bracket]) -> dict:
+    """The value at each wanted rank of each column (by number)."""
+    cells = _cells(df, columns)
+    ranks = {i: wanted[b.column] for i, b in enumerate(brackets) if wanted[b.column]}
+    values, stuck = {}, False
+    while ranks:
+        wide = not stuck and any(brackets[i].rows > COUNTED and not brackets[i].settled for i in ranks)
+        for i in [i for i in ranks if brackets[i].settled]:
+            values |= {(brackets[i].column, r): brackets[i].lo for r in ranks.pop(i)}
+        if not ranks:
+            break
+        index = list(ranks)
+        todo, wanted_here = [brackets[i] for i in index], {n: ranks[i] for n, i in enumerate(index)}
+        inside = _inside(cells, todo)
+        if not wide:
+            counted = inside.groupBy("bracket", F.col("value").alias("lo")).agg(F.count("*").alias("rows"))
+            counted = counted.select("bracket", "lo", F.col("lo").alias("hi"), "rows")
+            for r in _at_ranks(counted, "lo", wanted_here, todo):
+                values[todo[r.bracket].column, r["rank"]] = r.lo
+            break
+        binned = inside.groupBy("bracket", _bin(F.col("value"), F.col("lo"), F.col("hi")).alias("bin")).agg(
+            F.count("*").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
+        binned = binned.select("bracket", "bin", "rows", F.col("low").alias("lo"), F.col("high").alias("hi"))
+        narrow: dict[Bracket, list[int]] = {}
+        for r in _at_ranks(binned, "bin", wanted_here, todo):
+            old = todo[r.bracket]
+            narrow.setdefault(Bracket(old.column, r.lo, r.hi, r["rows"], old.below + r.end - r["rows"]), []).append(r["rank"])
+        stuck = set(narrow) == set(todo)  # nothing but values beyond the largest that bins tell apart
+        brackets, ranks = list(narrow), dict(enumerate(narrow.values()))
+    return values
+
+
 def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """Rows ``(column, p, n, value)``: quantiles by linear interpolation, missing values left out."""
+    """Rows ``(column, p, n, value)``: quantiles by linear interpolation, missing values left out.
+
+    One aggregation gives the extremes of all columns. While the values between two bounds around a
+    wanted rank are more than ``COUNTED``, a histogram of them moves the bounds together: four times at
+    most, as the first has 256 bins per doubling and each further one divides what is left by 65,536.
+    Then the values between the bounds are counted one by one. What comes to the driver is some rows per column and
+    quantile. A column without values gives no row.
+    """
     probs = sorted(set(float(p) for p in probs))
-    # the number of the column is a cheaper key than its name
-    values = df.select(F.posexplode(F.array(*[
-        value_or_null(df, c).cast("double") for c in columns])).alias("column", "value")).where("value IS NOT NULL")
-    span = values.groupBy("column").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
-
-    def place(p: float) -> Column:
-        return (F.col("n") - 1) * F.lit(p)
-
-    # spans and brackets have one row per column, so the broadcasts cannot grow with the data
-    bins = values.join(F.broadcast(span), "column").groupBy(
-        "column", "n", _bin(F.col("value"), F.col("least"), F.col("most")).alias("bin"),
-    ).agg(F.count("*").alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    by_bin = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    brackets = bins.withColumn("end", F.sum("rows").over(by_bin)).groupBy("column", "n").agg(*[
-        F.min(F.when(F.col("end") > up(place(p)), F.col(side))).alias(f"{side}{i}")
-        for i, p in enumerate(probs) for side, up in (("lo", F.floor), ("hi", F.ceil))])
-    inside = any_of([F.col("value").between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(probs))])
-    passed = [F.when(F.col("value") > F.col(f"hi{i}"), F.col(f"hi{i}")) for i in range(len(probs))]
-    last_passed = F.greatest(*passed) if len(passed) > 1 else passed[0]
-    # a value outside of all brackets is counted just behind the last bracket below it
-    counted = values.join(F.broadcast(brackets), "column").groupBy(
-        "column", "n", F.when(inside, F.col("value")).otherwise(last_passed).alias("value"),
-        (~inside).alias("behind"),
-    ).agg(F.count("*").alias("rows"))
-    upto = Window.partitionBy("column").orderBy(F.asc_nulls_first("value"), "behind").rowsBetween(
-        Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("end", F.sum("rows").over(upto))
-
-    def at(p: float) -> Column:
-        low = F.min(F.when(F.col("end") > F.floor(place(p)), F.col("value")))
-        high = F.min(F.when(F.col("end") > F.ceil(place(p)), F.col("value")))
-        share = F.max(place(p) - F.floor(place(p)))
-        between = F.when(low == high, low).otherwise(low + (high - low) * share)
-        return F.struct(F.lit(p).alias("p"), F.max("n").alias("n"), between.alias("value"))
-
-    return ranked.groupBy("column").agg(F.array(*[at(p) for p in probs]).alias("found")).select(
-        F.get(F.array(*[F.lit(c) for c in columns]), F.col("column")).alias("column"), F.inline("found"))
+    held = [value_or_null(df, c).cast("double") for c in columns]
+    spans = df.agg(F.array(*[F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+                             for v in held]).alias("spans")).first()["spans"]
+    brackets = [Bracket(i, s.lo, s.hi, s.n, 0) for i, s in enumerate(spans) if s.n]
+    places = {(i, p): (s.n - 1) * p for i, s in enumerate(spans) if s.n for p in probs}
+    wanted = [sorted({f(x) for (c, _), x in places.items() if c == i for f in (math.floor, math.ceil)})
+              for i in range(len(columns))]
+    values = _values_at(df, columns, wanted, brackets)
+    rows = []
+    for (i, p), place in places.items():
+        low, high = values[i, math.floor(place)], values[i, math.ceil(place)]
+        rows.append((columns[i], p, spans[i].n,
+                     low if low == high else low + (high - low) * (place - math.floor(place))))
+    return local_frame(df.sparkSession, rows, "column string, p double, n bigint, value double")
 
 
 def quantile_table(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:

@@ -183,3 +183,20 @@ def test_trend_and_anomalies(spark):
     many = [(datetime.date(2000 + m // 12, 1 + m % 12, 1), 1000.0 if m == 20 else 10.0 + m % 3) for m in range(48)]
     odd = insights.period_anomalies(spark.createDataFrame(many, "d date, v double"), "d", "v")
     assert [r.period.month for r in odd.collect()] == [9] and not math.isnan(odd.first().score)
+
+
+def test_brackets_hold_few_values(spark, monkeypatch):
+    # one outlier puts all other values into one bin of the first histogram
+    monkeypatch.setattr(percentiles, "COUNTED", 2000)
+    seen, inside = [], percentiles._inside
+    monkeypatch.setattr(percentiles, "_inside", lambda cells, brackets: seen.append(brackets) or inside(cells, brackets))
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"cluster": np.append(1e6 + rng.random(60_000), 1e300), "even": np.arange(60_001.0),
+                          "hot": np.append(np.full(50_000, 3.0), rng.random(10_001))})
+    df = spark.createDataFrame(frame).repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.column, r.p): r.value for r in percentiles.percentiles(df, list(frame.columns), probs).collect()}
+    for c in frame.columns:
+        for p in probs:
+            assert got[c, p] == pytest.approx(np.quantile(frame[c], p), rel=1e-12), (c, p)
+    assert max(b.rows for b in seen[-1] if not b.settled) <= 2000 and 2 < len(seen) <= 5
