@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quillon.functions import names as N
 from quillon.functions.types import spark_family, value_or_null
 from quillon.operators.catalog import local_frame
+from quillon.session import scratch
 
 
 def detect_keys(catalog_df: DataFrame, legacy: bool = False, fk_suffixes=("_id", "key")) -> DataFrame:
@@ -43,22 +44,42 @@ def key_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("rows"))
 
 
-def key_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """Rows, missing, distinct values and the largest group of single columns.
+COUNTED_SCHEMA = "table string, column string, key string, rows bigint"
+
+
+def counted_keys(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
+    """Rows ``(table, column, key, rows)`` of all key columns, counted once and written.
 
     Every column is read and counted on its own: the file format gives it without the
-    others, and its keys shuffle in their own narrow type.
+    others. Whatever is asked about keys later reads this table of distinct keys and not
+    the data; a key that a third of all rows hold is one row of it.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    frames = [key_counts(tables[t], c).select(F.lit(t).alias("table"), F.lit(c).alias("column"),
+                                              F.col("key").cast("string").alias("key"), "rows")
+              for t, names in columns.items() for c in names]
+    path = scratch(spark, "keys")
+    _union(frames).write.partitionBy("table", "column").parquet(path)
+    return spark.read.schema(COUNTED_SCHEMA).parquet(path)
+
+
+def key_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]], counted: DataFrame | None = None) -> DataFrame:
+    """Rows, missing, distinct values and the largest group of single columns, a row per column.
+
+    ``counted`` is the result of :func:`counted_keys` for at least these columns, if there is one.
     """
+    counted = counted if counted is not None else counted_keys(tables, columns)
+    asked = local_frame(counted.sparkSession, [(t, c) for t, names in columns.items() for c in names],
+                        "table string, column string")
     found = F.col("key").isNotNull()
-    frames = [
-        key_counts(tables[t], c).agg(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
-            F.coalesce(F.sum(F.when(~found, F.col("rows"))), F.lit(0)).alias("null_count"),
-            F.count("key").alias("unique_count"), F.max(F.when(found, F.col("rows"))).alias("largest_group"),
-        ).select(F.lit(t).alias("table"), F.lit(c).alias("column"), "*")
-        for t, names in columns.items() for c in names]
+    sums = counted.groupBy("table", "column").agg(
+        F.sum("rows").alias("row_count"), F.coalesce(F.sum(F.when(~found, F.col("rows"))), F.lit(0)).alias("null_count"),
+        F.count("key").alias("unique_count"), F.max(F.when(found, F.col("rows"))).alias("largest_group"))
+    zero = F.lit(0).cast("bigint")
     unique = (F.col("row_count") == F.col("unique_count")) & (F.col("null_count") == 0)
-    return _union(frames).withColumn("is_unique", unique)
+    return asked.join(sums, ["table", "column"], "left").select(
+        "table", "column", *[F.coalesce(c, zero).alias(c) for c in ("row_count", "null_count", "unique_count")],
+        "largest_group").withColumn("is_unique", unique)
 
 
 def verify_primary_key(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -174,9 +195,9 @@ def _edge_frame(tables: dict[str, DataFrame], edges: list[dict]) -> DataFrame:
     return local_frame(spark, [tuple(e[f] for f in EDGE_FIELDS) for e in edges], EDGE_SCHEMA)
 
 
-def cardinality(tables: dict[str, DataFrame], edges: list[dict]) -> DataFrame:
+def cardinality(tables: dict[str, DataFrame], edges: list[dict], counted: DataFrame | None = None) -> DataFrame:
     """The edges with the largest group on either side, their cardinality and filter direction."""
-    keys = key_profile(tables, _edge_columns(edges)).select("table", "column", "largest_group")
+    keys = key_profile(tables, _edge_columns(edges), counted).select("table", "column", "largest_group")
 
     def side(end: str) -> DataFrame:
         return keys.select(F.col("table").alias(f"{end}_table"), F.col("column").alias(f"{end}_column"),
@@ -206,23 +227,26 @@ def fk_matched(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFra
     return keys.join(parent.select(F.col(pk).alias("key")), "key", "left_semi")
 
 
-def inclusion(tables: dict[str, DataFrame], edges: list[dict]) -> DataFrame:
+def inclusion(tables: dict[str, DataFrame], edges: list[dict], counted: DataFrame | None = None) -> DataFrame:
     """The edges with the rows on the ``from`` side that have, or lack, a partner.
 
-    Both sides are counted per key first, so a join sees every key once and reuses the
-    partitioning of the counts; a key's count is shuffled once however many edges use it.
+    All edges are one join of distinct keys: those of the ``from`` columns, once per edge, with
+    those of the ``to`` columns. Missing keys are left out.
     """
-    frames = []
-    for e in edges:
-        # the counts of both sides are kept, so that all uses of a column are the same shuffle
-        child = key_counts(tables[e["from_table"]], e["from_column"]).where("key IS NOT NULL")
-        parent = key_counts(tables[e["to_table"]], e["to_column"]).select("key", (F.col("rows") > 0).alias("found"))
-        both = child.join(parent, "key", "left")
-        frames.append(both.agg(
-            F.coalesce(F.sum(F.when(F.col("found"), F.col("rows"))), F.lit(0)).alias("matched_rows"),
-            F.coalesce(F.sum(F.when(F.col("found").isNull(), F.col("rows"))), F.lit(0)).alias("orphan_rows"),
-        ).select(*[F.lit(e[f]).alias(f) for f in EDGE_FIELDS], "matched_rows", "orphan_rows"))
-    return _union(frames)
+    counted = counted if counted is not None else counted_keys(tables, _edge_columns(edges))
+    ends = _edge_frame(tables, edges)
+    keys = counted.where("key IS NOT NULL").select(F.col("table").alias("t"), F.col("column").alias("c"), "key", "rows")
+    child = keys.join(ends, (F.col("t") == F.col("from_table")) & (F.col("c") == F.col("from_column"))).drop("t", "c")
+    parent = keys.join(ends.select("to_table", "to_column").distinct(),
+                       (F.col("t") == F.col("to_table")) & (F.col("c") == F.col("to_column"))).select(
+        "to_table", "to_column", "key", F.lit(True).alias("found"))
+    both = child.join(parent, ["to_table", "to_column", "key"], "left").groupBy(*EDGE_FIELDS).agg(
+        F.sum(F.when(F.col("found"), F.col("rows"))).alias("matched_rows"),
+        F.sum(F.when(F.col("found").isNull(), F.col("rows"))).alias("orphan_rows"))
+    zero = F.lit(0).cast("bigint")
+    return ends.join(both, list(EDGE_FIELDS), "left").select(
+        *EDGE_FIELDS, F.coalesce("matched_rows", zero).alias("matched_rows"),
+        F.coalesce("orphan_rows", zero).alias("orphan_rows"))
 
 
 def relationship_cycles(edges_df: DataFrame, max_depth: int | None = None) -> DataFrame:

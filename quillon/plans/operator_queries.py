@@ -138,44 +138,42 @@ def natural_join_fold(spark, sf_dir):
     ).withColumn("skipped_tables", F.lit(",".join(skipped)))
 
 
-MODEL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-
-
-def model_parts(spark, sf_dir, names=MODEL_TABLES):
-    """Tables, catalog, named keys, proven single-column keys, table kinds and edges by name."""
-    tables = load_all(spark, sf_dir, names)
+def model_parts(spark, sf_dir):
+    """All tables, their catalog, named keys, what the data says about them, and the counted keys."""
+    tables = load_all(spark, sf_dir)
     cat = catalog.catalog_of(spark, tables)
     keys = modeling.detect_keys(cat)
     columns: dict[str, list[str]] = {}
     # names only: one row per key column of the catalog
     for r in keys.select("table", "column").distinct().collect():
         columns.setdefault(r.table, []).append(r.column)
-    proven = modeling.key_profile(tables, columns)
-    return tables, cat, keys, proven
+    counted = modeling.counted_keys(tables, columns)
+    return tables, cat, keys, modeling.key_profile(tables, columns, counted), counted
 
 
 def model_edges(spark, sf_dir, parts=None):
-    tables, cat, keys, proven = parts or model_parts(spark, sf_dir)
+    """Tables, edges by name between proven keys, and the counted keys."""
+    tables, cat, keys, proven, counted = parts or model_parts(spark, sf_dir)
     kinds = modeling.classify_tables(cat, keys)
     edges = modeling.infer_relationships(cat, kinds, star_only=False, strip_prefix=True,
                                          own_keys=proven.where("is_unique"))
-    return tables, modeling.edge_list(edges.orderBy(*modeling.EDGE_FIELDS))
+    return tables, modeling.edge_list(edges.orderBy(*modeling.EDGE_FIELDS)), counted
 
 
 def detect_key_columns(spark, sf_dir):
     """Key columns by name with what the data says about them."""
-    _, _, keys, proven = model_parts(spark, sf_dir)
+    _, _, keys, proven, _ = model_parts(spark, sf_dir)
     return keys.select("table", "column", "category").join(proven, ["table", "column"])
 
 
 def classify_tables(spark, sf_dir):
-    _, cat, keys, proven = model_parts(spark, sf_dir)
+    _, cat, keys, proven, _ = model_parts(spark, sf_dir)
     return modeling.classify_tables(cat, keys, proven.where("is_unique"))
 
 
 def suggest_measures_dims(spark, sf_dir):
     """Suggested fields with their filled rows."""
-    tables = load_all(spark, sf_dir, MODEL_TABLES)
+    tables = load_all(spark, sf_dir)
     fields = modeling.suggest_fields(catalog.catalog_of(spark, tables))
     return fields.join(catalog.column_fill(tables), ["table", "column"]).select(
         "table", "column", "role", "suggestion", "row_count", "value_count")
@@ -183,36 +181,34 @@ def suggest_measures_dims(spark, sf_dir):
 
 def infer_relationships(spark, sf_dir):
     """Edges by name with the rows that have, or lack, a partner."""
-    tables, edges = model_edges(spark, sf_dir)
-    return modeling.inclusion(tables, edges)
+    return modeling.inclusion(*model_edges(spark, sf_dir))
 
 
 def relationship_cardinality(spark, sf_dir):
-    tables, edges = model_edges(spark, sf_dir)
-    return modeling.cardinality(tables, edges)
+    return modeling.cardinality(*model_edges(spark, sf_dir))
 
 
 def both_ways(edges: list[dict]) -> list[dict]:
     back = [{"from_table": e["to_table"], "from_column": e["to_column"],
              "to_table": e["from_table"], "to_column": e["from_column"]} for e in edges]
-    return edges + back
+    return edges + [e for e in back if e not in edges]
 
 
 def relationship_cycles(spark, sf_dir):
     """Cycles among the edges, either way round, along which every key has a partner."""
-    tables, edges = model_edges(spark, sf_dir)
-    held = modeling.inclusion(tables, both_ways(edges)).where("orphan_rows = 0")
+    tables, edges, counted = model_edges(spark, sf_dir)
+    held = modeling.inclusion(tables, both_ways(edges), counted).where("orphan_rows = 0")
     return modeling.relationship_cycles(held)
 
 
 def model_score(spark, sf_dir):
-    tables, cat, keys, proven = parts = model_parts(spark, sf_dir)
-    _, edges = model_edges(spark, sf_dir, parts)
-    measured = modeling.cardinality(tables, edges)
+    tables, cat, keys, proven, counted = parts = model_parts(spark, sf_dir)
+    _, edges, _ = model_edges(spark, sf_dir, parts)
+    measured = modeling.cardinality(tables, edges, counted)
     has_key = cat.select("table").distinct().join(
         proven.groupBy("table").agg(F.bool_or("is_unique").alias("has_key")), "table", "left").select(
         "table", F.coalesce("has_key", F.lit(False)).alias("has_key"))
-    held = modeling.inclusion(tables, both_ways(edges)).where("orphan_rows = 0")
+    held = modeling.inclusion(tables, both_ways(edges), counted).where("orphan_rows = 0")
     star = modeling.star_compliance(cat, keys, measured)
     return modeling.validate_model(has_key, measured, modeling.relationship_cycles(held), star)
 
@@ -300,7 +296,7 @@ def table_relevance(spark, sf_dir):
 
 
 def model_complexity(spark, sf_dir):
-    return catalog.model_size(load_all(spark, sf_dir, MODEL_TABLES), n_measures=6)
+    return catalog.model_size(load_all(spark, sf_dir), n_measures=6)
 
 
 # --- profile -----------------------------------------------------------------------------

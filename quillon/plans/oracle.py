@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # The columns of the test tables with their Spark types.
 COLUMNS = {
     "region": "r_regionkey int, r_name string",
@@ -23,19 +25,31 @@ COLUMNS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 SCHEMA = {t: [tuple(c.split(" ")) for c in cols.split(", ")] for t, cols in COLUMNS.items()}
-MODEL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-# Edges that names suggest and unique keys confirm.
-EDGES = (
-    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
-    ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
-    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-)
-KEY_COLUMNS = {
-    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"],
-    "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "events": ["event_id", "user_id"],
-}
+
+
+def _key_columns() -> dict[str, list[str]]:
+    """Columns that are keys by name: a part of it is id, key or pk, or a part ends in key or pk."""
+    rule = re.compile(r"(^|_)(id|key|pk)(_|$)|(key|pk)(_|$)")
+    return {t: [c for c, _ in cols if rule.search(c)] for t, cols in SCHEMA.items()}
+
+
+KEY_COLUMNS = _key_columns()
+
+
+def _edges() -> list[tuple[str, str, str, str]]:
+    """Edges that names suggest: to the first key of a table, from the first column of another one that is called like
+    it, prefixes of one or two letters aside. Whether that key is unique is for the data to say (``_unique``)."""
+    out = []
+    for to, keys in KEY_COLUMNS.items():
+        bare = re.sub("^[a-z]{1,2}_", "", keys[0])
+        for source, cols in SCHEMA.items():
+            named = [c for c, _ in cols if re.sub("^[a-z]{1,2}_", "", c) in (bare, f"{to}_{bare}", f"{to}id")]
+            if source != to and named:
+                out.append((source, named[0], to, keys[0]))
+    return out
+
+
+EDGES = _edges()
 
 REV = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
 PRICE = "CAST(o_totalprice AS DECIMAL(18,4))"
@@ -192,10 +206,10 @@ CUSTOMER_FACTS = f"""
 
 def _held_edges() -> str:
     """Edges, either way round, along which every key has a partner."""
-    ways = [e for e in EDGES] + [(c, d, a, b) for a, b, c, d in EDGES]
-    return _union(
-        f"SELECT '{a}' AS a, '{c}' AS b WHERE NOT EXISTS (SELECT 1 FROM {a} WHERE {b} NOT IN (SELECT {d} FROM {c}))"
-        for a, b, c, d in ways)
+    ways = [(e, e[2:]) for e in EDGES] + [((c, d, a, b), (c, d)) for a, b, c, d in EDGES]
+    return "SELECT DISTINCT a, b FROM (" + _union(
+        f"SELECT '{a}' AS a, '{c}' AS b WHERE {_unique(*key)} AND NOT EXISTS (SELECT 1 FROM {a} WHERE {b} NOT IN (SELECT {d} FROM {c}))"
+        for (a, b, c, d), key in ways) + ")"
 
 
 def _cycles() -> str:
@@ -204,7 +218,7 @@ def _cycles() -> str:
         SELECT a AS start, b AS here, [a, b] AS path, 1 AS steps FROM edges WHERE b >= a
         UNION ALL
         SELECT start, b, list_append(path, b), steps + 1 FROM walk JOIN edges ON here = a
-        WHERE here <> start AND (b = start OR (b > start AND NOT list_contains(path, b))) AND steps < 8)
+        WHERE here <> start AND (b = start OR (b > start AND NOT list_contains(path, b))) AND steps < {len(SCHEMA)})
       SELECT array_to_string(path, ' -> ') AS cycle, CAST(steps AS BIGINT) AS length FROM walk WHERE here = start"""
 
 
@@ -228,8 +242,8 @@ def _model_score() -> str:
     no_key = " + ".join(
         "CASE WHEN " + " OR ".join(_unique(t, k) for k in keys) + " THEN 0 ELSE 1 END" for t, keys in KEY_COLUMNS.items())
     m2m = " + ".join(
-        f"""CASE WHEN NOT {_unique(a, b)} AND NOT {_unique(c, d)} THEN 1 ELSE 0 END""" for a, b, c, d in EDGES)
-    wrong = " + ".join(f"CASE WHEN {_unique(a, b)} THEN 1 ELSE 0 END" for a, b, c, d in EDGES
+        f"""CASE WHEN {_unique(c, d)} AND NOT {_unique(a, b)} AND NOT {_unique(c, d)} THEN 1 ELSE 0 END""" for a, b, c, d in EDGES)
+    wrong = " + ".join(f"CASE WHEN {_unique(c, d)} AND {_unique(a, b)} THEN 1 ELSE 0 END" for a, b, c, d in EDGES
                        if a in ("orders", "lineitem", "events") and c not in ("orders", "lineitem", "events"))
     return f"""WITH s AS (SELECT CAST({no_key} AS BIGINT) AS tables_without_key, CAST({m2m} AS BIGINT) AS many_to_many,
           (SELECT count(*) FROM ({_cycles()})) AS cycles, ({wrong}) = 0 AS is_compliant)
@@ -242,7 +256,7 @@ def _suggested() -> str:
                 ("lineitem", "l_extendedprice"), ("events", "value")]
     category = [("part", "p_type"), ("events", "event_type")]
     rows = []
-    for t in MODEL_TABLES:
+    for t in SCHEMA:
         for c, kind in SCHEMA[t]:
             if (t, c) in measures:
                 rows.append((t, c, "measure", "SUM"))
@@ -345,9 +359,9 @@ def statements() -> dict[str, str]:
     summary = ", ".join(
         f"('{t}', '{c}', CAST({i + 1} AS BIGINT), CAST({r + 1} AS BIGINT), CAST({len(SCHEMA[t])} AS BIGINT))"
         for r, t in enumerate(widest) for i, c in enumerate(_names(t)[:5]))
-    cells = " + ".join(f"(SELECT count(*) FROM {t}) * {len(SCHEMA[t])}" for t in MODEL_TABLES)
-    model_rows = " + ".join(f"(SELECT count(*) FROM {t})" for t in MODEL_TABLES)
-    model_columns = sum(len(SCHEMA[t]) for t in MODEL_TABLES)
+    cells = " + ".join(f"(SELECT count(*) FROM {t}) * {len(SCHEMA[t])}" for t in SCHEMA)
+    model_rows = " + ".join(f"(SELECT count(*) FROM {t})" for t in SCHEMA)
+    model_columns = sum(len(SCHEMA[t]) for t in SCHEMA)
     return {
         "scan_csv_roundtrip": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
             CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders""",
@@ -395,13 +409,14 @@ def statements() -> dict[str, str]:
         "infer_relationships": _union(
             f"""SELECT '{a}' AS from_table, '{b}' AS from_column, '{c}' AS to_table, '{d}' AS to_column,
                 count(*) FILTER ({b} IN (SELECT {d} FROM {c})) AS matched_rows,
-                count(*) FILTER ({b} NOT IN (SELECT {d} FROM {c})) AS orphan_rows FROM {a}""" for a, b, c, d in EDGES),
+                count(*) FILTER ({b} NOT IN (SELECT {d} FROM {c})) AS orphan_rows FROM {a} HAVING {_unique(c, d)}"""
+            for a, b, c, d in EDGES),
         "relationship_cardinality": "SELECT *, " + """CASE WHEN from_largest > 1 AND to_largest > 1 THEN 'many_to_many'
                 WHEN from_largest > 1 THEN 'many_to_one' WHEN to_largest > 1 THEN 'one_to_many' ELSE 'one_to_one' END
                 AS cardinality, 'single' AS filter_direction FROM (""" + _union(
             f"""SELECT '{a}' AS from_table, '{b}' AS from_column, '{c}' AS to_table, '{d}' AS to_column,
                 (SELECT max(n) FROM (SELECT count(*) AS n FROM {a} GROUP BY {b})) AS from_largest,
-                (SELECT max(n) FROM (SELECT count(*) AS n FROM {c} GROUP BY {d})) AS to_largest"""
+                (SELECT max(n) FROM (SELECT count(*) AS n FROM {c} GROUP BY {d})) AS to_largest WHERE {_unique(c, d)}"""
             for a, b, c, d in EDGES) + ")",
         "relationship_cycles": _cycles(),
         "model_score": _model_score(),
@@ -438,10 +453,10 @@ def statements() -> dict[str, str]:
             FROM ({_fill(("customer", "orders", "part", "supplier"))})
             UNION ALL SELECT 'customer', 'c_country', count(*), 'only_new' FROM customer""",
         "table_relevance": _relevance(),
-        "model_complexity": f"""SELECT CAST({len(MODEL_TABLES)} AS BIGINT) AS table_count,
+        "model_complexity": f"""SELECT CAST({len(SCHEMA)} AS BIGINT) AS table_count,
             CAST({model_columns} AS BIGINT) AS column_count, CAST(6 AS BIGINT) AS measure_count,
             CAST({model_rows} AS BIGINT) AS row_count, CAST({cells} AS BIGINT) AS cell_count,
-            CAST(least(100, floor({len(MODEL_TABLES)} * 2 + {model_columns} * 0.1 + 6 * 1.5)) AS BIGINT) AS complexity_score,
+            CAST(least(100, floor({len(SCHEMA)} * 2 + {model_columns} * 0.1 + 6 * 1.5)) AS BIGINT) AS complexity_score,
             CAST(({cells}) // 1000 AS BIGINT) AS size_estimate_mb""",
         "profile_dataset": _memory(),
         "profile_nulls": f"""WITH {BLANKED} SELECT "column", row_count, null_count,
