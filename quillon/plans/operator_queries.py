@@ -19,7 +19,7 @@ from quillon.operators.natural_join import natural_join
 from quillon.operators.visuals import apply_filters, table_visual, visual_bundle
 from quillon.plans.guard import guarded_sql
 from quillon.plans.workload import orders_with_revenue
-from quillon.session import load, load_all, scratch
+from quillon.session import load, load_all, scratch, stored
 from quillon.sources.files import union_frames
 from quillon.sources.registry import apply_cuts, read_source
 from quillon.streaming import runner
@@ -374,7 +374,7 @@ def quality_score(spark, sf_dir):
     """Scores of the blanked orders and of the raw part table, default and strict weights."""
     frames = []
     for name, df in (("orders", blanked_orders(spark, sf_dir)), ("part", load(spark, sf_dir, "part"))):
-        counts = profile.column_counts(df)
+        counts = stored(profile.column_counts(df), "counts")  # a row per column
         found = quality.quality_issues(counts)
         for strict in (False, True):
             frames.append(quality.quality_score(counts, found, strict).select(

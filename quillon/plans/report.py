@@ -13,6 +13,7 @@ from quillon.operators.modeling import suggest_fields
 from quillon.operators.natural_join import natural_join
 from quillon.operators.profile import profile
 from quillon.operators.visuals import suggest_visuals, table_visual, visual_bundle
+from quillon.session import stored
 
 
 def _visual_data(joined: DataFrame, fields: list) -> DataFrame:
@@ -33,7 +34,8 @@ def build_report(spark: SparkSession, sources: dict[str, DataFrame], requirement
 
     ``catalog, tables, joined, dataset, columns, issues, score, advice, insights, fields,
     visuals, visual_data`` and, with a snapshot path, ``drift``. Table choice reads the
-    catalog only; all work on the data waits for the caller to write a frame.
+    catalog only. The join and its profile are written to the shared folder at once; all other
+    work on the data waits for the caller to write a frame.
     """
     catalog = catalog_of(spark, sources)
     out = {"catalog": catalog}
@@ -43,8 +45,10 @@ def build_report(spark: SparkSession, sources: dict[str, DataFrame], requirement
     # at most so many table names
     chosen = [r.table for r in out["tables"].orderBy("rank").collect()] or list(sources)[:1]
     joined, _ = natural_join({t: sources[t] for t in chosen})
-    out["joined"] = joined
-    out["dataset"], out["columns"] = profile(joined, approx)
+    # the join and the profile are read by nearly all that follows
+    out["joined"] = joined = stored(joined, "joined")
+    out["dataset"], columns = profile(joined, approx)
+    out["columns"] = stored(columns, "columns")
     issues = quality.union_issues(quality.quality_issues(out["columns"]), quality.empty_issue(out["columns"]))
     out["issues"] = issues
     out["score"] = quality.quality_score(out["columns"], issues)
