@@ -10,7 +10,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
@@ -22,9 +22,8 @@ THRESHOLD = 0.8
 REGISTERS = 128
 BAND_ROWS = 4
 BANDS = REGISTERS // BAND_ROWS
-#: Buckets of up to so many nodes are compared whole; of larger ones, so many nodes of the largest class a round.
-SMALL = 16
-SHOWN = 3
+#: Nodes of a bucket that all others of it are compared with.
+HEADS = 3
 #: Candidate ids up to this number (16 bytes each) may be broadcast; beyond, ids and texts are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -182,33 +181,33 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
                      for (x, m), (y, n) in zip(a, b)]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
+    ends = pairs.select("a").union(pairs.select("b")).distinct()
+    if ends.count() <= BROADCAST_IDS:  # 17 bytes each: sets that no pair needs are not shuffled
+        left = left.join(F.broadcast(ends), "a", "left_semi")
+        right = right.join(F.broadcast(ends.withColumnRenamed("a", "b")), "b", "left_semi")
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
 def next_pairs(members: DataFrame, labels: DataFrame, number: int) -> DataFrame:
     """``a, b``: nodes of different classes that share a bucket and are to be compared in round ``number``.
 
-    In a bucket of up to ``SMALL`` nodes, all of them. In a larger one every node outside the bucket's largest class
-    meets some nodes of that class and one from outside it, which a hash chooses anew in each round and bucket. So a round has a
-    bounded number of pairs for each node and bucket, whatever the size of the bucket.
+    In a bucket with several classes every node outside the largest one meets that class's most central node, and one
+    of the other nodes outside it, the first by a hash that changes with the round. So a round has two pairs for each
+    node and bucket at most, whatever the size of the bucket.
     """
-    classed = members.join(labels, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+    classed = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = classed.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
                                       F.count("*").alias("classes")).where("classes > 1").drop("classes")
     rows = written(classed.join(mixed, "band"), "mixed")
-    outside = rows.where((F.col("n") > SMALL) & (F.col("root") != F.col("main")))
-    few = rows.where(F.col("n") <= SMALL).select("band", F.col("node").alias("u"), F.col("root").alias("ru"))
-    pairs = few.join(rows, "band").where((F.col("u") < F.col("node")) & (F.col("ru") != F.col("root"))).select(
-        F.col("u").alias("a"), F.col("node").alias("b"))
-    inside = rows.where((F.col("n") > SMALL) & (F.col("root") == F.col("main")))
-    for side, shown in ((inside, SHOWN), (outside, 1)):
-        chosen = side.groupBy("band").agg(F.array_distinct(F.array(*[
-            F.min_by("node", F.xxhash64("node", "band", F.lit(SHOWN * number + i))) for i in range(shown)])).alias("c"))
-        chosen = chosen.select("band", F.explode("c").alias("other"))
-        met = outside.join(chosen, "band").where("node <> other")
-        pairs = pairs.union(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
-    return pairs.distinct()
+    inner = F.col("root") == F.col("main")
+    chosen = rows.groupBy("band").agg(
+        F.max_by(F.struct("node", "root"), F.when(inner, F.struct("weight", "node"))).alias("centre"),
+        F.min_by(F.struct("node", "root"), F.when(~inner, F.struct(F.xxhash64("node", F.lit(number)), "node"))).alias("other"))
+    shown = written(chosen.select("band", F.explode(F.array("centre", "other")).alias("s")).select(
+        "band", F.col("s.node").alias("head"), F.col("s.root").alias("head_root")), "shown")
+    met = rows.where(~inner).join(shown, "band").where("root <> head_root")
+    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -217,7 +216,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     Rows with the same words are one node. Nodes meet in buckets of equal bands; a link is a pair that shares a bucket
     and whose exact similarity is ``threshold`` or more. Classes are the components of the links. A large group of near copies
     has more links than can be looked at, and its class needs few of them: first every node of a bucket is
-    compared with the bucket's most central node, the one whose buckets are the largest; then, round by round, nodes
+    compared with the bucket's ``HEADS`` most central nodes, those whose buckets are the largest; then, round by round, nodes
     that are still in different classes of a bucket are compared (``next_pairs``), until a round finds no link.
 
     ``text_key`` tells rows of a repeated doc_id apart. Repeated rows get the same class. Texts without words are alike only if equal; a null text is alone. Null ids
@@ -227,10 +226,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     nodes = written(drawn.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
     placed = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(placed.join(shared, "band"), "buckets")
-    weights = written(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    heads = members.join(weights, "node").groupBy("band").agg(
-        F.max_by("node", F.struct("weight", "node")).alias("head"))
+    sized = written(placed.join(shared, "band"), "buckets")
+    weights = written(sized.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    members = written(sized.join(weights, "node").select("band", "node", "weight"), "members")
+    # Spark keeps the first of each bucket in every task before it shuffles
+    order = Window.partitionBy("band").orderBy(F.desc("weight"), "node")
+    heads = written(members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEADS).select(
+        "band", F.col("node").alias("head")), "heads")
     stars = members.join(heads, "band").where("node <> head").select(
         F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     sets = shingle_sets(docs, written(weights.join(nodes, "node").select("node", "doc_id"), "wanted"), size)
