@@ -598,8 +598,9 @@ def stream_hourly_rate(spark, sf_dir):
     events = runner.good_records(runner.decode(raw, EVENT_RECORD))
     rates = runner.stream_rates(events, "ts", by=("event_type",))
     sink = scratch(spark, "stream")
-    runner.run_totals(rates, f"{sink}/states", f"{sink}/offsets", available_now=True).awaitTermination()
-    return runner.newest_state(spark, f"{sink}/states").withColumn(
+    keys = ("window_start", "event_type")
+    runner.run_totals(rates, f"{sink}/states", f"{sink}/offsets", True, keys).awaitTermination()
+    return runner.newest_state(spark, f"{sink}/states", keys).withColumn(
         "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 

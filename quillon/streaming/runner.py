@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -135,24 +136,57 @@ def run_profiled(df: DataFrame, sink: str, checkpoint: str, available_now: bool
             else writer.trigger(processingTime=f"{CHECKPOINT_SECONDS} seconds")).start()
 
 
-def run_totals(df: DataFrame, sink: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Keep the newest state of a streaming aggregation as one parquet folder per batch.
+def run_totals(df: DataFrame, sink: str, checkpoint: str, available_now: bool = False,
+               keys: tuple[str, ...] = ()) -> StreamingQuery:
+    """Keep the results of a streaming aggregation, one parquet folder per batch below ``sink``.
 
-    Complete mode is for aggregations of bounded size, such as counts per window.
+    With the aggregation's ``keys`` a batch writes only the rows that it changed, and a
+    watermark drops the state of windows that are over; :func:`newest_state` takes the last row of each key, and
+    :func:`compact_states` merges the folders now and then. Without keys every batch
+    writes all rows, for aggregations of bounded size such as one row of counts.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/state={batch_id}")
 
-    writer = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = df.writeStream.outputMode("update" if keys else "complete").foreachBatch(write).option(
+        "checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now
             else writer.trigger(processingTime=f"{CHECKPOINT_SECONDS} seconds")).start()
 
 
-def newest_state(spark: SparkSession, sink: str) -> DataFrame:
-    """The last state that :func:`run_totals` wrote."""
+def _merged(spark: SparkSession, sink: str) -> DataFrame | None:
+    """What :func:`compact_states` left, if it ever ran."""
+    try:
+        return spark.read.parquet(f"{sink}-merged")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def newest_state(spark: SparkSession, sink: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The results that :func:`run_totals` has written so far, with the same ``keys``."""
     states = spark.read.parquet(sink)
-    last = states.agg(F.max("state")).scalar()
-    return states.where(F.col("state") == last).drop("state")
+    if not keys:
+        last = states.agg(F.max("state")).scalar()
+        return states.where(F.col("state") == last).drop("state")
+    merged = _merged(spark, sink)
+    if merged is not None:
+        upto = merged.agg(F.max("upto")).scalar()
+        kept = merged.where(F.col("upto") == upto).withColumn("state", F.col("upto")).drop("upto")
+        states = states.where(F.col("state") > upto).unionByName(kept.select(*states.columns))
+    rest = [c for c in states.columns if c not in (*keys, "state")]
+    return states.groupBy(*keys).agg(F.max_by(F.struct(*rest), "state").alias("row")).select(*keys, "row.*")
+
+
+def compact_states(spark: SparkSession, sink: str, keys: tuple[str, ...]) -> None:
+    """Merge all batches so far into one folder beside ``sink``, which later reads start from.
+
+    Batch folders up to the merged one are no longer read and may be removed. A compaction that
+    fails or runs twice leaves a folder that is overwritten.
+    """
+    upto = spark.read.parquet(sink).agg(F.max("state")).first()[0]
+    newest_state(spark, sink, keys).write.mode("overwrite").parquet(f"{sink}-merged/upto={upto}")
 
 
 def to_messages(df: DataFrame, key: str | None = None) -> DataFrame:

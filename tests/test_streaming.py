@@ -85,3 +85,24 @@ def test_publish_and_read_back(spark, tmp_path):
 def test_stream_sources_only(spark):
     with pytest.raises(ValueError, match="not a stream"):
         runner.read_stream(spark, {"type": "postgresql"})
+
+
+def test_update_mode_drops_state_and_merges(spark, tmp_path):
+    folder, sink, keys = tmp_path / "in", str(tmp_path / "states"), ("window_start",)
+    folder.mkdir()
+    total = 0
+    for day in range(1, 7):
+        (folder / f"{day}.json").write_text("".join(
+            f'{{"ts": "2024-01-{day:02d}T0{h}:00:00"}}\n' for h in range(3)))
+        stream = spark.readStream.schema("ts TIMESTAMP").json(str(folder))
+        query = runner.run_totals(runner.stream_rates(stream, "ts"), sink, str(tmp_path / "offsets"), True, keys)
+        query.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert held[-1] <= 6  # windows of past days are gone
+        total += 3
+        if day == 3:
+            runner.compact_states(spark, sink, keys)
+        got = runner.newest_state(spark, sink, keys)
+        assert got.count() == total and got.agg({"records": "sum"}).first()[0] == total
+    written = spark.read.parquet(sink).count()
+    assert written <= 2 * total  # a batch writes what it changed
