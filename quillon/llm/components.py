@@ -8,26 +8,38 @@ from pyspark.sql import functions as F
 from quillon.llm.tables import written
 
 
+def _settled(hops: DataFrame) -> DataFrame:
+    """``node, root`` with every node led to the end of its chain of hops, twice as far in every step."""
+    while True:
+        further = hops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        after = written(hops.join(further, "root").select("node", F.col("top").alias("root"),
+                                                          (F.col("top") != F.col("root")).alias("moved")), "hops")
+        hops = after.select("node", "root")
+        if not after.where("moved").limit(1).count():
+            return hops
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``links`` (``a, b`` of one ordered type): the smallest node it is linked to.
 
-    A round gives every node the smallest label among its neighbours (a minimum, which combines before the shuffle,
-    so that a node with very many links is one row per task), then follows the label once, so that labels spread along
-    a chain in a number of rounds that grows with the logarithm of its length. Rounds end when no label changes.
-    Each is a written table. Loops and repeated links do no harm; without links there are no rows.
+    In a round every node hops to its smallest neighbour, if that is smaller (a minimum, which combines before the
+    shuffle, so that a node with very many links is one row per task), chains of hops are followed to their ends, and
+    each link becomes one between the ends of its nodes. Links within one end go, so the table shrinks by more than
+    half of its nodes each round, a group of copies around one node to nothing in the first. Rounds end when no link is left. All
+    steps are written tables. Loops and repeated links do no harm; without links there are no rows.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")),
-                     "labels")
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("root").alias("other"))
-        nearer = labels.join(seen, "node").select("node", F.col("root").alias("old"),
-                                                  F.least("root", "other").alias("hop"))
-        roots = nearer.select(F.col("node").alias("hop"), F.col("hop").alias("root"))
-        after = written(nearer.join(roots, "hop", "left").select(
-            "node", "old", F.least("hop", F.coalesce("root", "hop")).alias("root")), "labels")
-        changed = after.where("old <> root").limit(1).count()
-        labels = after.select("node", "root")
-        if not changed:
-            return labels
+    edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                    "edges")
+    roots = None
+    while roots is None or edges.limit(1).count():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
+        hops = _settled(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+        if roots is None:
+            roots = hops
+        else:
+            further = hops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            roots = written(roots.join(further, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        edges = edges.join(hops.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+        edges = edges.join(hops.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
+        edges = written(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+    return roots
