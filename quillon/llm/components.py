@@ -9,13 +9,14 @@ from quillon.llm.tables import written
 
 
 def _settled(hops: DataFrame) -> DataFrame:
-    """``node, root`` with every node led to the end of its chain of hops, twice as far in every step."""
+    """``node, root`` with every node led to the end of its chain of hops, three times as far in every step."""
     while True:
-        further = hops.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        after = written(hops.join(further, "root").select("node", F.col("top").alias("root"),
-                                                          (F.col("top") != F.col("root")).alias("moved")), "hops")
+        second = hops.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        third = hops.select(F.col("node").alias("next"), F.col("root").alias("top"))
+        after = written(hops.join(second, "root").join(third, "next").select(
+            "node", F.col("top").alias("root"), (F.col("top") != F.col("next")).alias("moved")), "hops")
         hops = after.select("node", "root")
-        if not after.where("moved").limit(1).count():
+        if after.where("moved").isEmpty():
             return hops
 
 
@@ -31,9 +32,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                     "edges")
     roots = None
-    while roots is None or edges.limit(1).count():
+    while roots is None or not edges.isEmpty():
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        hops = _settled(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+        hops = written(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "hops")
+        hops = _settled(hops)
         if roots is None:
             roots = hops
         else:

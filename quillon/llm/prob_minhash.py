@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     ends = pairs.select("a").union(pairs.select("b")).distinct()
-    if ends.count() <= BROADCAST_IDS:  # 17 bytes each: sets that no pair needs are not shuffled
+    if 2 * pairs.count() <= BROADCAST_IDS:  # 17 bytes each: sets that no pair needs are not shuffled
         left = left.join(F.broadcast(ends), "a", "left_semi")
         right = right.join(F.broadcast(ends.withColumnRenamed("a", "b")), "b", "left_semi")
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
@@ -205,8 +205,8 @@ def next_pairs(members: DataFrame, labels: DataFrame, number: int) -> DataFrame:
     chosen = rows.groupBy("band").agg(
         F.max_by(F.struct("node", "root"), F.when(inner, F.struct("weight", "node"))).alias("centre"),
         F.min_by(F.struct("node", "root"), F.when(~inner, F.struct(F.xxhash64("node", F.lit(number)), "node"))).alias("other"))
-    shown = written(chosen.select("band", F.explode(F.array("centre", "other")).alias("s")).select(
-        "band", F.col("s.node").alias("head"), F.col("s.root").alias("head_root")), "shown")
+    shown = chosen.select("band", F.explode(F.array("centre", "other")).alias("s")).select(
+        "band", F.col("s.node").alias("head"), F.col("s.root").alias("head_root"))
     met = rows.where(~inner).join(shown, "band").where("root <> head_root")
     pairs = met.groupBy(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).agg(
         F.count("*").alias("buckets"))
@@ -230,22 +230,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     placed = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(placed.join(shared, "band"), "buckets")
-    weights = written(sized.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    weights = sized.groupBy("node").agg(F.sum("n").alias("weight"))
     members = written(sized.join(weights, "node").select("band", "node", "weight"), "members")
     # Spark keeps the first of each bucket in every task before it shuffles
     order = Window.partitionBy("band").orderBy(F.desc("weight"), "node")
-    heads = written(members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEADS).select(
-        "band", F.col("node").alias("head")), "heads")
+    heads = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEADS).select(
+        "band", F.col("node").alias("head"))
     stars = members.join(heads, "band").where("node <> head").select(
         F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    sets = shingle_sets(docs, written(weights.join(nodes, "node").select("node", "doc_id"), "wanted"), size)
+    wanted = nodes.select("node", "doc_id").join(members.select("node"), "node", "left_semi")
+    sets = shingle_sets(docs, written(wanted, "wanted"), size)
     tried = written(stars, "pairs")
     links = written(verified(tried, sets, threshold), "links")
     labels = components(links)
     for number in count():
         fresh = written(next_pairs(members, labels, number).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = written(verified(fresh, sets, threshold), "links")
-        if not found.limit(1).count():
+        if found.isEmpty():
             break
         tried, links = tried.union(fresh), links.union(found)
         labels = components(links)
