@@ -22,14 +22,14 @@ def detect_keys(catalog_df: DataFrame, legacy: bool = False, fk_suffixes=("_id",
 
 
 def suggest_fields(catalog_df: DataFrame, legacy: bool = False) -> DataFrame:
-    """Rows ``(table, column, type, role, suggestion)``: measures with their aggregation,
-    dimensions with their category."""
+    """Rows ``(table, column, position, type, role, suggestion)``: measures with their
+    aggregation, dimensions with their category."""
     name, kind = F.col("column"), F.col("type")
     role = F.when(N.is_measure(name, kind, legacy=legacy), "measure").when(N.is_dimension(kind), "dimension")
     suggestion = F.when(F.col("role") == "measure", N.suggested_aggregation(name)).otherwise(
         N.dimension_category(name, kind))
     return (catalog_df.withColumn("role", role).where("role IS NOT NULL")
-            .select("table", "column", "type", "role", suggestion.alias("suggestion")))
+            .select("table", "column", "position", "type", "role", suggestion.alias("suggestion")))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -128,9 +128,9 @@ def apply_filters(df: DataFrame, filters: Sequence[dict]) -> DataFrame:
 
 
 def suggest_visuals(fields_df: DataFrame) -> DataFrame:
-    """Rows ``(table, visual, priority, measures, dimension)`` that a table's fields allow."""
-    position = F.monotonically_increasing_id()
-    per = fields_df.withColumn("at", position).groupBy("table").agg(
+    """Rows ``(table, visual, priority, measures, dimension)`` that a table's fields allow, in
+    the order of their positions."""
+    per = fields_df.withColumn("at", F.col("position")).groupBy("table").agg(
         F.sort_array(F.collect_list(F.when(F.col("role") == "measure", F.struct("at", "column")))).alias("m"),
         *[F.min(F.when((F.col("role") == "dimension") & (F.col("suggestion") == s),
                        F.struct("at", "column")))["column"].alias(s) for s in ("time", "geography", "category")])

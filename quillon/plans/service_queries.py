@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from quillon.functions import crypto, scalars
 from quillon.operators import insights, ml, profile, quality, rows
-from quillon.operators.catalog import local_frame
+from quillon.operators.catalog import catalog_of, local_frame, row_counts
+from quillon.operators.modeling import suggest_fields
+from quillon.operators.visuals import suggest_visuals
 from quillon.plans.guard import run_batch
 from quillon.plans.operator_queries import blanked_orders, event_stream_config, rounded, union_all
 from quillon.session import load, load_all, scratch, stored
+from quillon.sources.registry import read_source
 from quillon.streaming import runner
 
 TREES = 5
@@ -145,6 +148,26 @@ def quality_gate(spark, sf_dir):
     return union_all(out)
 
 
+def visual_suggestions(spark, sf_dir):
+    """The visuals that the fields of every table allow, with the rows they would show."""
+    tables = load_all(spark, sf_dir)
+    fields = suggest_fields(catalog_of(spark, tables))
+    return suggest_visuals(fields).join(row_counts(tables), "table").withColumn(
+        "priority", F.col("priority").cast("bigint"))
+
+
+def json_documents(spark, sf_dir):
+    """Pages written as one JSON list per file over several lines, and read back."""
+    path = scratch(spark, "documents")
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.groupBy(F.pmod("page_id", F.lit(16)).alias("part")).agg(
+        F.sort_array(F.collect_list(F.to_json(F.struct("page_id", "url")))).alias("rows"))
+    text = F.concat(F.lit("["), F.array_join("rows", ",\n  "), F.lit("]"))
+    listed.repartition(16, "part").select(text.alias("value"), "part").write.partitionBy("part").text(f"{path}/pages")
+    return read_source(spark, {"type": "json", "path": path, "multi_line": True,
+                               "schema": "page_id bigint, url string"}, "pages").select("page_id", "url")
+
+
 SERVICE_QUERIES = {f.__name__: f for f in (
     predict_rows, classify_rows, saved_model_rows, stream_profile, stream_publish, encrypted_customers, chunk_function,
-    period_anomalies, query_batch, quality_gate)}
+    period_anomalies, query_batch, quality_gate, visual_suggestions, json_documents)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans.oracle import BLANKED, _counts, _issues, _names, _score, _union
+import re
+
+from quillon.plans.oracle import BLANKED, SCHEMA, _counts, _issues, _names, _score, _union
 from quillon.plans.service_queries import BATCH
 
 DECIMAL = "CAST(o_totalprice AS DECIMAL(18,4))"
@@ -31,6 +33,37 @@ def _batch() -> str:
                   for i, _, _ in BATCH)
 
 
+MEASURE_WORDS = ("amount", "total", "sum", "count", "quantity", "price", "value")
+ACCIDENTS = ("discount", "account", "country", "county", "consume", "summary", "assume")
+NUMBERS = ("int", "bigint", "double")
+
+
+def _suggestions() -> str:
+    """The visuals by the rules on names and types, per table, with its rows."""
+    rows = []
+    for table, columns in SCHEMA.items():
+        def plain(name: str) -> str:
+            return re.sub("|".join(ACCIDENTS), "", name)
+        measures = [c for c, k in columns if k in NUMBERS and any(w in plain(c) for w in MEASURE_WORDS)]
+        texts = [c for c, k in columns if k == "string"]
+        time = [c for c, k in columns if k.startswith("timestamp")]
+        place = [c for c in texts if any(w in c for w in ("country", "region", "city", "state", "location"))]
+        kind = [c for c in texts if c not in place and any(w in c for w in ("category", "type", "class", "group"))]
+        if not (measures or texts or time):
+            continue  # a table without fields has no visual
+        shown = [("table", 4, measures[:10], None)]
+        if measures:
+            shown.append(("card", 1, measures[:4], None))
+            shown += [("line", 1, measures[:3], time[0])] if time else []
+            shown += [("map", 2, measures[:1], place[0])] if place else []
+            shown += [("column", 1, measures[:2], kind[0]), ("pie", 3, measures[:1], kind[0])] if kind else []
+        for visual, priority, fields, dimension in shown:
+            rows.append(f"""SELECT '{table}' AS "table", '{visual}' AS visual, CAST({priority} AS BIGINT) AS priority,
+                '{','.join(fields)}' AS measures, {f"'{dimension}'" if dimension else 'CAST(NULL AS VARCHAR)'} AS dimension,
+                count(*) AS row_count FROM {table}""")
+    return _union(rows)
+
+
 def statements() -> dict[str, str]:
     return {
         "predict_rows": """SELECT o_orderstatus, count(*) AS row_count, count(*) AS predicted, count(*) AS in_range,
@@ -50,4 +83,6 @@ def statements() -> dict[str, str]:
             FROM m, s WHERE abs(value - mean) / deviation > 1.5""",
         "query_batch": _batch(),
         "quality_gate": _gate(),
+        "visual_suggestions": _suggestions(),
+        "json_documents": "SELECT page_id, url FROM pages",
     }

@@ -14,6 +14,10 @@ MIXED_FORMATS = ("csv", "json")
 
 
 def _reader(spark: SparkSession, cfg: dict, fmt: str, options: dict[str, str]):
+    """A reader; JSON is an object per line, or with ``multi_line`` a document (an object or a list) per
+    file. Text that is neither is an error, not a row of blanks."""
+    if fmt == "json":
+        options = {"multiLine": str(bool(cfg.get("multi_line"))).lower(), "mode": cfg.get("mode", "FAILFAST"), **options}
     reader = spark.read.format(fmt).options(**options)
     return reader.schema(cfg["schema"]) if cfg.get("schema") else reader
 

@@ -116,3 +116,12 @@ def test_guard_reads_registered_frames_only(spark, tmp_path):
     first = guarded_sql(spark, "SELECT count(*) AS n FROM t", {"t": spark.range(3)})
     second = guarded_sql(spark, "SELECT count(*) AS n FROM t", {"t": spark.range(5)})
     assert (first.first().n, second.first().n) == (3, 5) and not spark.catalog.tableExists("t")
+
+
+def test_json_documents_are_rows_or_an_error(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.json").write_text('[\n  {"id": 1},\n  {"id": 2}\n]\n')
+    cfg = {"type": "s3", "path": str(tmp_path), "schema": "id bigint"}
+    with pytest.raises(Exception):
+        registry.read_source(spark, cfg, "a").collect()
+    assert sorted(r.id for r in registry.read_source(spark, {**cfg, "multi_line": True}, "a").collect()) == [1, 2]
