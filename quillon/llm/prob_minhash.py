@@ -24,6 +24,8 @@ BAND_ROWS = 4
 BANDS = REGISTERS // BAND_ROWS
 #: Nodes of a bucket that all others of it are compared with.
 HEADS = 3
+#: Nodes on a side of a cell, the part of a bucket whose pairs are made under one key.
+CELL = 1000
 #: Candidate ids up to this number (16 bytes each) may be broadcast; beyond, ids and texts are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -193,8 +195,7 @@ def next_pairs(members: DataFrame, labels: DataFrame, number: int) -> DataFrame:
 
     In a bucket with several classes every node outside the largest one meets that class's most central node, and one
     of the other nodes outside it, the first by a hash that changes with the round. So a round has two pairs for each
-    node and bucket at most, whatever the size of the bucket. Pairs that meet in one bucket only are left out: two
-    texts of similarity 0.8 share 13 of 32 buckets in the mean, and fewer than two once in a million.
+    node and bucket at most, whatever the size of the bucket. Rounds only join classes early; ``cross_pairs`` has the rest.
     """
     classed = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = classed.groupBy("band", "root").agg(F.count("*").alias("n"))
@@ -208,9 +209,37 @@ def next_pairs(members: DataFrame, labels: DataFrame, number: int) -> DataFrame:
     shown = chosen.select("band", F.explode(F.array("centre", "other")).alias("s")).select(
         "band", F.col("s.node").alias("head"), F.col("s.root").alias("head_root"))
     met = rows.where(~inner).join(shown, "band").where("root <> head_root")
-    pairs = met.groupBy(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).agg(
-        F.count("*").alias("buckets"))
-    return pairs.where("buckets > 1").select("a", "b")
+    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def cross_pairs(members: DataFrame, labels: DataFrame, cell: int = CELL) -> DataFrame:
+    """``a, b``: every pair of nodes of different classes that share a bucket, once.
+
+    One end of such a pair is outside the largest class of the bucket, so only those nodes meet all others. A bucket is
+    cut into cells of about ``cell`` nodes by ``cell`` nodes, each a key of its own. A pair that shares several buckets is taken in
+    the one of the smallest band.
+    """
+    classed = members.select("band", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = classed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"),
+                                      F.max("n").alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    mixed = mixed.select("band", "main", F.ceil(F.col("n") / cell).cast("int").alias("columns"),
+                         F.ceil((F.col("n") - F.col("most")) / cell).cast("int").alias("lines"))
+    rows = written(classed.join(mixed, "band"), "mixed")
+    # every bucket that two classes share is mixed; a node has one for each band at most
+    shared = rows.groupBy("node").agg(F.collect_list("band").alias("met"))
+    rows = written(rows.join(shared, "node"), "cells")
+    own = F.xxhash64("node")
+    left = rows.where("root <> main").select(
+        "band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("met").alias("ma"), F.pmod(own, "lines").cast("int").alias("line"),
+        F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    right = rows.select(
+        "band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("met").alias("mb"), (F.col("root") == F.col("main")).alias("inner"),
+        F.pmod(own, "columns").cast("int").alias("column"),
+        F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"))
+    met = left.join(right, ["band", "line", "column"]).where(
+        "ra <> rb and (inner or a < b) and array_min(array_intersect(ma, mb)) = band")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -219,8 +248,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     Rows with the same words are one node. Nodes meet in buckets of equal bands; a link is a pair that shares a bucket
     and whose exact similarity is ``threshold`` or more. Classes are the components of the links. A large group of near copies
     has more links than can be looked at, and its class needs few of them: first every node of a bucket is
-    compared with the bucket's ``HEADS`` most central nodes, those whose buckets are the largest; then, round by round, nodes
-    that are still in different classes of a bucket are compared (``next_pairs``), until a round finds no link.
+    compared with the bucket's ``HEADS`` most central nodes, those whose buckets are the largest; then, round by round, some
+    nodes that are still in different classes of a bucket are compared (``next_pairs``), until a round finds no link. At the end
+    all pairs that share a bucket and are still in different classes are (``cross_pairs``), so that no link is missed.
 
     ``text_key`` tells rows of a repeated doc_id apart. Repeated rows get the same class. Texts without words are alike only if equal; a null text is alone. Null ids
     don't count for the smallest id: a class of null ids has a null class_id. An empty table gives no rows.
@@ -246,10 +276,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     for number in count():
         fresh = written(next_pairs(members, labels, number).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = written(verified(fresh, sets, threshold), "links")
+        tried = tried.union(fresh)
         if found.isEmpty():
             break
-        tried, links = tried.union(fresh), links.union(found)
+        links = links.union(found)
         labels = components(links)
+    rest = written(cross_pairs(members, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = written(verified(rest, sets, threshold), "links")
+    if not found.isEmpty():
+        labels = components(links.union(found))
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("root", "node").alias("root"))

@@ -125,3 +125,27 @@ def test_components(spark):
 def test_no_documents(spark):
     assert p.near_duplicates(no_documents(spark)).count() == 0
     assert p.keep_one(no_documents(spark)).count() == 0
+
+
+def test_a_pair_of_one_bucket_is_compared(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(7)]
+    texts.append(texts[0].rsplit(" ", 1)[0] + " other")
+    # rows 1 to 6 are unlike all others and lie in more buckets, so that they are the heads; 0 and 7 share one bucket
+    rows = [(i, i, p.node_of(i, t, p.words_of(t)), [0, 1, 2, 3] if 0 < i < 7 else [0]) for i, t in enumerate(texts)]
+    drawn = spark.createDataFrame(rows, "doc_id long, text_key long, node binary, bands array<long>")
+    monkeypatch.setattr(p, "sketches", lambda docs, size: drawn)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert listed(p.near_duplicates(docs)) == [*((i, i) for i in range(7)), (7, 0)]
+
+
+@pytest.mark.parametrize("cell", [1, 3, 1000])
+def test_cross_pairs_are_all_once(spark, cell):
+    rng = random.Random(7)
+    members = [(band, bytes([node]), 1) for node in range(40) for band in rng.sample(range(6), 3)]
+    root = {bytes([node]): bytes([node % 5 if node < 30 else node]) for node in range(40)}
+    labels = spark.createDataFrame([(n, r) for n, r in root.items() if n != r], "node binary, root binary")
+    found = p.cross_pairs(spark.createDataFrame(members, "band long, node binary, weight long"), labels, cell)
+    bands = {n: {b for b, m, _ in members if m == n} for n in root}
+    want = sorted((a, b) for a in root for b in root if a < b and root[a] != root[b] and bands[a] & bands[b])
+    assert sorted((bytes(r.a), bytes(r.b)) for r in found.collect()) == want
