@@ -16,9 +16,10 @@ from quillon.llm.text_stats import text_stats
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-#: Spread below which a statistic is not looked at, in the order of ``vector``: a statistic that is constant in the
-#: core of a group has no variance of its own, and a trace of it is no outlier.
-FLOORS = (0.05, 0.2, 0.5, 0.15)
+#: Least spread of the statistics, in the order of ``vector``: one that is constant in the core of a group has no variance
+#: of its own, and a trace of it is no outlier. Each is small enough that its statistic alone can pass ``CUTOFF`` within the
+#: range that the base rules leave.
+FLOORS = (0.05, 0.2, 0.25, 0.07)
 DIM = len(FLOORS)
 #: Median of the chi-squared distribution with four degrees of freedom.
 CHI2_MEDIAN = 3.3567
@@ -72,9 +73,9 @@ def _estimate(n: float, sums, squares) -> tuple[list[float], list[float], float]
     cov = np.zeros((DIM, DIM))
     cov[np.tril_indices(DIM)] = np.asarray(squares, dtype=float) / n
     cov = cov + np.tril(cov, -1).T - np.outer(centre, centre)
-    # rounding may leave a covariance a little below zero; the floors make it positive
-    values, vectors = np.linalg.eigh(cov)
-    cov = (vectors * np.maximum(values, 0)) @ vectors.T + np.diag(np.square(FLOORS))
+    # in units of the floors no direction has a variance below 1; larger ones stay as they are
+    values, vectors = np.linalg.eigh(cov / np.outer(FLOORS, FLOORS))
+    cov = (vectors * np.maximum(values, 1)) @ vectors.T * np.outer(FLOORS, FLOORS)
     lower = np.linalg.cholesky(cov)
     white = np.linalg.inv(lower)
     return centre.tolist(), white[np.tril_indices(DIM)].tolist(), float(2 * np.log(np.diag(lower)).sum())
@@ -120,7 +121,7 @@ def fit(points: DataFrame, keys: list[str]) -> DataFrame:
     middle = points.groupBy(*keys).agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in x]).alias("mid"))
     off = _with_model(points, middle, keys).select(*keys, *x, "mid")
     spread = off.groupBy(*keys).agg(F.array(
-        *[F.percentile_approx(F.abs(x[i] - F.col("mid")[i]), 0.5, 1000) * 1.4826 + FLOORS[i] for i in range(DIM)]
+        *[F.greatest(F.percentile_approx(F.abs(x[i] - F.col("mid")[i]), 0.5, 1000) * 1.4826, F.lit(FLOORS[i])) for i in range(DIM)]
     ).alias("dev"), F.first("mid").alias("mid"))
     z = [(x[i] - F.col("mid")[i]) / F.col("dev")[i] for i in range(DIM)]
     scored = _with_model(points, written(spread, "mcd-scale"), keys).select(

@@ -60,6 +60,22 @@ def test_estimate_withstands_a_third_of_junk(spark):
     assert all(out[i].kept for i in range(400)) and not any(out[i].kept for i in range(1000, 1060))
 
 
+def test_each_statistic_rejects_by_itself(spark):
+    rng = random.Random(5)
+    clean = [(i, prose(rng, rng.randrange(60, 300)), "en", "s") for i in range(200)]
+    plain = [f"w{i:04d}" for i in range(100)]
+    phrase = plain[:22]
+    planted = {1000: " ".join(w * 3 for w in plain), 1001: " ".join(w + "#" * (i % 3) for i, w in enumerate(plain)),
+               1002: "\n".join(" ".join(plain[i:i + 8]) + "\nthe end" for i in range(0, 80, 8)),
+               1003: " ".join(phrase + plain[30:60] + phrase + plain[60:86])}
+    counts = {i: brute_counts(t) for i, t in planted.items()}
+    assert counts[1002][3] == 9 and counts[1002][4] == 0 and counts[1003][3] == 0 and counts[1003][4] == 44
+    docs = spark.createDataFrame(clean + [(i, t, "en", "s") for i, t in planted.items()], "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in robust_outliers.verdicts(docs).collect()}
+    assert all(out[i].kept for i in range(200))
+    assert not any(out[i].base_failed or out[i].kept for i in planted)
+
+
 def brute_mcd(points, trials=300):
     """The best core of many random starts, each taken to its end by concentration steps."""
     rng, half, best = np.random.default_rng(0), int(np.ceil(len(points) * robust_outliers.CORE)), np.inf
