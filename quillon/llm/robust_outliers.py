@@ -25,7 +25,7 @@ DIM = len(FLOORS)
 CHI2_MEDIAN = 3.3567
 #: Squared distance beyond which a document is rejected. Chi-squared of four degrees exceeds it once in 3e11.
 CUTOFF = 60.0
-#: Rows below which a group takes the estimate of its language, and a language that of the corpus.
+#: Rows below which a group takes the estimate of its language, and a language has none: its rows are kept unjudged.
 MIN_ROWS = 40
 #: Share of a group's rows in the subset whose covariance determinant is minimised.
 CORE = 0.5
