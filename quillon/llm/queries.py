@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillon.llm import byte_bpe, decontaminate, language_mixture, perspectives, prob_minhash, robust_outliers, secret_links, suffix_dedup, warc_chunks, weak_pii
+from quillon.llm import (byte_bpe, conversation_repair, decontaminate, exact_chunks, filter_audit, language_mixture, perspectives, prob_minhash,
+                         robust_outliers, secret_links, suffix_dedup, warc_chunks, weak_pii)
 from quillon.session import load
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -50,4 +51,18 @@ def op10_warc_chunks(spark, sf_dir):
     return warc_chunks.round_trip(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_robust_outliers, op3_secret_links, op4_prob_minhash, op5_language_mixture, op6_weak_pii, op7_perspectives, op8_decontaminate, op9_byte_bpe, op10_warc_chunks)}
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_chunk_recipes(spark, sf_dir):
+    return exact_chunks.duplicates(load(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repairs(load(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_robust_outliers, op3_secret_links, op4_prob_minhash, op5_language_mixture, op6_weak_pii, op7_perspectives,
+    op8_decontaminate, op9_byte_bpe, op10_warc_chunks, op11_filter_audit, op12_chunk_recipes, op13_conversation_repair)}
