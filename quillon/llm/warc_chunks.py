@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from quillon.llm.tables import written
 from quillon.session import scratch
 
-#: Characters of a payload in one chunk row. At most four bytes each.
-CHUNK_CHARS = 64 * 1024
-#: Payload bytes in one chunk row when reading.
+#: Payload bytes in one chunk row.
 CHUNK_BYTES = 64 * 1024
+#: What stands before the payload in the block of every record.
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: Bytes of chunks that leave a task together.
+BATCH_BYTES = 4 << 20
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT_BYTES = 100
 
@@ -65,15 +67,33 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
         F.when(revisit, F.col("first_id")).alias("refers_to"), "copies")
 
 
-def chunk_rows(pages: DataFrame, size: int = CHUNK_CHARS) -> DataFrame:
-    """``page_id, url, payload_digest, chunk_no, chunk`` of every page: rows of at most ``size`` characters; an empty
-    payload has one empty chunk."""
-    html = F.coalesce("html", F.lit(""))
-    last = F.greatest(F.ceil(F.length(html) / size), F.lit(1)).cast("int") - 1
-    return (pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest"),
-                         F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-            .select("page_id", "url", "payload_digest", F.col("chunk_no").cast("long").alias("chunk_no"),
-                    F.substring(F.col("html"), F.col("chunk_no") * size + 1, F.lit(size)).cast("binary").alias("chunk")))
+def chunk_rows(pages: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
+    """``page_id, url, payload_digest, chunk_no, chunk`` of every page: rows of at most ``size`` bytes; an empty payload
+    has one empty chunk. A payload is read once from end to end, and chunks leave in batches of bounded size."""
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_digest": pa.string(), "chunk_no": pa.int64(), "chunk": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for page, url, payload in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("payload")):
+                data = memoryview(payload.as_buffer())
+                digest = hashlib.sha256(data).hexdigest()
+                for number, at in enumerate(range(0, max(1, len(data)), size)):
+                    rows.append((page, url, digest, number, data[at:at + size].tobytes()))
+                    held += min(size, len(data) - at)
+                    if held >= BATCH_BYTES or len(rows) >= 10_000:
+                        yield table(rows, kinds)
+                        rows, held = [], 0
+        if rows:
+            yield table(rows, kinds)
+
+    payload = F.coalesce("html", F.lit("")).cast("binary").alias("payload")
+    return pages.select("page_id", "url", payload).mapInArrow(
+        run, "page_id long, url string, payload_digest string, chunk_no long, chunk binary")
+
+
+def table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
 
 class Member:
@@ -89,20 +109,26 @@ class Member:
         self.out.write(self.packer.flush())
 
 
+def record_id(page: int | None, digest: str) -> str:
+    """The identifier of the record of a page and payload; revisits name their response by it."""
+    return f"urn:page:{'' if page is None else page}:{digest}"
+
+
 def header(row: dict) -> bytes:
-    """The WARC and HTTP-free header block of a record; header values hold no line ends."""
+    """The header block of a record and the HTTP head that its block begins with; header values hold no line ends."""
     url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", row["url"] or "")
     revisit = row["record_type"] == "revisit"
     lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{row['record_id']}>",
              f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z",
              f"WARC-Payload-Digest: sha256:{row['payload_digest']}",
+             "Content-Type: application/http; msgtype=response",
              f"X-Page-ID: {'' if row['page_id'] is None else row['page_id']}",
              f"X-Payload-Length: {row['payload_bytes']}",
-             f"Content-Length: {0 if revisit else row['payload_bytes']}"]
+             f"Content-Length: {len(HTTP_HEAD) + (0 if revisit else row['payload_bytes'])}"]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                  f"X-Refers-To-Page: {row['refers_to']}"]
-    return ("\r\n".join(lines) + "\r\n\r\n").encode()
+                  f"WARC-Refers-To: <{record_id(row['refers_to'], row['payload_digest'])}>"]
+    return ("\r\n".join(lines) + "\r\n\r\n").encode() + HTTP_HEAD
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -131,7 +157,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                         member.close()
                     out = out or open_out(path)
                     member, at, n = Member(out), (key, -1), n + 1
-                    row |= {"page_id": key[0], "record_id": f"urn:page:{key[0]}:{key[1]}",
+                    row |= {"page_id": key[0], "record_id": record_id(*key),
                             "refers_to": int(row["refers_to"]) if pd.notna(row["refers_to"]) else None}
                     member.write(header(row))
                 if row["chunk_no"] > at[1]:  # repeated rows bring a chunk again
@@ -194,8 +220,12 @@ def read_chunks(path: str, size: int = CHUNK_BYTES) -> Iterator[tuple]:
             record = fields["WARC-Record-ID"][1:-1]
             kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].partition(":")[2]
             left, n, seen, running = int(fields["Content-Length"]), 0, 0, hashlib.sha256()
+            if stream.read(len(HTTP_HEAD)) != HTTP_HEAD:
+                raise ValueError(f"{path}: {record} has no HTTP head")
+            left -= len(HTTP_HEAD)
             if kind == "revisit":
-                yield (page, record, kind, int(fields["X-Refers-To-Page"]), 0, b"", None,
+                refers_to = fields["WARC-Refers-To"].split(":")[2]
+                yield (page, record, kind, int(refers_to), 0, b"", None,
                        int(fields["X-Payload-Length"]), digest)
             while kind != "revisit":
                 chunk = stream.read(min(size, left))
@@ -224,10 +254,6 @@ def read_archives(files: DataFrame, with_payload: bool = True, rows_per_batch: i
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     columns = {c.split()[0]: kinds[c.split()[1]] for c in CHUNKS.split(", ")}
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(columns.values())],
-                                          names=list(columns))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in (p for batch in batches for p in batch.column("path").to_pylist()):
             rows = []
@@ -235,10 +261,10 @@ def read_archives(files: DataFrame, with_payload: bool = True, rows_per_batch: i
                 if with_payload or row[8] is not None:
                     rows.append(row if with_payload else (*row[:5], None, *row[6:]))
                 if len(rows) >= (rows_per_batch if with_payload else 10_000):
-                    yield table(rows)
+                    yield table(rows, columns)
                     rows = []
             if rows:
-                yield table(rows)
+                yield table(rows, columns)
 
     spread = files.select("path").repartition(max(1, files.count()), "path")
     return spread.mapInArrow(run, CHUNKS)
@@ -248,7 +274,8 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write archives, read them back, and return a row per page with what the archives say.
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``; a page that is in the table twice has two
-    rows. ``folder`` (default: a new one in the shared folder) must be reachable by every executor.
+    rows, and one with several payloads a record for each. Null html is the empty payload; a null page_id is never what
+    others refer to. An empty table writes nothing and has no rows; other columns are ignored. ``folder`` (default: a new one in the shared folder) must be reachable by every executor.
     """
     folder = as_uri(folder or scratch(pages.sparkSession, "warc"))
     files = write_archives(pages, folder)

@@ -67,3 +67,44 @@ def test_a_damaged_archive_raises(spark, tmp_path):
 
 def test_no_pages(spark):
     assert warc_chunks.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_records_are_standard(spark, tmp_path):
+    import gzip
+    files = warc_chunks.write_archives(pages(spark).where("page_id in (3, 4, 7, 9)"), f"file://{tmp_path}/w")
+    plain = b"".join(gzip.decompress(open(r.path.removeprefix("file://"), "rb").read()) for r in files.collect())
+    records = {}
+    while plain:
+        head, _, rest = plain.partition(b"\r\n\r\n")
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+        size = int(fields[b"Content-Length"])
+        records[fields[b"WARC-Record-ID"]] = fields
+        assert rest[:size].startswith(b"HTTP/1.1 200 OK\r\n") and fields[b"Content-Type"].startswith(b"application/http")
+        assert rest[size:size + 4] == b"\r\n\r\n"
+        if fields[b"WARC-Type"] == b"response":
+            body = rest[:size].partition(b"\r\n\r\n")[2]
+            assert b"sha256:" + hashlib.sha256(body).hexdigest().encode() == fields[b"WARC-Payload-Digest"]
+        plain = rest[size + 4:]
+    revisits = [f for f in records.values() if f[b"WARC-Type"] == b"revisit"]
+    assert revisits and all(records[f[b"WARC-Refers-To"]][b"WARC-Type"] == b"response" for f in revisits)
+
+
+def test_time_of_a_page_grows_with_its_size(spark):
+    import time
+    took = []
+    for size in (8 << 20, 32 << 20):
+        frame = spark.createDataFrame([(1,)], "page_id long").selectExpr("page_id", "'u' as url", f"repeat('a', {size}) as html")
+        for _ in range(2):  # the first run compiles
+            start = time.time()
+            row = warc_chunks.round_trip(frame).first()
+            spent = time.time() - start
+        assert row.payload_bytes == size and row.payload_digest == hashlib.sha256(b"a" * size).hexdigest()
+        took.append(spent)
+    assert took[1] < 4 * took[0] + 2
+
+
+def test_chunks_are_bytes_of_bounded_size(spark):
+    rows = warc_chunks.chunk_rows(pages(spark), 1000).orderBy("page_id", "payload_digest", "url", "chunk_no").collect()
+    assert max(len(r.chunk) for r in rows) == 1000
+    big = [r for r in rows if r.page_id == 9]
+    assert b"".join(bytes(r.chunk) for r in big) == BIG.encode() and [r.chunk_no for r in big] == list(range(len(big)))
