@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.spans import count_kind, let, named, overlaps, spans_of
+from quillon.llm.spans import count_kind, cut, let, meets_any, named, running, segments, with_spans
 from quillon.llm.tables import written
 
 #: In the order in which spans of one start are listed. The first three are reported by themselves.
@@ -45,19 +48,18 @@ def random_looking(span: Column) -> Column:
 def parts(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, base, weak`` of every row: arrays of spans without their text."""
     text = F.coalesce("text", F.lit(""))
-    base = F.filter(F.concat(*[spans_of(text, PATTERNS[k], k) for k in range(BASE)]), strong)
-    links = F.concat(spans_of(text, PATTERNS[3], 3), spans_of(text, PATTERNS[4], 4))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+    rows = with_spans(rows, "text", {f"s{k}": (pattern, k) for k, pattern in enumerate(PATTERNS)})
 
-    def with_weak(known: Column) -> Column:
-        def weak(link: Column) -> Column:
-            key = F.filter(spans_of(text, PATTERNS[5], 5),
-                           lambda k: random_looking(k) & ~F.exists(link, lambda o: overlaps(k, o)))
-            return F.filter(F.concat(link, key), lambda w: ~F.exists(known, lambda b: overlaps(w, b)))
-        bare = "array<struct<kind:int,start:int,end:int>>"
-        return F.struct(_bare(known).cast(bare).alias("base"), _bare(let(links, weak)).cast(bare).alias("weak"))
+    def apart(span: Column, kinds: range) -> Column:
+        return ~reduce(or_, [meets_any(F.col(f"s{k}"), span) for k in kinds])
 
-    found = docs.select("doc_id", F.xxhash64(text).alias("text_key"), let(base, with_weak).alias("f"))
-    return found.select(*KEY, "f.base", "f.weak")
+    base, links = range(BASE), range(BASE, len(KINDS) - 1)
+    rows = rows.withColumns({f"s{k}": F.filter(f"s{k}", strong) for k in base})
+    rows = rows.withColumn("s5", F.filter("s5", lambda k: random_looking(k) & apart(k, links)))
+    weak = F.filter(F.concat("s3", "s4", "s5"), lambda w: apart(w, base))
+    bare = "array<struct<kind:int,start:int,end:int>>"
+    return rows.select(*KEY, _bare(F.concat(*[f"s{k}" for k in base])).cast(bare).alias("base"), _bare(weak).cast(bare).alias("weak"))
 
 
 def _bare(spans: Column) -> Column:
@@ -77,7 +79,7 @@ def linked(found: DataFrame) -> DataFrame:
     # a complement needs both sorts in the document and something weak to report
     rows = found.where((F.size("weak") > 0) & F.exists(F.concat("base", "weak"), secret)
                        & F.exists(F.concat("base", "weak"), lambda s: ~secret(s)))
-    spans = rows.select(*KEY, F.explode(F.array_distinct(F.concat("base", "weak"))).alias("s")).select(*KEY, "s.*")
+    spans = rows.select(*KEY, F.explode(F.concat("base", "weak")).alias("s")).select(*KEY, "s.*")
     spans = written(spans.distinct(), "credential-parts")
 
     def binned(part: DataFrame, reach: int) -> DataFrame:
@@ -131,14 +133,14 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     spans = F.transform(F.split("f._spans", ","), lambda s: F.struct(
         F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
 
-    # spans come by their starts
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        joined = (span["start"] <= state["at"]) & (state["out"] != "")
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"),
-                        F.concat(state["out"], F.when(joined, F.lit("")).otherwise(F.concat(gap, F.lit(mark)))).alias("out"))
+    # spans come by their starts; what lies between one and the furthest end before it stays
+    def pieces(of: Column) -> Column:
+        ends = running(F.transform(of["spans"], lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        marks = F.zip_with(of["spans"], ends, lambda s, at: F.when((at > 0) & (s["start"] <= at), F.lit("")).otherwise(
+            F.concat(cut(of["text"], at, F.greatest(s["start"] - at, F.lit(0))), F.lit(mark))))
+        last = F.array_max(F.transform(of["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(marks, ""), cut(of["text"], last, F.length(text) - last))
 
-    marked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(
-        s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    marked = let(F.struct(spans.alias("spans"), segments(text).alias("text")), pieces)
     return both.select(*[F.when(F.col("f._spans").isNull(), F.col("d.text")).otherwise(marked).alias("text")
                          if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

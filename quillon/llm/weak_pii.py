@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.spans import count_kind, let, named, overlaps, spans_of
+from quillon.llm.spans import count_kind, cut, let, meets_any, named, segments, with_spans
 from quillon.llm.tables import written
 
 #: In the order in which spans of one start are listed. The first four are always reported.
@@ -123,13 +125,18 @@ def features(span: Column, left: Column, right: Column) -> Column:
 def parts(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, base, spans`` of every row: base spans, and all candidates with votes and features."""
     text = F.coalesce("text", F.lit(""))
-    base = F.filter(F.concat(*[spans_of(text, PATTERNS[k], k) for k in range(BASE)]), passes)
-    more = F.concat(*[spans_of(text, PATTERNS[k], k) for k in range(BASE, len(KINDS))])
-
-    def judge(span: Column) -> Column:
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+    rows = with_spans(rows, "text", {f"s{k}": (pattern, k) for k, pattern in enumerate(PATTERNS)})
+    base = [f"s{k}" for k in range(BASE)]
+    rows = rows.withColumns({c: F.filter(c, passes) for c in base})
+    weak = F.filter(F.concat(*[f"s{k}" for k in range(BASE, len(KINDS))]), lambda w: ~reduce(or_, [meets_any(F.col(c), w) for c in base]))
+    rows = rows.select(*KEY, "text", F.concat(*base).alias("base"), weak.alias("weak")).withColumn("spans", F.concat("base", "weak"))
+    rows = rows.withColumn("pieces", F.when(F.size("spans") > 0, segments(F.col("text"))))
+
+    def judge(span: Column, pieces: Column) -> Column:
         begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        around = F.struct(F.substring(text, begin + 1, span["start"] - begin).alias("before"),
-                          F.substring(text, span["end"] + 1, F.lit(1)).alias("right"))
+        around = F.struct(cut(pieces, begin, span["start"] - begin).alias("before"),
+                          cut(pieces, span["end"], F.lit(1)).alias("right"))
 
         def seen(a: Column) -> Column:
             left = F.right(a["before"], F.lit(1))
@@ -138,13 +145,8 @@ def parts(docs: DataFrame) -> DataFrame:
                             features(span, left, a["right"]).alias("features"))
         return let(around, seen)
 
-    def judged(known: Column) -> Column:
-        weak = F.filter(more, lambda w: ~F.exists(known, lambda b: overlaps(w, b)))
-        plain = F.transform(known, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-        return F.struct(plain.alias("base"), F.transform(F.concat(known, weak), judge).alias("spans"))
-
-    found = docs.select("doc_id", F.xxhash64(text).alias("text_key"), let(base, judged).alias("f"))
-    return found.select(*KEY, "f.base", "f.spans")
+    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return rows.select(*KEY, plain.alias("base"), F.transform("spans", lambda s: judge(s, F.col("pieces"))).alias("spans"))
 
 
 def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]]) -> dict[tuple[int, tuple[int, ...]], float]:
