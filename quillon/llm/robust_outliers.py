@@ -16,23 +16,43 @@ from quillon.llm.text_stats import text_stats
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-#: Least spread of the statistics, in the order of ``vector``: one that is constant in the core of a group has no variance
-#: of its own, and a trace of it is no outlier. Each is small enough that its statistic alone can pass ``CUTOFF`` within the
-#: range that the base rules leave.
-FLOORS = (0.05, 0.2, 0.25, 0.07)
-DIM = len(FLOORS)
+DIM = 4
+#: Repeated words that one repetition makes: a three-word window, twice.
+WORDS_A_REPEAT = 6
+#: Spread of the dither of a log count of zero, as a share of its standard error. Most texts have no symbol and repeat
+#: nothing; without dither the core of such a statistic has no spread, and one symbol is infinitely far.
+DITHER = 0.4
+#: Least standard deviation of any combination of statistics (logarithms: a tenth of a percent). It only stops division by zero.
+FLOOR = 1e-3
 #: Median of the chi-squared distribution with four degrees of freedom.
 CHI2_MEDIAN = 3.3567
-#: Squared distance beyond which a document is rejected. Chi-squared of four degrees exceeds it once in 3e11.
-CUTOFF = 60.0
-#: Rows below which a group takes the estimate of its language, and a language has none: its rows are kept unjudged.
+#: A document is rejected beyond the chi-squared quantile that a normal document exceeds once in a million.
+TAIL = 1e-6
+#: Rows below which a group takes the estimate of its language, a language that of the table, and a table has none.
 MIN_ROWS = 40
-#: Share of a group's rows in the subset whose covariance determinant is minimised.
-CORE = 0.5
+#: Share of a group's rows in the subset whose covariance determinant is minimised: up to 40 percent may be outliers.
+CORE = 0.6
 MAX_STEPS = 10
 STEPS_PER_OCTAVE = 16
 
 
+def chi2_4_tail(x: float) -> float:
+    """Share of a chi-squared variable with four degrees of freedom above ``x``."""
+    return math.exp(-x / 2) * (1 + x / 2)
+
+
+def chi2_4_quantile(tail: float) -> float:
+    """The value above which the share ``tail`` of such a variable lies."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_4_tail(middle) > tail else (low, middle)
+    return high
+
+
+CUTOFF = chi2_4_quantile(TAIL)
+
+
 def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) and the counts of ``text`` (``COUNTS``, 0 for null); counts replace columns
     of their names."""
@@ -44,11 +64,22 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def dither(number: int) -> Column:
+    """Nearly normal noise of variance 1 between -3.5 and 3.5, fixed by the counts of a row."""
+    bits = F.xxhash64(*[F.col(c) for c in COUNTS], F.lit(number))
+    four = [F.shiftrightunsigned(bits, 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
+    return (sum(four[1:], four[0]) + 2) / 65536 * math.sqrt(3) - 2 * math.sqrt(3)
+
+
 def vector() -> list[Column]:
-    """The transformed statistics: word length, symbol rate, rate of repeated lines, share of repeated words."""
+    """The transformed statistics: logarithms of the word length and of the rates of symbols, repeated lines and
+    repetitions. A count has one added, and dither in proportion to the standard error of its logarithm."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return [F.log(F.greatest(F.col("word_chars") / n, F.lit(1.0))), F.log1p(20 * F.col("n_symbols") / n),
-            F.sqrt(100 * F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
+    out = [F.log(F.greatest(F.col("word_chars") / n, F.lit(1.0)))]
+    for i, (c, size) in enumerate((("n_symbols", 1), ("n_dup_lines", 1), ("n_repeat_words", WORDS_A_REPEAT))):
+        events = F.col(c) / size + 1
+        out.append(F.log(events / n) + DITHER * dither(i) / F.sqrt(events))
+    return out
 
 
 def distance(x: list[Column]) -> Column:
@@ -68,14 +99,13 @@ def _moments(x: list[Column]) -> list[Column]:
 
 
 def _estimate(n: float, sums, squares) -> tuple[list[float], list[float], float]:
-    """Centre, whitening triangle and log determinant of floored moments."""
+    """Centre, whitening triangle and log determinant of moments."""
     centre = np.asarray(sums, dtype=float) / n
     cov = np.zeros((DIM, DIM))
     cov[np.tril_indices(DIM)] = np.asarray(squares, dtype=float) / n
     cov = cov + np.tril(cov, -1).T - np.outer(centre, centre)
-    # in units of the floors no direction has a variance below 1; larger ones stay as they are
-    values, vectors = np.linalg.eigh(cov / np.outer(FLOORS, FLOORS))
-    cov = (vectors * np.maximum(values, 1)) @ vectors.T * np.outer(FLOORS, FLOORS)
+    values, vectors = np.linalg.eigh(cov)
+    cov = (vectors * np.maximum(values, FLOOR ** 2)) @ vectors.T
     lower = np.linalg.cholesky(cov)
     white = np.linalg.inv(lower)
     return centre.tolist(), white[np.tril_indices(DIM)].tolist(), float(2 * np.log(np.diag(lower)).sum())
@@ -121,7 +151,7 @@ def fit(points: DataFrame, keys: list[str]) -> DataFrame:
     middle = points.groupBy(*keys).agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in x]).alias("mid"))
     off = _with_model(points, middle, keys).select(*keys, *x, "mid")
     spread = off.groupBy(*keys).agg(F.array(
-        *[F.greatest(F.percentile_approx(F.abs(x[i] - F.col("mid")[i]), 0.5, 1000) * 1.4826, F.lit(FLOORS[i])) for i in range(DIM)]
+        *[F.greatest(F.percentile_approx(F.abs(x[i] - F.col("mid")[i]), 0.5, 1000) * 1.4826, F.lit(FLOOR)) for i in range(DIM)]
     ).alias("dev"), F.first("mid").alias("mid"))
     z = [(x[i] - F.col("mid")[i]) / F.col("dev")[i] for i in range(DIM)]
     scored = _with_model(points, written(spread, "mcd-scale"), keys).select(
@@ -163,37 +193,40 @@ def fit(points: DataFrame, keys: list[str]) -> DataFrame:
     # the core is tighter than the whole group: scale so that the median distance is that of a normal group
     half = _with_model(points, best, keys).groupBy(*keys).agg(
         F.count("*").alias("rows"), F.percentile_approx(distance(x), 0.5, 1000).alias("half"))
-    scaled = _with_model(best, half, keys).withColumn("by", F.sqrt(F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0))))
+    scaled = _with_model(best, half, keys).withColumn("by", F.sqrt(F.greatest(F.col("half"), F.lit(1e-6)) / CHI2_MEDIAN))
     return written(scaled.select(*keys, "rows", "centre", F.transform("white", lambda w: w / F.col("by")).alias("white"),
                                  "log_det"), "mcd")
 
 
-def fit_all(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Estimates by (lang, source) and by lang, over the rows that pass the base rules."""
-    points = written(measured.where(~base_failed()).select(
-        "lang", "source", *[c.alias(f"x{i}") for i, c in enumerate(vector())]), "mcd-points")
-    both = points.withColumn("by_source", F.explode(F.array(F.lit(True), F.lit(False)))) \
-        .withColumn("source", F.when(F.col("by_source"), F.col("source")))
-    models = fit(both, ["by_source", "lang", "source"])
-    return models.where("by_source").drop("by_source"), models.where("not by_source").drop("by_source", "source")
+def fit_all(measured: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Estimates by (lang, source), by lang and of the table, over the rows that pass the base rules. Rows of one group with equal
+    counts, copies among them, are one point: a text with very many copies is no more normal than another."""
+    passed = measured.where(~base_failed()).select("lang", "source", *COUNTS).distinct()
+    points = written(passed.select("lang", "source", *[c.alias(f"x{i}") for i, c in enumerate(vector())]), "mcd-points")
+    levels = points.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(3)]))) \
+        .withColumns({"lang": F.when(F.col("level") < 2, F.col("lang")), "source": F.when(F.col("level") < 1, F.col("source"))})
+    models = fit(levels, ["level", "lang", "source"])
+    return tuple(models.where(F.col("level") == i).drop("level", *unused) for i, unused in enumerate(((), ("source",), ("lang", "source"))))
 
 
-def judge(measured: DataFrame, models: tuple[DataFrame, DataFrame], cutoff: float = CUTOFF,
+def judge(measured: DataFrame, models: tuple[DataFrame, DataFrame, DataFrame], cutoff: float = CUTOFF,
           min_rows: int = MIN_ROWS) -> DataFrame:
     """``measured`` with ``base_failed, distance, kept``.
 
-    The estimate is that of the row's language and source, or of its language where the pair has fewer than
-    ``min_rows`` rows that pass the base rules; with fewer in the language too there is no distance (null) and the
-    row is kept. Null language and source are groups of their own. A row that fails the base rules has no distance
-    and is not kept.
+    The estimate is that of the row's language and source, of its language where the pair has fewer than ``min_rows`` points
+    (different counts that pass the base rules), or of the table where the language has fewer. A table with fewer has no
+    estimate: its rows have no distance (null) and are kept. Null language and source are groups of their own. A row that
+    fails the base rules has no distance and is not kept.
     """
-    by_source, by_lang = (m.where(F.col("rows") >= min_rows) for m in models)
+    by_source, by_lang, whole = (m.where(F.col("rows") >= min_rows) for m in models)
     columns = [c for c in measured.columns if c not in ("base_failed", "distance", "kept")]
     rows = measured.select(*columns)
     fine = by_source.select("lang", "source", F.struct("centre", "white").alias("_fine"))
     rough = by_lang.select("lang", F.struct("centre", "white").alias("_rough"))
     both = _with_model(_with_model(rows, fine, ["lang", "source"], "left"), rough, ["lang"], "left")
-    model = F.coalesce("_fine", "_rough")
+    # one row at most, as a scalar subquery
+    every = whole.select(F.struct("centre", "white").alias("_all")).scalar()
+    model = F.coalesce("_fine", "_rough", every)
     scored = both.withColumns({"base_failed": base_failed(), "centre": model["centre"], "white": model["white"]})
     scored = scored.withColumn("distance", F.when(~F.col("base_failed"), distance(vector())))
     return scored.select(*columns, "base_failed", "distance",
@@ -220,7 +253,3 @@ def _filtered(docs: DataFrame, cutoff: float) -> DataFrame:
     models = fit_all(written(measure(docs, ["lang", "source"]), "text-counts"))
     return judge(measure(docs), models, cutoff).where("kept").select(*docs.columns)
 
-
-def chi2_4_tail(x: float) -> float:
-    """Share of a chi-squared variable with four degrees of freedom above ``x``."""
-    return math.exp(-x / 2) * (1 + x / 2)
