@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,8 @@ BANDS = REGISTERS // BAND_ROWS
 HEADS = 3
 #: Nodes on a side of a cell, the part of a bucket whose pairs are made under one key.
 CELL = 1000
+#: What rounding may add to a bound.
+SLACK = 1e-9
 #: Candidate ids up to this number (16 bytes each) may be broadcast; beyond, ids and texts are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -71,23 +72,19 @@ def sketch(shingles: np.ndarray, weights: np.ndarray, registers: int = REGISTERS
     clock, step = np.zeros(len(live)), 0
     while len(live):
         # few shingles need many arrivals to reach every register, many need one or two each
-        block = max(1, min(512, int(registers * 6 / len(live))))
+        block = max(1, min(512, int(registers * 8 / len(live))))
         number = np.arange(step, step + block, dtype=_U)
         draw = mix(live[:, None] + (number * _U(2) + _U(1)) * _U(0x9E3779B97F4A7C15))
         gap = -np.log(((draw >> _U(11)).astype(float) + 0.5) / 2.0 ** 53) / rate[:, None]
         at = clock[:, None] + np.cumsum(gap, axis=1)
-        register = (mix(draw ^ _U(0xD6E8FEB86659FD93)) >> _U(33)).astype(np.int64) % registers
-        times, slots = at.ravel(), register.ravel()
-        if len(times) > 4 * registers:
-            early = times < best.max()
-            times, slots, owner = times[early], slots[early], np.repeat(live, block)[early]
-        else:
-            owner = np.repeat(live, block)
-        order = np.lexsort((owner, times))[::-1]
+        register = ((mix(draw ^ _U(0xD6E8FEB86659FD93)) >> _U(33)) % _U(registers)).astype(np.int64)
+        early = at < best.max()
+        times, slots, owner = at[early], register[early], np.repeat(live, block)[early.ravel()]
         first = np.full(registers, np.inf)
-        first[slots[order]] = times[order]
+        np.minimum.at(first, slots, times)
+        won = np.flatnonzero(times == first[slots])[::-1]  # of equal times the smallest shingle counts
         name = np.zeros(registers, _U)
-        name[slots[order]] = owner[order]
+        name[slots[won]] = owner[won]
         better = (first < best) | ((first == best) & (name < winner))
         best[better], winner[better] = first[better], name[better]
         clock, step = at[:, -1], step + block
@@ -149,7 +146,8 @@ def sketches(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``node, hashes, counts`` of the wanted nodes (``doc_id, node``, one row per node), read from their texts."""
+    """``node, hashes, counts`` of the wanted nodes (``doc_id, node``, one row per node), read from their texts. ``counts`` is
+    null where all are one, as in most texts."""
     ids = wanted.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
     if wanted.count() <= BROADCAST_IDS:  # 25 bytes each
         ids = F.broadcast(ids)
@@ -160,7 +158,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE_WORDS)
             words = words_of(text)
             if node_of(None, text, words) == node:  # a repeated id may have other texts
                 hashes, counts = weighted_shingles(words, size)
-                yield hashes.astype(np.int64), counts.astype(np.int32)
+                yield hashes.astype(np.int64), counts.astype(np.int32) if counts.max() > 1 else None
             else:
                 yield None, None
 
@@ -170,6 +168,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE_WORDS)
     return written(sets.dropDuplicates(["node"]), "shingles")
 
 
+def _set(hashes: pa.ListScalar, counts: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.asarray(hashes.values).view(_U)
+    return keys, np.asarray(counts.values) if counts.is_valid else np.ones(len(keys), np.int32)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b`` of the pairs whose exact similarity is ``threshold`` or more."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
@@ -177,10 +180,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (list(zip(*[[np.asarray(v.values) for v in batch.column(c)] for c in names]))
-                    for names in (("ha", "ca"), ("hb", "cb")))
-            alike = [probability_jaccard((x.view(_U), m), (y.view(_U), n)) >= threshold
-                     for (x, m), (y, n) in zip(a, b)]
+            a, b = (list(zip(batch.column(h), batch.column(c))) for h, c in (("ha", "ca"), ("hb", "cb")))
+            alike = [probability_jaccard(_set(*x), _set(*y)) >= threshold for x, y in zip(a, b)]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     ends = pairs.select("a").union(pairs.select("b")).distinct()
@@ -190,56 +191,61 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
-def next_pairs(members: DataFrame, labels: DataFrame, number: int) -> DataFrame:
-    """``a, b``: nodes of different classes that share a bucket and are to be compared in round ``number``.
+def prefixes(sets: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``hash, node, root, odds``: the shingles by which a node of ``nodes`` (``node, root``) can meet another one.
 
-    In a bucket with several classes every node outside the largest one meets that class's most central node, and one
-    of the other nodes outside it, the first by a hash that changes with the round. So a round has two pairs for each
-    node and bucket at most, whatever the size of the bucket. Rounds only join classes early; ``cross_pairs`` has the rest.
+    Shingles are in one order for all nodes: by the number of nodes that have them, the rarest first. Let u be the weight share of a
+    node's shingles that another one lacks, and v that of the other's. Their probability Jaccard similarity is at most
+    1 / (1 + u / (1 - u) + v / (1 - v)). What lies before the first shingle that both have is lacking in the other, so
+    there, and only there can a pair be found, ``odds``, the share before a shingle over the rest, add up to 1 / threshold - 1 at
+    most in every pair that reaches the threshold. Shingles of one node alone go before all and are not shuffled twice.
     """
-    classed = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = classed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
-                                      F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    rows = written(classed.join(mixed, "band"), "mixed")
-    inner = F.col("root") == F.col("main")
-    chosen = rows.groupBy("band").agg(
-        F.max_by(F.struct("node", "root"), F.when(inner, F.struct("weight", "node"))).alias("centre"),
-        F.min_by(F.struct("node", "root"), F.when(~inner, F.struct(F.xxhash64("node", F.lit(number)), "node"))).alias("other"))
-    shown = chosen.select("band", F.explode(F.array("centre", "other")).alias("s")).select(
-        "band", F.col("s.node").alias("head"), F.col("s.root").alias("head_root"))
-    met = rows.where(~inner).join(shown, "band").where("root <> head_root")
-    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-
-
-def cross_pairs(members: DataFrame, labels: DataFrame, cell: int = CELL) -> DataFrame:
-    """``a, b``: every pair of nodes of different classes that share a bucket, once.
-
-    One end of such a pair is outside the largest class of the bucket, so only those nodes meet all others. A bucket is
-    cut into cells of about ``cell`` nodes by ``cell`` nodes, each a key of its own. A pair that shares several buckets is taken in
-    the one of the smallest band.
+    mass = F.coalesce(F.expr("aggregate(counts, 0L, (s, x) -> s + x)"), F.size("hashes").cast("long"))
+    each = sets.join(nodes, "node").select("node", "root", mass.alias("mass"), "counts", F.posexplode("hashes").alias("at", "hash")).select(
+        "hash", "node", "root", "mass", F.coalesce(F.get("counts", F.col("at")), F.lit(1)).alias("weight"))
+    spread = each.groupBy("hash").agg(F.count("*").alias("spread")).where("spread > 1")
+    met = each.join(spread, "hash")
+    order = "PARTITION BY node ORDER BY spread, hash"
+    before = f"coalesce(sum(weight) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
+    placed = met.withColumn("before", F.expr(f"mass - sum(weight) OVER (PARTITION BY node) + {before}"))
+    return placed.withColumn("odds", F.col("before") / (F.col("mass") - F.col("before"))).where(
+        F.col("odds") <= 1 / threshold - 1 + SLACK).select("hash", "node", "root", "odds")
+
+
+def cross_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+    """``a, b``, once: the pairs of nodes of different classes that share a bucket and may reach the threshold.
+
+    Nodes that share a bucket with another class meet by the shingles of their prefixes, where the bound of both places
+    holds; pairs that no bucket has go. So a large family, whose nodes share most of their buckets, makes few pairs: those
+    that the bound lets through and that are in no common class yet. Within a shingle only nodes outside its
+    largest class meet all others, and a shingle of very many nodes is cut into cells of about ``cell`` by ``cell`` nodes, each a
+    key of its own.
     """
+    most = 1 / threshold - 1 + SLACK
     classed = members.select("band", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = classed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"),
-                                      F.max("n").alias("most"), F.count("*").alias("classes")).where("classes > 1")
-    mixed = mixed.select("band", "main", F.ceil(F.col("n") / cell).cast("int").alias("columns"),
+    mixed = classed.select("band", "root").distinct().groupBy("band").count().where("count > 1").select("band")
+    nodes = written(classed.join(mixed, "band").select("node", "root").distinct(), "open")
+    rows = written(prefixes(sets, nodes, threshold), "prefixes")
+    sizes = rows.groupBy("hash", "root").agg(F.count("*").alias("n"), F.min("odds").alias("least"))
+    lists = sizes.groupBy("hash").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"),
+                                      F.min("least").alias("least"), F.count("*").alias("classes")).where("classes > 1")
+    lists = lists.select("hash", "main", "least", F.ceil(F.col("n") / cell).cast("int").alias("columns"),
                          F.ceil((F.col("n") - F.col("most")) / cell).cast("int").alias("lines"))
-    rows = written(classed.join(mixed, "band"), "mixed")
-    # every bucket that two classes share is mixed; a node has one for each band at most
-    shared = rows.groupBy("node").agg(F.collect_list("band").alias("met"))
-    rows = written(rows.join(shared, "node"), "cells")
+    rows = written(rows.join(lists, "hash").where(F.col("odds") + F.col("least") <= most), "lists")
     own = F.xxhash64("node")
     left = rows.where("root <> main").select(
-        "band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("met").alias("ma"), F.pmod(own, "lines").cast("int").alias("line"),
+        "hash", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("odds").alias("oa"), F.pmod(own, "lines").cast("int").alias("line"),
         F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
     right = rows.select(
-        "band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("met").alias("mb"), (F.col("root") == F.col("main")).alias("inner"),
+        "hash", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("odds").alias("ob"), (F.col("root") == F.col("main")).alias("inner"),
         F.pmod(own, "columns").cast("int").alias("column"),
         F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"))
-    met = left.join(right, ["band", "line", "column"]).where(
-        "ra <> rb and (inner or a < b) and array_min(array_intersect(ma, mb)) = band")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = left.join(right, ["hash", "line", "column"]).where(f"ra <> rb and (inner or a < b) and oa + ob <= {most!r}")
+    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    buckets = members.groupBy("node").agg(F.collect_list("band").alias("bands"))
+    pairs = pairs.join(buckets.select(F.col("node").alias("a"), F.col("bands").alias("ma")), "a")
+    pairs = pairs.join(buckets.select(F.col("node").alias("b"), F.col("bands").alias("mb")), "b")
+    return pairs.where(F.arrays_overlap("ma", "mb")).select("a", "b")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -248,9 +254,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     Rows with the same words are one node. Nodes meet in buckets of equal bands; a link is a pair that shares a bucket
     and whose exact similarity is ``threshold`` or more. Classes are the components of the links. A large group of near copies
     has more links than can be looked at, and its class needs few of them: first every node of a bucket is
-    compared with the bucket's ``HEADS`` most central nodes, those whose buckets are the largest; then, round by round, some
-    nodes that are still in different classes of a bucket are compared (``next_pairs``), until a round finds no link. At the end
-    all pairs that share a bucket and are still in different classes are (``cross_pairs``), so that no link is missed.
+    compared with the bucket's ``HEADS`` most central nodes, those whose buckets are the largest. Then all pairs that share a bucket,
+    are in different classes and may reach the threshold by an exact bound are compared (``cross_pairs``), so that no link is missed.
 
     ``text_key`` tells rows of a repeated doc_id apart. Repeated rows get the same class. Texts without words are alike only if equal; a null text is alone. Null ids
     don't count for the smallest id: a class of null ids has a null class_id. An empty table gives no rows.
@@ -273,15 +278,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     tried = written(stars, "pairs")
     links = written(verified(tried, sets, threshold), "links")
     labels = components(links)
-    for number in count():
-        fresh = written(next_pairs(members, labels, number).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = written(verified(fresh, sets, threshold), "links")
-        tried = tried.union(fresh)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        labels = components(links)
-    rest = written(cross_pairs(members, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = written(cross_pairs(members, sets, labels, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
     found = written(verified(rest, sets, threshold), "links")
     if not found.isEmpty():
         labels = components(links.union(found))

@@ -139,13 +139,67 @@ def test_a_pair_of_one_bucket_is_compared(spark, monkeypatch):
     assert listed(p.near_duplicates(docs)) == [*((i, i) for i in range(7)), (7, 0)]
 
 
+def near_threshold(rng, weighted):
+    """Families of nodes whose pairs lie on both sides of the threshold, as sets of ``probability_jaccard``."""
+    out = []
+    for _ in range(4):
+        base = [rng.randrange(1, 2 ** 62) for _ in range(rng.choice([5, 30, 60]))]
+        for _ in range(12):
+            keys = {k: rng.randrange(1, 4) if weighted else 1 for k in base if rng.random() > 0.08}
+            keys |= {rng.randrange(1, 2 ** 62): rng.randrange(1, 4) if weighted else 1 for _ in range(rng.randrange(4))}
+            out.append((np.array(sorted(keys), np.uint64), np.array([keys[k] for k in sorted(keys)])))
+    return [s for s in out if len(s[0])]
+
+
 @pytest.mark.parametrize("cell", [1, 3, 1000])
-def test_cross_pairs_are_all_once(spark, cell):
+@pytest.mark.parametrize("weighted", [False, True])
+def test_cross_pairs_miss_no_link(spark, cell, weighted):
     rng = random.Random(7)
-    members = [(band, bytes([node]), 1) for node in range(40) for band in rng.sample(range(6), 3)]
-    root = {bytes([node]): bytes([node % 5 if node < 30 else node]) for node in range(40)}
+    every = near_threshold(rng, weighted)
+    names = [bytes([i]) for i in range(len(every))]
+    members = [(band, n, 1) for n in names for band in rng.sample(range(6), 3)]
+    root = {n: names[i // 12 * 12] if rng.random() < 0.4 else n for i, n in enumerate(names)}
     labels = spark.createDataFrame([(n, r) for n, r in root.items() if n != r], "node binary, root binary")
-    found = p.cross_pairs(spark.createDataFrame(members, "band long, node binary, weight long"), labels, cell)
-    bands = {n: {b for b, m, _ in members if m == n} for n in root}
-    want = sorted((a, b) for a in root for b in root if a < b and root[a] != root[b] and bands[a] & bands[b])
-    assert sorted((bytes(r.a), bytes(r.b)) for r in found.collect()) == want
+    sets = spark.createDataFrame([(n, h.astype(np.int64).tolist(), c.tolist() if c.max() > 1 else None) for n, (h, c) in zip(names, every)],
+                                 "node binary, hashes array<long>, counts array<int>")
+    found = p.cross_pairs(spark.createDataFrame(members, "band long, node binary, weight long"), sets, labels, cell=cell)
+    got = sorted((bytes(r.a), bytes(r.b)) for r in found.collect())
+    bands = {n: {b for b, m, _ in members if m == n} for n in names}
+    share = [(a, b) for a in names for b in names if a < b and root[a] != root[b] and bands[a] & bands[b]]
+    links = [(a, b) for a, b in share if p.probability_jaccard(every[a[0]], every[b[0]]) >= 0.8]
+    assert len(set(got)) == len(got) and set(links) <= set(got) <= set(share)
+    assert links and len(got) < len(share)
+
+
+def test_bound_of_places():
+    """The similarity is never above the bound by what each side lacks, and reaches it for sets."""
+    rng = random.Random(8)
+    every = near_threshold(rng, True) + near_threshold(rng, False)
+    for _ in range(3000):
+        (x, m), (y, n) = rng.sample(every, 2)
+        u, v = (1 - w[np.isin(k, o)].sum() / w.sum() for k, w, o in ((x, m, y), (y, n, x)))
+        if u < 1:
+            assert p.probability_jaccard((x, m), (y, n)) <= 1 / (1 + u / (1 - u) + v / (1 - v)) + 1e-9
+
+
+def test_a_large_family_makes_few_cross_pairs(spark):
+    """Templates with a variable part above the threshold, and some below it: nearly all share buckets, few pairs are made."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(200):
+        words = list(base)
+        for at in rng.sample(range(300), 12 if i % 2 else 4):
+            words[at] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+
+    def counted(pairs, *args, real=p.verified):
+        seen.append(pairs.count())
+        return real(pairs, *args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(p, "verified", counted)
+        assert listed(p.near_duplicates(docs)) == sorted(brute_classes(list(enumerate(texts))), key=str)
+    assert seen[1] < 2 * len(texts)
