@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ BANDS = REGISTERS // BAND_ROWS
 HEADS = 3
 #: Nodes on a side of a cell, the part of a bucket whose pairs are made under one key.
 CELL = 1000
+#: Bits of a node's signature, see ``parity``.
+PARITY_BITS = 2048
+#: Nodes of a bucket whose pairs are made before they are tested; larger buckets are tested while they are joined.
+SMALL_BUCKET = 32
 #: What rounding may add to a bound.
 SLACK = 1e-9
 #: Candidate ids up to this number (16 bytes each) may be broadcast; beyond, ids and texts are shuffled.
@@ -123,6 +128,13 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (after_x[both] / x[both] + before_y[both] / y[both])).sum())
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """``PARITY_BITS`` bits as 64-bit numbers: whether an odd number of shingles falls on each bit. Bits in which two sets
+    differ are never more than the shingles that only one of them has."""
+    odd = np.bincount((shingles % _U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def node_of(doc_id: int | None, text: str | None, words: list[str]) -> bytes:
     """17 bytes that stand for a row's words; without words for its whole text, and null for its own id."""
     if words:
@@ -146,8 +158,9 @@ def sketches(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``node, hashes, counts`` of the wanted nodes (``doc_id, node``, one row per node), read from their texts. ``counts`` is
-    null where all are one, as in most texts."""
+    """``node, hashes, counts, size, mass, signature`` of the wanted nodes (``doc_id, node``, one row per node), read from their
+    texts: the shingles, how often they occur (null where all are one, as in most texts), how many they are without and with
+    repetitions, and their ``parity``."""
     ids = wanted.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
     if wanted.count() <= BROADCAST_IDS:  # 25 bytes each
         ids = F.broadcast(ids)
@@ -158,13 +171,16 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE_WORDS)
             words = words_of(text)
             if node_of(None, text, words) == node:  # a repeated id may have other texts
                 hashes, counts = weighted_shingles(words, size)
-                yield hashes.astype(np.int64), counts.astype(np.int32) if counts.max() > 1 else None
+                yield (hashes.astype(np.int64), counts.astype(np.int32) if counts.max() > 1 else None, len(hashes), int(counts.sum()),
+                       parity(hashes))
             else:
-                yield None, None
+                yield None, None, None, None, None
 
     sets = with_python(texts, ["_node", "text"], {"hashes": ("array<long>", pa.list_(pa.int64())),
-                                                  "counts": ("array<int>", pa.list_(pa.int32()))}, run, ["_node"])
-    sets = sets.where("hashes is not null").select(F.col("_node").alias("node"), "hashes", "counts")
+                                                  "counts": ("array<int>", pa.list_(pa.int32())), "size": ("long", pa.int64()),
+                                                  "mass": ("long", pa.int64()), "signature": ("array<long>", pa.list_(pa.int64()))},
+                       run, ["_node"])
+    sets = sets.where("hashes is not null").withColumnRenamed("_node", "node")
     return written(sets.dropDuplicates(["node"]), "shingles")
 
 
@@ -191,61 +207,67 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
-def prefixes(sets: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``hash, node, root, odds``: the shingles by which a node of ``nodes`` (``node, root``) can meet another one.
+def may_link(a: str, b: str, threshold: float = THRESHOLD) -> Column:
+    """Whether two nodes, with ``size, mass, signature`` in the structs ``a`` and ``b``, may reach the threshold; never false for a link.
 
-    Shingles are in one order for all nodes: by the number of nodes that have them, the rarest first. Let u be the weight share of a
-    node's shingles that another one lacks, and v that of the other's. Their probability Jaccard similarity is at most
-    1 / (1 + u / (1 - u) + v / (1 - v)). What lies before the first shingle that both have is lacking in the other, so
-    there, and only there can a pair be found, ``odds``, the share before a shingle over the rest, add up to 1 / threshold - 1 at
-    most in every pair that reaches the threshold. Shingles of one node alone go before all and are not shuffled twice.
+    Let u be the weight share of a node's shingles that the other one lacks, and v that of the other's. Their probability
+    Jaccard similarity is at most 1 / (1 + u / (1 - u) + v / (1 - v)). At least as many shingles as there are different bits in the
+    signatures are in one set only, the difference of the sizes says how many in which, and each weighs one or more.
     """
-    mass = F.coalesce(F.expr("aggregate(counts, 0L, (s, x) -> s + x)"), F.size("hashes").cast("long"))
-    each = sets.join(nodes, "node").select("node", "root", mass.alias("mass"), "counts", F.posexplode("hashes").alias("at", "hash")).select(
-        "hash", "node", "root", "mass", F.coalesce(F.get("counts", F.col("at")), F.lit(1)).alias("weight"))
-    spread = each.groupBy("hash").agg(F.count("*").alias("spread")).where("spread > 1")
-    met = each.join(spread, "hash")
-    order = "PARTITION BY node ORDER BY spread, hash"
-    before = f"coalesce(sum(weight) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
-    placed = met.withColumn("before", F.expr(f"mass - sum(weight) OVER (PARTITION BY node) + {before}"))
-    return placed.withColumn("odds", F.col("before") / (F.col("mass") - F.col("before"))).where(
-        F.col("odds") <= 1 / threshold - 1 + SLACK).select("hash", "node", "root", "odds")
-
-
-def cross_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+    words = PARITY_BITS // 64
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.signature")[i].bitwiseXOR(F.col(f"{b}.signature")[i])) for i in range(words)])
+    more = F.col(f"{a}.size") - F.col(f"{b}.size")
+    apart = F.greatest(bits.cast("long"), F.abs(more))
+    only_a, only_b = (apart + more) / 2, (apart - more) / 2
+    rest_a, rest_b = F.col(f"{a}.mass") - only_a, F.col(f"{b}.mass") - only_b
+    return only_a * rest_b + only_b * rest_a <= (1 / threshold - 1 + SLACK) * rest_a * rest_b
+
+
+def facts(sets: DataFrame, node: str, name: str) -> DataFrame:
+    return sets.select(F.col("node").alias(node), F.struct("size", "mass", "signature").alias(name))
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs ``a, b`` that may reach the threshold, by the signatures, a tenth of the sets."""
+    both = pairs.join(facts(sets, "a", "fa"), "a").join(facts(sets, "b", "fb"), "b")
+    return both.where(may_link("fa", "fb", threshold)).select("a", "b")
+
+
+def cross_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
+                small: int = SMALL_BUCKET) -> DataFrame:
     """``a, b``, once: the pairs of nodes of different classes that share a bucket and may reach the threshold.
 
-    Nodes that share a bucket with another class meet by the shingles of their prefixes, where the bound of both places
-    holds; pairs that no bucket has go. So a large family, whose nodes share most of their buckets, makes few pairs: those
-    that the bound lets through and that are in no common class yet. Within a shingle only nodes outside its
-    largest class meet all others, and a shingle of very many nodes is cut into cells of about ``cell`` by ``cell`` nodes, each a
-    key of its own.
+    One end of such a pair is outside the largest class of the bucket, so only those nodes meet all others. Buckets of up
+    to ``small`` nodes make their pairs, which are then tested by ``may_link``. In larger ones the test is part of the join: a large
+    family around the threshold, whose nodes share most of their buckets, makes the pairs alone that pass it. Such a bucket is
+    cut into cells of about ``cell`` nodes by ``cell`` nodes, each a key of its own.
     """
-    most = 1 / threshold - 1 + SLACK
     classed = members.select("band", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = classed.select("band", "root").distinct().groupBy("band").count().where("count > 1").select("band")
-    nodes = written(classed.join(mixed, "band").select("node", "root").distinct(), "open")
-    rows = written(prefixes(sets, nodes, threshold), "prefixes")
-    sizes = rows.groupBy("hash", "root").agg(F.count("*").alias("n"), F.min("odds").alias("least"))
-    lists = sizes.groupBy("hash").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"),
-                                      F.min("least").alias("least"), F.count("*").alias("classes")).where("classes > 1")
-    lists = lists.select("hash", "main", "least", F.ceil(F.col("n") / cell).cast("int").alias("columns"),
+    sizes = classed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"),
+                                      F.max("n").alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    mixed = mixed.select("band", "main", "n", F.ceil(F.col("n") / cell).cast("int").alias("columns"),
                          F.ceil((F.col("n") - F.col("most")) / cell).cast("int").alias("lines"))
-    rows = written(rows.join(lists, "hash").where(F.col("odds") + F.col("least") <= most), "lists")
+    rows = written(classed.join(mixed, "band"), "mixed")
     own = F.xxhash64("node")
-    left = rows.where("root <> main").select(
-        "hash", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("odds").alias("oa"), F.pmod(own, "lines").cast("int").alias("line"),
-        F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
-    right = rows.select(
-        "hash", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("odds").alias("ob"), (F.col("root") == F.col("main")).alias("inner"),
-        F.pmod(own, "columns").cast("int").alias("column"),
-        F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"))
-    met = left.join(right, ["hash", "line", "column"]).where(f"ra <> rb and (inner or a < b) and oa + ob <= {most!r}")
-    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    buckets = members.groupBy("node").agg(F.collect_list("band").alias("bands"))
-    pairs = pairs.join(buckets.select(F.col("node").alias("a"), F.col("bands").alias("ma")), "a")
-    pairs = pairs.join(buckets.select(F.col("node").alias("b"), F.col("bands").alias("mb")), "b")
-    return pairs.where(F.arrays_overlap("ma", "mb")).select("a", "b")
+
+    def sides(of: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        left = of.where("root <> main").select(
+            "band", F.col("node").alias("a"), F.col("root").alias("ra"), *[F.col(c).alias(f"{c}a") for c in more],
+            F.pmod(own, "lines").cast("int").alias("line"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+        right = of.select(
+            "band", F.col("node").alias("b"), F.col("root").alias("rb"), *[F.col(c).alias(f"{c}b") for c in more],
+            (F.col("root") == F.col("main")).alias("inner"), F.pmod(own, "columns").cast("int").alias("column"),
+            F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"))
+        return left, right
+
+    once = F.expr("ra <> rb and (inner or a < b)")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    left, right = sides(rows.where(F.col("n") <= small))
+    few = plausible(left.join(right, ["band", "line", "column"]).where(once).select(*pair).distinct(), sets, threshold)
+    left, right = sides(rows.where(F.col("n") > small).join(facts(sets, "node", "f"), "node"), "f")
+    many = left.join(right, ["band", "line", "column"]).where(once & may_link("fa", "fb", threshold)).select(*pair)
+    return few.union(many).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -275,7 +297,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
         F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     wanted = nodes.select("node", "doc_id").join(members.select("node"), "node", "left_semi")
     sets = shingle_sets(docs, written(wanted, "wanted"), size)
-    tried = written(stars, "pairs")
+    tried = written(plausible(stars, sets, threshold), "pairs")
     links = written(verified(tried, sets, threshold), "links")
     labels = components(links)
     rest = written(cross_pairs(members, sets, labels, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")

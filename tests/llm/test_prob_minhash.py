@@ -151,18 +151,18 @@ def near_threshold(rng, weighted):
     return [s for s in out if len(s[0])]
 
 
-@pytest.mark.parametrize("cell", [1, 3, 1000])
+@pytest.mark.parametrize(("cell", "small"), [(1, 0), (3, 20), (1000, 0), (1000, 1000)])
 @pytest.mark.parametrize("weighted", [False, True])
-def test_cross_pairs_miss_no_link(spark, cell, weighted):
+def test_cross_pairs_miss_no_link(spark, cell, small, weighted):
     rng = random.Random(7)
     every = near_threshold(rng, weighted)
     names = [bytes([i]) for i in range(len(every))]
     members = [(band, n, 1) for n in names for band in rng.sample(range(6), 3)]
     root = {n: names[i // 12 * 12] if rng.random() < 0.4 else n for i, n in enumerate(names)}
     labels = spark.createDataFrame([(n, r) for n, r in root.items() if n != r], "node binary, root binary")
-    sets = spark.createDataFrame([(n, h.astype(np.int64).tolist(), c.tolist() if c.max() > 1 else None) for n, (h, c) in zip(names, every)],
-                                 "node binary, hashes array<long>, counts array<int>")
-    found = p.cross_pairs(spark.createDataFrame(members, "band long, node binary, weight long"), sets, labels, cell=cell)
+    sets = spark.createDataFrame([(n, len(h), int(c.sum()), p.parity(h).tolist()) for n, (h, c) in zip(names, every)],
+                                 "node binary, size long, mass long, signature array<long>")
+    found = p.cross_pairs(spark.createDataFrame(members, "band long, node binary, weight long"), sets, labels, cell=cell, small=small)
     got = sorted((bytes(r.a), bytes(r.b)) for r in found.collect())
     bands = {n: {b for b, m, _ in members if m == n} for n in names}
     share = [(a, b) for a in names for b in names if a < b and root[a] != root[b] and bands[a] & bands[b]]
@@ -171,15 +171,20 @@ def test_cross_pairs_miss_no_link(spark, cell, weighted):
     assert links and len(got) < len(share)
 
 
-def test_bound_of_places():
-    """The similarity is never above the bound by what each side lacks, and reaches it for sets."""
+def test_bound_by_signatures(spark):
+    """No pair above the threshold is ruled out, and most others are."""
     rng = random.Random(8)
     every = near_threshold(rng, True) + near_threshold(rng, False)
-    for _ in range(3000):
-        (x, m), (y, n) = rng.sample(every, 2)
-        u, v = (1 - w[np.isin(k, o)].sum() / w.sum() for k, w, o in ((x, m, y), (y, n, x)))
-        if u < 1:
-            assert p.probability_jaccard((x, m), (y, n)) <= 1 / (1 + u / (1 - u) + v / (1 - v)) + 1e-9
+    pairs = [tuple(rng.sample(range(len(every)), 2)) for _ in range(3000)] + [(i, i + 1) for i in range(len(every) - 1)]
+    kind = "struct<size:long,mass:long,signature:array<long>>"
+    known = [(len(h), int(c.sum()), p.parity(h).tolist()) for h, c in every]
+    rows = spark.createDataFrame([(a, b, known[a], known[b]) for a, b in pairs], f"a int, b int, fa {kind}, fb {kind}")
+    alike = {(a, b): p.probability_jaccard(every[a], every[b]) for a, b in pairs}
+    for bound in (0.5, 0.8, 0.95):
+        passed = {(r.a, r.b) for r in rows.where(p.may_link("fa", "fb", bound)).collect()}
+        links = {pair for pair, j in alike.items() if j >= bound}
+        assert links <= passed and (links or bound > 0.9)
+        assert len(passed - links) < len(alike) / 10
 
 
 def test_a_large_family_makes_few_cross_pairs(spark):
