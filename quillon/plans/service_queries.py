@@ -66,15 +66,13 @@ def saved_model_rows(spark, sf_dir):
 
 
 def stream_profile(spark, sf_dir):
-    """Column counts of the batches of a stream."""
+    """Exact column counts of a stream, from the counted values of its batches."""
     raw = runner.read_stream(spark, event_stream_config(spark, sf_dir))
     record = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
     sink = scratch(spark, "stream")
-    runner.run_profiled(runner.good_records(runner.decode(raw, record)), f"{sink}/profile", f"{sink}/offsets",
-                        available_now=True).awaitTermination()
-    return spark.read.parquet(f"{sink}/profile").groupBy("column").agg(
-        F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"),
-        F.max("unique_count").alias("unique_count"))
+    runner.run_counted(runner.good_records(runner.decode(raw, record)), f"{sink}/values", f"{sink}/offsets",
+                       available_now=True).awaitTermination()
+    return runner.merged_counts(spark, f"{sink}/values")
 
 
 def stream_publish(spark, sf_dir):

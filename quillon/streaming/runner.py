@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from quillon.operators.profile import column_counts
+from quillon.operators.profile import frequencies
+from quillon.operators.sketches import merge_sketches, sketch_columns
 from quillon.sources.registry import source_spec
 
 Processor = Callable[[DataFrame], DataFrame]
@@ -127,15 +128,42 @@ def run_stream(spark: SparkSession, cfg: dict, schema: StructType | str, sink: s
 
 
 def run_profiled(df: DataFrame, sink: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Append the column counts of every batch, with the batch number."""
+    """Append the profile of every batch: a row of mergeable sketches per column, in a folder that a retry overwrites.
+
+    :func:`merged_sketches` has the profile of all batches so far. A distinct count of a batch can't be added to
+    that of another; their sketches can be merged.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        column_counts(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        sketch_columns(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now
             else writer.trigger(processingTime=f"{CHECKPOINT_SECONDS} seconds")).start()
 
 
+def merged_sketches(spark: SparkSession, sink: str) -> DataFrame:
+    """The sketches of all batches that :func:`run_profiled` has written, see ``sketch_report``."""
+    return merge_sketches(spark.read.parquet(sink).drop("batch"))
+
+
+def run_counted(df: DataFrame, sink: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Append the values of every batch with their counts, for exact profiles: a batch's distinct values, not its rows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        frequencies(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now
+            else writer.trigger(processingTime=f"{CHECKPOINT_SECONDS} seconds")).start()
+
+
+def merged_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """``column, row_count, null_count, unique_count`` of all rows that :func:`run_counted` has seen, exactly."""
+    values = spark.read.parquet(sink).groupBy("column", "key").agg(F.sum("rows").alias("rows"))
+    return values.groupBy("column").agg(
+        F.sum("rows").alias("row_count"), F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("rows"))), F.lit(0)).alias("null_count"),
+        F.count("key").alias("unique_count"))
+
+
 def run_totals(df: DataFrame, sink: str, checkpoint: str, available_now: bool = False,
                keys: tuple[str, ...] = ()) -> StreamingQuery:
     """Keep the results of a streaming aggregation, one parquet folder per batch below ``sink``.

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators.sketches import sketch_report
 from quillon.streaming import runner
 from tests.conftest import rows
 
@@ -63,8 +64,18 @@ def test_watermark_drops_the_state_of_old_windows(spark, inbox):
 def test_profiled_batches(spark, inbox, tmp_path):
     records = runner.good_records(runner.decode(runner.read_stream(spark, inbox), RECORD, ("id",)))
     runner.run_profiled(records, str(tmp_path / "p"), str(tmp_path / "o"), available_now=True).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "p"))
-    assert got.where("column = 'id'").agg(F.sum("row_count")).first()[0] == 9
+    assert spark.read.parquet(str(tmp_path / "p")).select("batch").distinct().count() == 2
+    got = {r.column: r for r in sketch_report(runner.merged_sketches(spark, str(tmp_path / "p"))).collect()}
+    assert (got["id"].row_count, got["id"].unique_count, got["id"].median, got["kind"].unique_count) == (9, 9, 4.0, 2)
+    assert [tuple(t) for t in got["kind"].top_values] == [("b", 5), ("a", 4)]
+
+
+def test_counted_batches_are_exact(spark, inbox, tmp_path):
+    records = runner.good_records(runner.decode(runner.read_stream(spark, inbox), RECORD, ("id",)))
+    runner.run_counted(records, str(tmp_path / "p"), str(tmp_path / "o"), available_now=True).awaitTermination()
+    got = rows(runner.merged_counts(spark, str(tmp_path / "p")))
+    # both batches have both kinds and all three times
+    assert got == [("id", 9, 0, 9), ("kind", 9, 0, 2), ("ts", 9, 0, 3)]
 
 
 def test_publish_and_read_back(spark, tmp_path):
