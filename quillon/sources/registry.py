@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from quillon.operators.catalog import catalog_of
 
+# Fixed value: what a table may be called.
 TABLE_NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_.]*")
 
 
@@ -112,7 +114,7 @@ def rest_options(cfg: dict, table: str | None) -> dict[str, str]:
     options = {"endpoint": endpoint}
     if table:
         options["resource"] = check_table_name(table)
-    for key in ("fetcher", "paginate", "parallelism", "headers", "params", "limit"):
+    for key in ("fetcher", "paginate", "parallelism", "headers", "params", "limit", "filter_params"):
         if cfg.get(key) is not None:
             options[key] = str(cfg[key])
     return options
@@ -120,12 +122,12 @@ def rest_options(cfg: dict, table: str | None) -> dict[str, str]:
 
 def salesforce_options(cfg: dict, table: str | None) -> dict[str, str]:
     endpoint, token = _need(cfg, "instance_url", "access_token")
-    options = {"endpoint": endpoint, "token": token, "paginate": "false",
+    options = {"endpoint": endpoint, "token": token, "paginate": "false", "pushdown": "soql",
                "fetcher": cfg.get("fetcher", "quillon.sources.rest:fetch_salesforce")}
     if table:
         options["resource"] = check_table_name(table)
-    for key in ("columns", "predicates", "where"):
-        if cfg.get(key):
+    for key in ("columns", "predicates", "where", "limit"):
+        if cfg.get(key) is not None:
             options[key] = str(cfg[key])
     return options
 
@@ -164,6 +166,17 @@ def event_hub_options(cfg: dict, table: str | None) -> dict[str, str]:
     return options
 
 
+def log_options(cfg: dict, table: str | None) -> dict[str, str]:
+    """An append-only log behind an address, see :mod:`quillon.sources.log_stream`."""
+    (endpoint,) = _need(cfg, "endpoint")
+    options = {"endpoint": endpoint, "start": cfg.get("starting_offsets", "earliest")}
+    for key, name in (("batch_size", "records_per_batch"), ("progress", "progress"), ("records_per_task", "records_per_task"),
+                      ("fetcher", "fetcher"), ("headers", "headers")):
+        if cfg.get(key) is not None:
+            options[name] = str(cfg[key])
+    return options
+
+
 def _plain(cfg: dict, table: str | None) -> dict[str, str]:
     return {k: str(v) for k, v in cfg.get("options", {}).items()}
 
@@ -183,6 +196,7 @@ SOURCES: dict[str, SourceSpec] = {
     "onelake": SourceSpec("parquet", _plain, "files"),
     "kafka": SourceSpec("kafka", kafka_options, "stream"),
     "event_hub": SourceSpec("kafka", event_hub_options, "stream"),
+    "log": SourceSpec("log", log_options, "stream"),
 }
 
 
@@ -216,21 +230,34 @@ def read_source(spark: SparkSession, cfg: dict, table: str | None = None, column
     else:
         if spec.format == "rest":
             rest.register(spark)
-        reader = spark.read.format(spec.format).options(**spec.options(cfg, table))
+        if spec.format == "rest" and limit is not None and not where and cfg.get("limit") is None:
+            cfg = {**cfg, "limit": limit}  # without a filter the pages beyond the limit need not be read
         # a database has schemas of its own, so what it is read as has another key there
         read_as = cfg.get("read_schema") or (cfg.get("schema") if spec.format == "rest" else None)
+        options = spec.options(cfg, table)
+        if cfg["type"] == "salesforce" and read_as and columns and list(columns) != ["*"] and not cfg.get("columns"):
+            read_as = narrowed(read_as, columns, where)
+            options["columns"] = ", ".join(read_as.names)
+        reader = spark.read.format(spec.format).options(**options)
         if read_as:
             reader = reader.schema(read_as)
             if spec.format == "rest":
-                reader = reader.option("strict", str(cfg.get("strict", False)).lower())
+                reader = reader.option("strict", str(cfg.get("strict", cfg["type"] != "salesforce")).lower())
         df = reader.load()
         if spec.format == "rest" and cfg.get("limit") is not None:
-            df = df.limit(int(cfg["limit"]))  # the tasks stop at so many rows each
+            df = df.limit(int(cfg["limit"]))  # a slice of its own may have as many
     if cfg["type"] == "salesforce" and "attributes" in df.columns:
         df = df.drop("attributes")
     return apply_cuts(df, columns, where, limit)
 
 
+def narrowed(schema: StructType | str, columns: list[str], where: str | None) -> StructType:
+    """The fields that a read needs: the wanted ones, and those that the filter names."""
+    schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    wanted = {*columns, *re.findall(r"\w+", where or "")}
+    return StructType([f for f in schema.fields if f.name in wanted])
+
+
 def run_query(spark: SparkSession, cfg: dict, sql: str) -> DataFrame:
     """A query the database itself runs."""
     if source_spec(cfg).format != "jdbc":
@@ -244,25 +271,15 @@ def read_tables(spark: SparkSession, cfg: dict, tables: list[str] | None = None)
     if not names:
         from quillon.sources import files
 
-        names = files.list_tables(spark, cfg) if source_spec(cfg).kind == "files" else list_jdbc_tables(spark, cfg)
+        names = files.list_tables(spark, cfg) if source_spec(cfg).kind == "files" else list_source_tables(spark, cfg)
     return {name: read_source(spark, cfg, name) for name in names}
 
 
-# Where the databases list their tables.
-TABLE_LISTS = {
-    "oracle": "SELECT table_name AS t FROM user_tables",
-    "derby": "SELECT tablename AS t FROM sys.systables WHERE tabletype = 'T'",
-}
-DEFAULT_TABLE_LIST = "SELECT table_name AS t FROM information_schema.tables WHERE table_type = 'BASE TABLE'"
-
+def list_source_tables(spark: SparkSession, cfg: dict) -> list[str]:
+    """The qualified names of a source's tables, from its catalog: bounded by the size of that."""
+    from quillon.sources.catalogs import catalog_rows
 
-def list_jdbc_tables(spark: SparkSession, cfg: dict) -> list[str]:
-    if source_spec(cfg).format != "jdbc":
-        raise ValueError(f"name the tables of a {cfg['type']} source")
-    dialect = "derby" if str(cfg.get("url", "")).startswith("jdbc:derby") else cfg["type"]
-    rows = run_query(spark, cfg, TABLE_LISTS.get(dialect, DEFAULT_TABLE_LIST))
-    # table names only: bounded by the size of the database's catalog
-    return sorted(r[0] for r in rows.collect())
+    return sorted(r[0] for r in catalog_rows(spark, cfg).select("qualified").distinct().collect())
 
 
 def read_catalog(spark: SparkSession, cfg: dict, tables: list[str] | None = None) -> DataFrame:

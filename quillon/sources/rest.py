@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
 import importlib
 import json
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull,
+    LessThan, LessThanOrEqual, Not,
+)
 from pyspark.sql.types import (
     BooleanType, DataType, DoubleType, LongType, NullType, StringType, StructField, StructType,
 )
@@ -43,9 +48,49 @@ def fetch_http(options: dict[str, str], page: int | None):
 
 def soql(options: dict[str, str], predicate: str | None) -> str:
     """The object query of a scan."""
-    conditions = [c for c in (options.get("where"), predicate) if c]
+    conditions = [c for c in (options.get("where"), predicate, *json.loads(options.get("pushed", "[]"))) if c]
     text = f"SELECT {options.get('columns', 'FIELDS(ALL)')} FROM {options['resource']}"
-    return text + (" WHERE " + " AND ".join(f"({c})" for c in conditions) if conditions else "")
+    text += " WHERE " + " AND ".join(f"({c})" for c in conditions) if conditions else ""
+    return text + (f" LIMIT {int(options['limit'])}" if int(options.get("limit", -1)) >= 0 else "")
+
+
+def soql_value(value) -> str | None:
+    """A value as the object query language writes it; none for types that it compares otherwise than Spark."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (int, float)):
+        return repr(value)
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, datetime.datetime):
+        return value.astimezone(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ") if value.tzinfo and not value.microsecond else None
+    return value.isoformat() if isinstance(value, datetime.date) else None
+
+
+#: Comparisons with the same meaning on both sides. Texts are compared without regard to case there, which only lets more
+#: rows through, so equality is tested again by Spark.
+COMPARISONS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def soql_condition(f: Filter) -> str | None:
+    """A filter as a condition, or none if it has to stay with Spark."""
+    if isinstance(f, Not):
+        inner = f.child
+        return f"{'.'.join(inner.attribute)} != NULL" if isinstance(inner, IsNull) else None
+    name = ".".join(f.attribute) if hasattr(f, "attribute") else ""
+    if isinstance(f, IsNotNull):
+        return f"{name} != NULL"
+    if isinstance(f, IsNull):
+        return f"{name} = NULL"
+    if isinstance(f, In):
+        values = [soql_value(v) for v in f.value]
+        return f"{name} IN ({', '.join(values)})" if values and None not in values else None
+    if type(f) in COMPARISONS:
+        value = soql_value(f.value)
+        # the order of texts is the server's own
+        if value is not None and (isinstance(f, EqualTo) or not isinstance(f.value, str)):
+            return f"{name} {COMPARISONS[type(f)]} {value}"
+    return None
 
 
 def fetch_salesforce(options: dict[str, str], predicate: str | None):
@@ -92,18 +137,44 @@ class RestReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.schema, self.options = schema, options
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Conditions that the server can test go with the request.
+
+        An object query takes comparisons. A plain endpoint takes equality on the fields that ``filter_params`` (JSON, field to
+        parameter) names. Spark tests what may let too many rows through again.
+        """
+        names = json.loads(self.options.get("filter_params", "{}"))
+        objects = self.options.get("pushdown") == "soql"
+        conditions, params, rest = [], {}, []
+        for f in filters:
+            condition = soql_condition(f) if objects else None
+            if condition:
+                conditions.append(condition)
+            elif not objects and isinstance(f, EqualTo) and ".".join(f.attribute) in names and isinstance(f.value, (str, int)):
+                params[names[".".join(f.attribute)]] = f.value
+            if not condition or isinstance(f, (EqualTo, In)):
+                rest.append(f)
+        if conditions:
+            self.options["pushed"] = json.dumps(conditions)
+        if params:
+            self.options["params"] = json.dumps(json.loads(self.options.get("params", "{}")) | params)
+        return rest
+
     def partitions(self) -> list[InputPartition]:
         if self.options.get("paginate", "false").lower() == "true":
-            step = int(self.options.get("parallelism", "8"))
+            # a limit needs no more pages than hold its rows: they are read one after the other, and none beside them
+            step = 1 if int(self.options.get("limit", -1)) >= 0 else int(self.options.get("parallelism", "8"))
             return [Stripe(first, step) for first in range(1, step + 1)]
         return [Slice(p) for p in json.loads(self.options.get("predicates", "[null]"))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         fetch = _load(self.options.get("fetcher", "quillon.sources.rest:fetch_http"))
+        left = int(self.options.get("limit", -1))
         if isinstance(partition, Slice):
-            yield from map(self._row, _records(fetch(self.options, partition.predicate)))
+            rows = map(self._row, _records(fetch(self.options, partition.predicate)))
+            yield from islice(rows, left) if left >= 0 else rows
             return
-        page, left = partition.first, int(self.options.get("limit", -1))
+        page = partition.first
         while left != 0:
             answer = fetch(self.options, page)
             if isinstance(answer, dict) and page == 1:
@@ -114,7 +185,6 @@ class RestReader(DataSourceReader):
                 return
             if not isinstance(answer, list):
                 raise ValueError(f"page {page} is no list of records: {json.dumps(answer)[:200]}")
-            # no stripe needs more rows than the whole read
             for record in answer[:left] if left > 0 else answer:
                 yield self._row(record)
             left = max(left - len(answer), 0) if left > 0 else left
@@ -152,8 +222,8 @@ def _kind(value) -> DataType:
 class RestDataSource(DataSource):
     """``spark.read.format("rest")`` with the options ``endpoint``, ``resource``, ``paginate``,
     ``parallelism`` (pages read side by side), ``headers`` and ``params`` (JSON), ``strict``
-    (``false`` leaves out fields that the schema lacks instead of failing), ``limit`` (rows a
-    task reads at most) and ``fetcher`` (``module:function``, to read something other than HTTP)."""
+    (``false`` leaves out fields that the schema lacks instead of failing), ``limit`` (rows to read; pages
+    beyond them are not fetched), ``filter_params`` (fields that the server can filter) and ``fetcher`` (``module:function``, to read something other than HTTP)."""
 
     @classmethod
     def name(cls) -> str:
@@ -185,4 +255,5 @@ class RestDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RestDataSource)

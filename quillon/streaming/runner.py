@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from quillon.operators.profile import frequencies
 from quillon.operators.sketches import merge_sketches, sketch_columns
+from quillon.sources import log_stream
 from quillon.sources.registry import source_spec
 
 Processor = Callable[[DataFrame], DataFrame]
@@ -51,6 +52,8 @@ def read_stream(spark: SparkSession, cfg: dict) -> DataFrame:
             return rows.select("value")
         return rows.select(F.to_json(F.struct("*"), JSON_TIMES).alias("value"))
     spec = source_spec(cfg)
+    if spec.format == "log":
+        log_stream.register(spark)
     if spec.kind != "stream":
         raise ValueError(f"{cfg['type']} is not a stream")
     # a batch takes all that has come, unless the configuration has a batch_size

@@ -120,8 +120,54 @@ def test_rest_pages(spark, tmp_path):
     df = registry.read_source(spark, cfg)
     assert dict(df.dtypes) == {"id": "bigint", "v": "double", "tag": "string"} and df.rdd.getNumPartitions() == 3
     assert sorted(r.id for r in df.collect()) == sorted(r["id"] for p in pages for r in p)
-    limited = registry.read_source(spark, {**cfg, "limit": 2, "schema": "id bigint"}, where="id > 0", limit=2)
+    limited = registry.read_source(spark, {**cfg, "limit": 2, "schema": "id bigint", "strict": False}, where="id > 0", limit=2)
     assert limited.count() == 2
+    with pytest.raises(Exception, match="fields that the schema lacks"):
+        registry.read_source(spark, {**cfg, "schema": "id bigint"}).collect()
+
+
+def calls(folder):
+    return sorted(p.name for p in folder.glob("call-*"))
+
+
+def test_a_limit_stops_the_pages(spark, tmp_path):
+    write_pages(tmp_path, [[{"id": 10 * p + i} for i in range(4)] for p in range(1, 30)])
+    cfg = {"type": "api", "endpoint": str(tmp_path), "fetcher": "tests.pages:fetch_counted", "paginate": "true", "schema": "id bigint"}
+    assert registry.read_source(spark, cfg, limit=10).count() == 10
+    assert [c.split("-")[1] for c in calls(tmp_path)] == ["page=1", "page=2", "page=3"]
+    assert registry.read_source(spark, cfg, limit=0).count() == 0 and len(calls(tmp_path)) == 3
+    # a filter may need all pages
+    assert registry.read_source(spark, cfg, where="id >= 290", limit=3).count() == 3
+
+
+def test_filters_go_to_the_endpoint(spark, tmp_path):
+    write_pages(tmp_path, [[{"id": 1, "kind": "a"}, {"id": 2, "kind": "b"}], []])
+    cfg = {"type": "api", "endpoint": str(tmp_path), "fetcher": "tests.pages:fetch_counted", "paginate": "true", "schema": "id bigint, kind string",
+           "filter_params": json.dumps({"kind": "k"})}
+    assert rows(registry.read_source(spark, cfg, where="kind = 'b' AND id > 0")) == [(2, "b")]
+    assert all('{"k": "b"}' in c.read_text() for c in tmp_path.glob("call-*"))
+
+
+def test_salesforce_gets_columns_and_conditions(spark):
+    cfg = {"type": "salesforce", "instance_url": "https://x", "access_token": "t", "fetcher": "tests.pages:fetch_predicate",
+           "read_schema": "Id string, Amount bigint, Name string, Closed boolean"}
+    got = registry.read_source(spark, cfg, "Account", ["Id"], "Amount > 3 AND Amount <= 9 AND Closed IS NULL", 7)
+    assert got.columns == ["Id"]
+    (text,) = [r.Id for r in got.collect()]
+    assert text.startswith("SELECT Id, Amount, Closed FROM Account WHERE ")
+    assert all(c in text for c in ("(Amount > 3)", "(Amount <= 9)", "(Closed = NULL)", "(Amount != NULL)"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Amount#" not in plan.split("BatchScan")[0].split("Filter")[-1] or "Filter" not in plan
+
+
+def test_conditions_keep_their_meaning():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, IsNull, Not, StringContains
+
+    assert rest.soql_condition(EqualTo(("Name",), "O'Brien \\ co")) == "Name = 'O\\'Brien \\\\ co'"
+    assert rest.soql_condition(In(("A",), (1, 2))) == "A IN (1, 2)" and rest.soql_condition(GreaterThan(("Flag",), True)) == "Flag > true"
+    assert rest.soql_condition(GreaterThan(("Name",), "x")) is None  # the order of texts differs
+    assert rest.soql_condition(Not(IsNull(("A",)))) == rest.soql_condition(IsNotNull(("A",))) == "A != NULL"
+    assert rest.soql_condition(Not(EqualTo(("A",), 1))) is None and rest.soql_condition(StringContains(("A",), "x")) is None
 
 
 def test_rest_single_answers(spark, tmp_path):
