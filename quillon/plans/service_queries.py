@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillon.functions import crypto, scalars
 from quillon.operators import insights, ml, profile, quality, rows
 from quillon.operators.catalog import catalog_of, local_frame, row_counts
+from quillon.operators.grain import grains
 from quillon.operators.modeling import suggest_fields
+from quillon.operators.versioned import KeyedTable
 from quillon.operators.visuals import suggest_visuals
 from quillon.plans.guard import run_batch
 from quillon.plans.operator_queries import blanked_orders, event_stream_config, rounded, union_all
@@ -166,6 +168,25 @@ def json_documents(spark, sf_dir):
                                "schema": "page_id bigint, url string"}, "pages").select("page_id", "url")
 
 
+def versioned_upsert(spark, sf_dir):
+    """Customers in a keyed table after updates of every tenth and some new ones, and which version first had the row."""
+    customer = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    table = KeyedTable(spark, scratch(spark, "keyed"))
+    first = table.create(customer, ["c_custkey"], buckets=16)
+    changed = customer.where("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lower("c_mktsegment"))
+    second = table.upsert(changed.unionByName(customer.where("c_custkey % 50 = 1").withColumn("c_custkey", -F.col("c_custkey"))))
+    third = table.delete(customer.where("c_custkey % 100 = 3"))
+    touched = union_all([table.changes(a, b).select("c_custkey", F.lit(b).alias("version")) for a, b in ((first, second), (second, third))])
+    return table.read().join(touched, "c_custkey", "left").select(
+        "c_custkey", "c_name", "c_mktsegment", F.coalesce("version", F.lit(first)).cast("bigint").alias("version"))
+
+
+def table_grains(spark, sf_dir):
+    """The minimal keys of up to three columns of every table, beside its rows."""
+    tables = load_all(spark, sf_dir)
+    return grains(tables).withColumn("size", F.col("size").cast("bigint")).join(row_counts(tables), "table")
+
+
 SERVICE_QUERIES = {f.__name__: f for f in (
     predict_rows, classify_rows, saved_model_rows, stream_profile, stream_publish, encrypted_customers, chunk_function,
-    period_anomalies, query_batch, quality_gate, visual_suggestions, json_documents)}
+    period_anomalies, query_batch, quality_gate, visual_suggestions, json_documents, versioned_upsert, table_grains)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 from quillon.plans.oracle import BLANKED, SCHEMA, _counts, _issues, _names, _score, _union
 from quillon.plans.service_queries import BATCH
@@ -64,6 +65,21 @@ def _suggestions() -> str:
     return _union(rows)
 
 
+def _grains() -> str:
+    """All sets of up to three columns whose values never repeat, without those that hold a smaller one."""
+    sets = []
+    for table, columns in SCHEMA.items():
+        plain = sorted(c for c, k in columns if k in ("int", "bigint", "string") or k.startswith("timestamp"))
+        for size in (1, 2, 3):
+            for s in combinations(plain, size):
+                cells = ", ".join(f'c{i} := "{c}"' for i, c in enumerate(s))
+                sets.append(f"""SELECT '{table}' AS "table", '{",".join(s)}' AS columns, CAST({size} AS BIGINT) AS size, count(*) AS row_count,
+                    count(DISTINCT struct_pack({cells})) = count(*) AS ok FROM "{table}" """)
+    return f"""WITH k AS (SELECT * FROM ({_union(sets)}) WHERE ok)
+        SELECT "table", columns, size, row_count FROM k WHERE NOT EXISTS (SELECT 1 FROM k s WHERE s."table" = k."table" AND s.size < k.size
+            AND len(list_intersect(string_split(s.columns, ','), string_split(k.columns, ','))) = s.size)"""
+
+
 def statements() -> dict[str, str]:
     return {
         "predict_rows": """SELECT o_orderstatus, count(*) AS row_count, count(*) AS predicted, count(*) AS in_range,
@@ -85,4 +101,10 @@ def statements() -> dict[str, str]:
         "quality_gate": _gate(),
         "visual_suggestions": _suggestions(),
         "json_documents": "SELECT page_id, url FROM pages",
+        "versioned_upsert": """WITH c AS (SELECT c_custkey, c_name, c_mktsegment FROM customer),
+            n AS (SELECT -c_custkey AS c_custkey, c_name, c_mktsegment FROM c WHERE c_custkey % 50 = 1)
+            SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment,
+              CAST(CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM c WHERE c_custkey % 100 <> 3
+            UNION ALL SELECT c_custkey, c_name, c_mktsegment, 2 FROM n""",
+        "table_grains": _grains(),
     }
