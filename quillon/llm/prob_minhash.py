@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +26,10 @@ BANDS = REGISTERS // BAND_ROWS
 HEADS = 3
 #: Nodes on a side of a cell, the part of a bucket whose pairs are made under one key.
 CELL = 1000
-#: Bits of a node's signature, see ``parity``.
-PARITY_BITS = 2048
-#: Nodes of a bucket whose pairs are made before they are tested; larger buckets are tested while they are joined.
+#: Bits of a node's signature for each of its shingles at least, and at least in all; see ``parity``.
+BITS_A_SHINGLE = 4
+LEAST_BITS = 512
+#: Nodes of a bucket whose pairs are made before they are tested; pairs of larger buckets are tested as they are found.
 SMALL_BUCKET = 32
 #: What rounding may add to a bound.
 SLACK = 1e-9
@@ -128,11 +129,54 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (after_x[both] / x[both] + before_y[both] / y[both])).sum())
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """``PARITY_BITS`` bits as 64-bit numbers: whether an odd number of shingles falls on each bit. Bits in which two sets
-    differ are never more than the shingles that only one of them has."""
-    odd = np.bincount((shingles % _U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(shingles: np.ndarray) -> bytes:
+    """Bits, a power of two, that say whether an odd number of shingles falls on each. Bits in which two sets differ are never
+    more than the shingles that only one of them has."""
+    bits = max(LEAST_BITS, 1 << (BITS_A_SHINGLE * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(signatures: np.ndarray, width: int) -> np.ndarray:
+    """Signatures, a row of 64-bit numbers each, with half the bits, and so on: what they would be with fewer bits."""
+    while signatures.shape[1] > width:
+        half = signatures.shape[1] // 2
+        signatures = signatures[:, :half] ^ signatures[:, half:]
+    return signatures
+
+
+class Facts:
+    """What is known of some nodes without their shingles: how many they are, their weight, and the signatures."""
+
+    def __init__(self, sizes: list[int], masses: list[int], signatures: list[bytes]) -> None:
+        self.sizes, self.masses = np.array(sizes, float), np.array(masses, float)
+        self.widths = np.array([len(s) // 8 for s in signatures], np.int64)
+        self.rows = {int(w): np.flatnonzero(self.widths == w) for w in np.unique(self.widths)}
+        self.signatures = {w: np.frombuffer(b"".join(signatures[i] for i in rows), _U).reshape(len(rows), w) for w, rows in self.rows.items()}
+        self._shorter: dict[tuple[int, int], np.ndarray] = {}
+
+    def _at_most(self, width: int, most: int) -> np.ndarray:
+        if (width, most) not in self._shorter:
+            self._shorter[width, most] = _folded(self.signatures[width], most)
+        return self._shorter[width, most]
+
+    def may_link(self, size: float, mass: float, signature: bytes, threshold: float = THRESHOLD) -> np.ndarray:
+        """Which of the nodes may reach the threshold with one that has these facts; never false for a link.
+
+        Let u be the weight share of a node's shingles that the other one lacks, and v that of the other's. Their
+        probability Jaccard similarity is at most 1 / (1 + u / (1 - u) + v / (1 - v)). At least as many shingles as there are
+        different bits are in one set only, the difference of the sizes says how many in which, and each weighs one or more.
+        """
+        one = np.frombuffer(signature, _U)[None, :]
+        apart = np.empty(len(self.sizes))
+        for width, rows in self.rows.items():
+            least = min(width, one.shape[1])
+            apart[rows] = np.bitwise_count(self._at_most(width, least) ^ _folded(one, least)).sum(axis=1)
+        more = size - self.sizes
+        apart = np.maximum(apart, np.abs(more))
+        only, only_other = (apart + more) / 2, (apart - more) / 2
+        rest, rest_other = mass - only, self.masses - only_other
+        return only * rest_other + only_other * rest <= (1 / threshold - 1 + SLACK) * rest * rest_other
 
 
 def node_of(doc_id: int | None, text: str | None, words: list[str]) -> bytes:
@@ -178,7 +222,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE_WORDS)
 
     sets = with_python(texts, ["_node", "text"], {"hashes": ("array<long>", pa.list_(pa.int64())),
                                                   "counts": ("array<int>", pa.list_(pa.int32())), "size": ("long", pa.int64()),
-                                                  "mass": ("long", pa.int64()), "signature": ("array<long>", pa.list_(pa.int64()))},
+                                                  "mass": ("long", pa.int64()), "signature": ("binary", pa.binary())},
                        run, ["_node"])
     sets = sets.where("hashes is not null").withColumnRenamed("_node", "node")
     return written(sets.dropDuplicates(["node"]), "shingles")
@@ -207,30 +251,41 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
-def may_link(a: str, b: str, threshold: float = THRESHOLD) -> Column:
-    """Whether two nodes, with ``size, mass, signature`` in the structs ``a`` and ``b``, may reach the threshold; never false for a link.
-
-    Let u be the weight share of a node's shingles that the other one lacks, and v that of the other's. Their probability
-    Jaccard similarity is at most 1 / (1 + u / (1 - u) + v / (1 - v)). At least as many shingles as there are different bits in the
-    signatures are in one set only, the difference of the sizes says how many in which, and each weighs one or more.
-    """
-    words = PARITY_BITS // 64
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.signature")[i].bitwiseXOR(F.col(f"{b}.signature")[i])) for i in range(words)])
-    more = F.col(f"{a}.size") - F.col(f"{b}.size")
-    apart = F.greatest(bits.cast("long"), F.abs(more))
-    only_a, only_b = (apart + more) / 2, (apart - more) / 2
-    rest_a, rest_b = F.col(f"{a}.mass") - only_a, F.col(f"{b}.mass") - only_b
-    return only_a * rest_b + only_b * rest_a <= (1 / threshold - 1 + SLACK) * rest_a * rest_b
-
-
 def facts(sets: DataFrame, node: str, name: str) -> DataFrame:
-    return sets.select(F.col("node").alias(node), F.struct("size", "mass", "signature").alias(name))
+    return sets.select(F.col("node").alias(node), *[F.col(c).alias(f"{c}{name}") for c in ("size", "mass", "signature")])
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs ``a, b`` that may reach the threshold, by the signatures, a tenth of the sets."""
-    both = pairs.join(facts(sets, "a", "fa"), "a").join(facts(sets, "b", "fb"), "b")
-    return both.where(may_link("fa", "fb", threshold)).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(f"{c}{side}").to_pylist() for side in ("_a", "_b") for c in ("size", "mass", "signature")])
+            passed = [bool(Facts([n], [m], [g]).may_link(*one, threshold)[0]) for *one, n, m, g in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(passed, pa.bool_()))
+
+    both = pairs.join(facts(sets, "a", "_a"), "a").join(facts(sets, "b", "_b"), "b")
+    return both.mapInArrow(run, "a binary, b binary")
+
+
+def _cell_pairs(threshold: float):
+    """The pairs of a cell that may link, made one left node at a time against all right ones."""
+    def run(table: pa.Table) -> pa.Table:
+        left, right = table.filter(table["left"]), table.filter(pc.invert(table["left"]))
+        found: tuple[list, list] = ([], [])
+        if len(left) and len(right):
+            known = Facts(*[right[c].to_pylist() for c in ("size", "mass", "signature")])
+            names = sorted({name for side in (left, right) for c in ("node", "root") for name in side[c].to_pylist()})
+            number = {name: i for i, name in enumerate(names)}
+            nodes, roots = (np.array([number[name] for name in right[c].to_pylist()]) for c in ("node", "root"))
+            inner = np.array(right["inner"].to_pylist())
+            for node, root, *one in zip(*[left[c].to_pylist() for c in ("node", "root", "size", "mass", "signature")]):
+                passed = known.may_link(*one, threshold) & (roots != number[root]) & (inner | (nodes > number[node]))
+                others = nodes[passed].tolist()
+                found[0].extend([node] * len(others))
+                found[1].extend(names[i] for i in others)
+        return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})
+
+    return run
 
 
 def cross_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
@@ -238,9 +293,9 @@ def cross_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshol
     """``a, b``, once: the pairs of nodes of different classes that share a bucket and may reach the threshold.
 
     One end of such a pair is outside the largest class of the bucket, so only those nodes meet all others. Buckets of up
-    to ``small`` nodes make their pairs, which are then tested by ``may_link``. In larger ones the test is part of the join: a large
-    family around the threshold, whose nodes share most of their buckets, makes the pairs alone that pass it. Such a bucket is
-    cut into cells of about ``cell`` nodes by ``cell`` nodes, each a key of its own.
+    to ``small`` nodes make their pairs, which are then tested. A larger one is cut into cells of about ``cell`` nodes by
+    ``cell`` nodes, each a key of its own, and makes the pairs alone that pass the test: a large family around the threshold, whose nodes
+    share most of their buckets, makes few.
     """
     classed = members.select("band", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = classed.groupBy("band", "root").agg(F.count("*").alias("n"))
@@ -251,23 +306,23 @@ def cross_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshol
     rows = written(classed.join(mixed, "band"), "mixed")
     own = F.xxhash64("node")
 
-    def sides(of: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-        left = of.where("root <> main").select(
-            "band", F.col("node").alias("a"), F.col("root").alias("ra"), *[F.col(c).alias(f"{c}a") for c in more],
-            F.pmod(own, "lines").cast("int").alias("line"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
-        right = of.select(
-            "band", F.col("node").alias("b"), F.col("root").alias("rb"), *[F.col(c).alias(f"{c}b") for c in more],
-            (F.col("root") == F.col("main")).alias("inner"), F.pmod(own, "columns").cast("int").alias("column"),
-            F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"))
+    def sides(of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left = of.where("root <> main").withColumns({
+            "line": F.pmod(own, "lines").cast("int"), "column": F.explode(F.sequence(F.lit(0), F.col("columns") - 1))})
+        right = of.withColumns({
+            "column": F.pmod(own, "columns").cast("int"), "line": F.explode(F.sequence(F.lit(0), F.col("lines") - 1))})
         return left, right
 
-    once = F.expr("ra <> rb and (inner or a < b)")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    left, right = sides(rows.where(F.col("n") <= small))
-    few = plausible(left.join(right, ["band", "line", "column"]).where(once).select(*pair).distinct(), sets, threshold)
-    left, right = sides(rows.where(F.col("n") > small).join(facts(sets, "node", "f"), "node"), "f")
-    many = left.join(right, ["band", "line", "column"]).where(once & may_link("fa", "fb", threshold)).select(*pair)
-    return few.union(many).distinct()
+    little = rows.where(F.col("n") <= small)
+    left = little.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
+    right = little.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("inner"))
+    few = left.join(right, "band").where("ra <> rb and (inner or a < b)").select(*pair).distinct()
+    wide = rows.where(F.col("n") > small).join(facts(sets, "node", ""), "node")
+    left, right = (side.select("band", "line", "column", "node", "root", (F.col("root") == F.col("main")).alias("inner"), "size", "mass",
+                               "signature", F.lit(number == 0).alias("left")) for number, side in enumerate(sides(wide)))
+    many = left.union(right).groupBy("band", "line", "column").applyInArrow(_cell_pairs(threshold), "a binary, b binary")
+    return plausible(few, sets, threshold).union(many.select(*pair)).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
