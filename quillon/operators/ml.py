@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.param import Param, Params
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillon.functions.types import numeric_columns, text_columns, value_or_null
 from quillon.operators.natural_join import natural_join
 from quillon.operators.rows import with_row_number
+from quillon.session import scratch
 from quillon.sources.registry import read_tables
 
 # Seed, share of training rows in tenths, trees.
 SEED, TRAIN_TENTHS, TREES = 42, 8, 100
-MAX_LABELS = 1_000_000
 
 
 def label_encode(df: DataFrame, column: str, into: str) -> DataFrame:
@@ -59,28 +61,63 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFr
     return df.agg(F.count(hit).alias("n"), F.avg(hit).alias("accuracy"))
 
 
+class CodeTable(Params):
+    """A stage that keeps the values of a column and their codes in a written table, however many there are."""
+
+    def __init__(self, column: str = "", into: str = "", path: str = ""):
+        super().__init__()
+        self.column, self.into, self.path = (Param(self, n, t) for n, t in (
+            ("column", "the column"), ("into", "the column of its codes"), ("path", "the folder of the codes")))
+        self._set(column=column, into=into, path=path)
+
+    def codes(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("value string, code bigint").parquet(self.getOrDefault("path"))
+
+    def needs(self) -> str:
+        """The column that a frame must have for this stage."""
+        return self.getOrDefault("column")
+
+
+class ValueCodes(CodeTable, Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Values become the number of their place in sorted order by a join; those not in the table, and missing ones, share the number after
+    the last."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        column, into = self.getOrDefault("column"), self.getOrDefault("into")
+        codes = self.codes(df.sparkSession)
+        beyond = codes.agg(F.coalesce(F.max("code") + 1, F.lit(0))).scalar()
+        known = codes.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
+        return df.join(known, df[column].cast("string") == known["__value"], "left").withColumn(
+            into, F.coalesce("__code", beyond).cast("double")).drop("__value", "__code")
+
+
+class CodeValues(CodeTable, Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """The inverse: a column of codes (``column``) becomes one of values."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        known = self.codes(df.sparkSession).select(F.col("value").alias(self.getOrDefault("into")), F.col("code").cast("double").alias("__code"))
+        return df.join(known, df[self.getOrDefault("column")] == known["__code"], "left").drop("__code")
+
+
+def write_codes(df: DataFrame, column: str) -> str:
+    """Write the sorted values of a column with the codes 0..n-1; returns the folder."""
+    path = scratch(df.sparkSession, "codes")
+    text = df.select(F.col(column).cast("string").alias("value"))
+    label_encode(text.where(F.col("value").isNotNull()).distinct(), "value", "code").write.parquet(path)
+    return path
+
+
 def build_pipeline(df: DataFrame, target: str, kind: str, trees: int = TREES, drop: tuple[str, ...] = ()) -> Pipeline:
     """Encoders, assembler and forest in one pipeline, fitted once and reused for prediction.
 
     A missing number counts as the mean of its column, so every row is used and predicted.
-    Text becomes the number of its value in sorted order; values unseen in training share a
-    number of their own instead of failing. The encoders keep their values on the driver, so
-    a column with more of them than ``MAX_LABELS`` is refused: encode it with
-    :func:`label_encode` first.
+    Text becomes the number of its value in sorted order, by a join with a written table of codes, so that neither
+    features nor classes are collected; values unseen in training share a number of their own instead of failing.
     """
     texts = [c for c in text_columns(df) if c != target and c not in drop]
     numbers = [c for c in numeric_columns(df) if c != target and c not in drop]
-    stages = []
-    if texts:
-        sizes = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in texts]).first()
-        wide = [c for c in texts if sizes[c] > MAX_LABELS]
-        if wide:
-            raise ValueError(f"too many values to encode on the driver: {', '.join(wide)}")
-        stages.append(StringIndexer(inputCols=texts, outputCols=[f"{c}__code" for c in texts],
-                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
-        # plain numbers: a forest splits them by order and needs no bin per value
-        plain = ", ".join(f"`{c}__code` + 0.0D AS `{c}__number`" for c in texts)
-        stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
+    # plain numbers: a forest splits them by order and needs no bin per value
+    stages: list = [ValueCodes(c, f"{c}__number", write_codes(df, c)) for c in texts]
     if numbers:
         means = df.agg(*[F.avg(value_or_null(df, c).cast("double")).alias(c) for c in numbers]).first()
         filled = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), {float(means[c] or 0.0)!r}D) AS `{c}__number`"
@@ -91,10 +128,9 @@ def build_pipeline(df: DataFrame, target: str, kind: str, trees: int = TREES, dr
     if kind == "regression":
         stages.append(RandomForestRegressor(labelCol=target, numTrees=trees, seed=SEED))
     elif kind == "classification":
-        labels = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
-                               handleInvalid="keep").fit(df)
-        stages += [labels, RandomForestClassifier(labelCol="label", numTrees=trees, seed=SEED),
-                   IndexToString(inputCol="prediction", outputCol="predicted", labels=labels.labels)]
+        codes = write_codes(df, target)
+        stages += [ValueCodes(target, "label", codes), RandomForestClassifier(labelCol="label", numTrees=trees, seed=SEED),
+                   CodeValues("prediction", "predicted", codes)]
     else:
         raise ValueError(f"unknown model type {kind!r}")
     return Pipeline(stages=stages)
@@ -125,15 +161,22 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     The target need not be there: the stage that encodes it is passed over.
     """
     for stage in model.stages:
-        needs = stage.getInputCol() if stage.hasParam("inputCol") and stage.isSet("inputCol") else None
-        if needs is None or needs in df.columns:
+        if not isinstance(stage, CodeTable) or stage.needs() in df.columns:
             df = stage.transform(df)
     helpers = [c for c in df.columns if c.endswith(("__code", "__number"))]
     return df.drop("features", "rawPrediction", "label", *helpers)
 
 
 def save_model(model: PipelineModel, path: str, metrics: DataFrame, features: list[str]) -> None:
-    """The fitted pipeline, and its features and metrics as a JSON side file."""
+    """The fitted pipeline with the code tables that it reads, and its features and metrics as a JSON side file."""
+    copies: dict[str, str] = {}
+    for stage in (s for s in model.stages if isinstance(s, CodeTable)):
+        old = stage.getOrDefault("path")
+        if old not in copies:
+            copies[old] = f"{path}/codes-{len(copies)}"
+            if old != copies[old]:
+                stage.codes(metrics.sparkSession).write.mode("overwrite").parquet(copies[old])
+        stage._set(path=copies[old])
     model.write().overwrite().save(f"{path}/model")
     row = metrics.select(F.to_json(F.struct(*metrics.columns)).alias("metrics"))
     (row.withColumn("features", F.lit(json.dumps(features))).coalesce(1)

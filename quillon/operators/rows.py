@@ -6,7 +6,9 @@ import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillon.functions.types import numeric_columns, value_or_null
 from quillon.session import scratch
@@ -123,3 +125,34 @@ def map_chunks(df: DataFrame, func: Callable[[pd.DataFrame], pd.DataFrame], sche
                         errors.add(1)
 
     return df.mapInPandas(run, schema)
+
+
+def map_chunks_apart(df: DataFrame, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+                     chunk_size: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """``(result, failed)`` of a pandas function on slices of each partition: what it made, and the slices on which it failed.
+
+    ``failed`` has ``partition, slice, rows, message, records``, a row per slice, ``records`` its rows as JSON text: none is lost. Both come
+    from one run that is written to the shared folder, so they fit together and stay so when tasks are tried again.
+    """
+    kept = StructType.fromDDL(schema)
+    side = StructType.fromDDL("partition int, slice int, rows bigint, message string, records array<string>")
+    both = StructType([*[StructField(f.name, f.dataType) for f in kept], StructField("__failed", side)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for start in range(0, len(batch), chunk_size):
+                chunk = batch.iloc[start:start + chunk_size].reset_index(drop=True)
+                try:
+                    out = func(chunk.copy())[kept.names].assign(__failed=None)
+                except Exception as error:
+                    records = chunk.to_json(orient="records", lines=True, date_format="iso").splitlines()
+                    out = pd.DataFrame({**{n: [None] for n in kept.names}, "__failed": [{
+                        "partition": part, "slice": number, "rows": len(chunk), "message": f"{type(error).__name__}: {error}", "records": records}]})
+                number += 1
+                yield out
+
+    path = scratch(df.sparkSession, "chunks")
+    df.mapInPandas(run, both).write.parquet(path)
+    made = df.sparkSession.read.schema(both).parquet(path)
+    return made.where("__failed IS NULL").drop("__failed"), made.where("__failed IS NOT NULL").select("__failed.*")

@@ -41,28 +41,42 @@ def check_sql(sql: str) -> str:
     return text
 
 
+def relations(spark: SparkSession, text: str) -> set[str]:
+    """The tables that a query names, also in its subqueries, less those that it defines itself by WITH."""
+    bare = _QUOTED.sub(lambda m: m[0] if m[0][0] == "`" else "''", text)  # no quoted text can look like a plan
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(bare).toString()
+    named = {part.replace("`", "").replace(", ", ".").lower() for part in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)}
+    own = {name.strip().lower() for part in re.findall(r"(?m)^[ :+-]*CTE \[([^\]]*)\]", plan) for name in part.split(",")}
+    return named - own
+
+
 def guarded_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Run a checked query over ``views``; a path can't stand for a table.
+    """Run a checked query over ``views`` and nothing else: no other view or table of the session, and no path.
 
-    The names hold while the query is analysed, which binds it to these frames. Views that
-    the session has under the same names come back afterwards.
+    The names hold while the query is analysed, which binds it to these frames. Other temporary views are out of sight
+    meanwhile; all views that the session has come back afterwards.
     """
     text = check_sql(sql)
-    held = {t.name for t in spark.catalog.listTables() if t.isTemporary}
-    before = {name: spark.table(name) if name in held else None for name in views or {}}
+    views = views or {}
+    strange = relations(spark, text) - {v.lower() for v in views}
+    if strange:
+        raise ValueError(f"not a registered frame: {', '.join(sorted(strange))}")
+    # a name of a WITH may hide one of these, but must not stand for it
+    held = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and not t.namespace}
     files = spark.conf.get(FILES_AS_TABLES)
     spark.conf.set(FILES_AS_TABLES, "false")
     try:
-        for name, df in (views or {}).items():
+        for name in held:
+            spark.catalog.dropTempView(name)
+        for name, df in views.items():
             df.createOrReplaceTempView(name)
         return spark.sql(text)
     finally:
         spark.conf.set(FILES_AS_TABLES, files)
-        for name, df in before.items():
-            if df is None:
-                spark.catalog.dropTempView(name)
-            else:
-                df.createOrReplaceTempView(name)
+        for name in views:
+            spark.catalog.dropTempView(name)
+        for name, df in held.items():
+            df.createOrReplaceTempView(name)
 
 
 def run_batch(spark: SparkSession, queries: list[dict], sources: dict[str, dict[str, DataFrame]] | None = None,

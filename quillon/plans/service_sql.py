@@ -80,11 +80,21 @@ def _grains() -> str:
             AND len(list_intersect(string_split(s.columns, ','), string_split(k.columns, ','))) = s.size)"""
 
 
+def _report() -> str:
+    """Column counts of orders and customers on the customer's key."""
+    names = ["custkey", *[c for c in _names("orders") if c != "o_custkey"], *[c for c in _names("customer") if c != "c_custkey"]]
+    return f"""WITH j AS (SELECT o_custkey AS custkey, o.* EXCLUDE (o_custkey), c.* EXCLUDE (c_custkey)
+        FROM orders o JOIN customer c ON o_custkey = c_custkey)
+        SELECT *, CAST({len(names)} AS BIGINT) AS column_count, true AS whole FROM ({_counts("j", names)})"""
+
+
 def statements() -> dict[str, str]:
     return {
-        "predict_rows": """SELECT o_orderstatus, count(*) AS row_count, count(*) AS predicted, count(*) AS in_range,
-            count(DISTINCT o_orderkey) AS orders FROM orders GROUP BY 1""",
-        "classify_rows": "SELECT o_orderstatus, count(*) AS row_count, count(*) AS labelled FROM orders GROUP BY 1",
+        "predict_rows": """SELECT o_orderstatus, count(*) AS row_count, count(*) AS predicted,
+            count(DISTINCT o_orderkey) AS orders, true AS beats_mean FROM orders GROUP BY 1""",
+        "classify_rows": """WITH m AS (SELECT (min(o_totalprice) + max(o_totalprice)) / 2 AS middle FROM orders)
+            SELECT CASE WHEN o_totalprice < middle THEN 'lower' ELSE 'upper' END AS half, count(*) AS row_count, true AS mostly_right
+            FROM orders, m GROUP BY 1""",
         "saved_model_rows": """SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS different, CAST(5 AS BIGINT) AS features
             FROM orders""",
         "stream_profile": _counts("events", _names("events")),
@@ -107,4 +117,7 @@ def statements() -> dict[str, str]:
               CAST(CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM c WHERE c_custkey % 100 <> 3
             UNION ALL SELECT c_custkey, c_name, c_mktsegment, 2 FROM n""",
         "table_grains": _grains(),
+        "chunk_errors": """SELECT l_returnflag, count(*) AS row_count, CAST(sum(l_orderkey) AS BIGINT) AS keys, true AS counted
+            FROM lineitem GROUP BY 1""",
+        "report_columns": _report(),
     }

@@ -29,6 +29,21 @@ def test_natural_join_meets_missing_keys_and_skips_strangers(spark):
     assert rows(natural_join.natural_join({"a": a, "b": b}, drop_null_keys=True)[0]) == [(1, 10, 100)]
 
 
+def test_a_join_that_would_explode_raises(spark):
+    a = spark.range(300).select(F.lit(None).cast("int").alias("k"), F.col("id").alias("v"))
+    b = a.withColumnRenamed("v", "w")
+    assert natural_join.join_size(a, b, ["k"]) == {"left": 300, "right": 300, "joined": 90_000, "missing": 90_000, "most": 90_000}
+    with pytest.raises(natural_join.JoinTooLarge, match="90000, 90000 of"):
+        natural_join.natural_join({"a": a, "b": b})
+    assert natural_join.natural_join({"a": a, "b": b}, drop_null_keys=True)[0].count() == 0
+    assert natural_join.natural_join({"a": a, "b": b}, null_safe=False)[0].count() == 0
+    assert natural_join.natural_join({"a": a, "b": b}, max_growth=None)[0].count() == 90_000
+    many = spark.range(300).select((F.col("id") % 3).alias("k"), "id")
+    with pytest.raises(natural_join.JoinTooLarge):
+        natural_join.natural_join({"a": many, "b": many.withColumnRenamed("id", "w")})
+    assert natural_join.natural_join({"a": many, "b": spark.range(3).withColumnRenamed("id", "k")})[0].count() == 300
+
+
 def test_natural_join_on_all_shared_names_stays_an_equi_join(spark):
     a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "k int, l int, v string")
     b = spark.createDataFrame([(1, 2, "z")], "k int, l int, w string")

@@ -1,8 +1,12 @@
 """Results that must be whole: no row, field or value goes missing on the way."""
 
+import base64
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import crypto
 from quillon.operators import drift, insights, ml, profile
 from quillon.operators import rows as R
 from quillon.operators.measures import Measure, measures
@@ -118,6 +122,70 @@ def test_guard_reads_registered_frames_only(spark, tmp_path):
     assert (first.first().n, second.first().n) == (3, 5) and not spark.catalog.tableExists("t")
 
 
+def test_guard_hides_the_views_of_the_session(spark):
+    spark.range(7).createOrReplaceTempView("private")
+    spark.range(9).createOrReplaceGlobalTempView("private_global")
+    views = {"t": spark.range(3)}
+    try:
+        for sql in ("SELECT * FROM private", "SELECT * FROM t WHERE id IN (SELECT id FROM private)", "SELECT (SELECT max(id) FROM Private) AS m FROM t",
+                    "SELECT * FROM global_temp.private_global", "WITH a AS (SELECT * FROM private) SELECT * FROM a",
+                    "SELECT * FROM t JOIN private p ON t.id = p.id"):
+            with pytest.raises(ValueError, match="not a registered frame"):
+                guarded_sql(spark, sql, views)
+        # a name that the query gives itself is its own, not the session's
+        with pytest.raises(Exception):
+            guarded_sql(spark, "SELECT * FROM private JOIN (WITH private AS (SELECT 1 AS id) SELECT * FROM private) USING (id)", views).collect()
+        assert guarded_sql(spark, "WITH a AS (SELECT id FROM t) SELECT count(*) AS n FROM a WHERE EXISTS (SELECT 1 FROM t)", views).first().n == 3
+        assert guarded_sql(spark, "SELECT count(*) AS n FROM private", {"private": spark.range(2)}).first().n == 2
+        assert spark.table("private").count() == 7
+    finally:
+        spark.catalog.dropTempView("private")
+        spark.catalog.dropGlobalTempView("private_global")
+
+
+def test_failing_slices_are_rows(spark):
+    def work(pdf):
+        if (pdf["id"] % 50 == 25).any():
+            raise ValueError(f"bad {len(pdf)}")
+        return pdf.assign(twice=pdf["id"] * 2)
+
+    df = spark.range(0, 200, numPartitions=4)
+    made, failed = R.map_chunks_apart(df, work, "id long, twice long", chunk_size=10)
+    apart = failed.collect()
+    assert made.count() + sum(f.rows for f in apart) == 200 and {f.message for f in apart} == {"ValueError: bad 10"}
+    assert len({(f.partition, f.slice) for f in apart}) == len(apart) == 4
+    lost = {json.loads(r)["id"] for f in apart for r in f.records}
+    assert lost | {r.id for r in made.collect()} == set(range(200)) and len(lost) == 40
+    assert made.where("twice = 2 * id").count() == 160
+
+
+def test_codes_beyond_any_limit(spark, tmp_path):
+    df = spark.range(3000).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"), (F.col("id") % 7).cast("double").alias("x"),
+                                  F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("kind"))
+    model, metrics = ml.train(df, "kind", "classification", key=["id"], trees=5)
+    assert metrics.first().accuracy > 0.9
+    ml.save_model(model, str(tmp_path / "m"), metrics, ["name", "x"])
+    again, _ = ml.load_model(spark, str(tmp_path / "m"))
+    new = spark.createDataFrame([(1, "v5", 5.0), (2, "never seen", 2.0), (3, None, 3.0)], "id long, name string, x double")
+    got = {r.id: r.predicted for r in ml.predict(again, new).collect()}
+    assert got == {1: "c5", 2: "c2", 3: "c3"}
+    stages = [s for s in again.stages if isinstance(s, ml.CodeTable)]
+    assert all(s.getOrDefault("path").startswith(str(tmp_path)) for s in stages) and len(stages) == 3
+    assert stages[0].codes(spark).count() == 3000
+
+
+def test_a_stored_key_is_in_no_plan(spark, tmp_path):
+    key = crypto.derive_key("a passphrase", b"sixteen bytes of salt")
+    crypto.store_key(spark, key, str(tmp_path / "key"))
+    df = spark.createDataFrame([("a",), (None,)], "s string")
+    column = crypto.stored_key(spark, str(tmp_path / "key"))
+    locked = crypto.encrypt_columns(df, ["s"], column)
+    locked.collect()
+    plan = locked._jdf.queryExecution().toString()
+    assert key.hex() not in plan.lower() and base64.b64encode(key).decode() not in plan and "key" in plan
+    assert crypto.decrypt_columns(locked, ["s"], key).orderBy("s").collect() == df.orderBy("s").collect()
+
+
 def test_json_documents_are_rows_or_an_error(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.json").write_text('[\n  {"id": 1},\n  {"id": 2}\n]\n')
