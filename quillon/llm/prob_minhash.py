@@ -325,6 +325,28 @@ def cross_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshol
     return plausible(few, sets, threshold).union(many.select(*pair)).distinct()
 
 
+def star_pairs(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, small: int = SMALL_BUCKET) -> DataFrame:
+    """``a, b``, once: the nodes of every bucket with its ``HEADS`` most central ones, where they may reach the threshold. As in
+    ``cross_pairs``, buckets of more than ``small`` nodes make only the pairs that pass the test."""
+    # Spark keeps the first of each bucket in every task before it shuffles
+    order = Window.partitionBy("band").orderBy(F.desc("weight"), "node")
+    heads = written(members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEADS).drop("place", "weight"), "heads")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    few = members.where(F.col("n") <= small).select("band", F.col("node").alias("a")).join(
+        heads.select("band", F.col("node").alias("b")), "band").where("a <> b").select(*pair).distinct()
+    columns = F.ceil(F.col("n") / cell).cast("int")
+
+    def side(of: DataFrame, column: Column, left: bool) -> DataFrame:
+        rows = of.where(F.col("n") > small).select("band", "node", column.alias("column"))
+        return rows.join(facts(sets, "node", ""), "node").select(
+            "band", "column", "node", F.col("node").alias("root"), F.lit(True).alias("inner"), "size", "mass", "signature", F.lit(left).alias("left"))
+
+    every = side(heads, F.explode(F.sequence(F.lit(0), columns - 1)), True).union(
+        side(members, F.pmod(F.xxhash64("node"), columns).cast("int"), False))
+    many = every.groupBy("band", "column").applyInArrow(_cell_pairs(threshold), "a binary, b binary")
+    return plausible(few, sets, threshold).union(many.select(*pair)).distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, text_key, root, class_id`` of every row of ``docs``: its class and the smallest doc_id in it.
 
@@ -343,16 +365,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(placed.join(shared, "band"), "buckets")
     weights = sized.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = written(sized.join(weights, "node").select("band", "node", "weight"), "members")
-    # Spark keeps the first of each bucket in every task before it shuffles
-    order = Window.partitionBy("band").orderBy(F.desc("weight"), "node")
-    heads = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEADS).select(
-        "band", F.col("node").alias("head"))
-    stars = members.join(heads, "band").where("node <> head").select(
-        F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    members = written(sized.join(weights, "node").select("band", "node", "n", "weight"), "members")
     wanted = nodes.select("node", "doc_id").join(members.select("node"), "node", "left_semi")
     sets = shingle_sets(docs, written(wanted, "wanted"), size)
-    tried = written(plausible(stars, sets, threshold), "pairs")
+    tried = written(star_pairs(members, sets, threshold), "pairs")
     links = written(verified(tried, sets, threshold), "links")
     labels = components(links)
     rest = written(cross_pairs(members, sets, labels, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
