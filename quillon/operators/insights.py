@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions.scalars import percent
@@ -24,21 +27,40 @@ def missing(df: DataFrame, warn_above: float = 20.0) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson's r of every pair of columns over the rows that have both; NULL if one is constant.
 
-    A row gives one value pair per pair of columns. The pairs of a task are combined in place,
-    so that the shuffle carries one partial result per task and pair of columns.
+    A task multiplies its rows as matrices, batch by batch, and leaves sums for each pair of columns; only these are shuffled.
+    Values are taken from their column's mean, so that large numbers with small differences lose nothing.
     """
     columns = columns or numeric_columns(df)
     if len(columns) < 2:
         raise ValueError("a correlation needs two numeric columns")
-    value = {c: value_or_null(df, c).cast("double") for c in columns}
-    pairs = list(combinations(columns, 2))
-    cells = [
-        F.struct(F.lit(i).alias("pair"), F.when(value[b].isNotNull(), value[a]).alias("x"),
-                 F.when(value[a].isNotNull(), value[b]).alias("y")) for i, (a, b) in enumerate(pairs)]
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    found = df.select(F.inline(F.array(*cells))).groupBy("pair").agg(r.alias("r"))
-    names = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b")) for a, b in pairs])
-    return found.withColumn("names", F.get(names, F.col("pair"))).select("names.column_a", "names.column_b", "r")
+    value = [value_or_null(df, c).cast("double") for c in columns]
+    means = df.agg(F.array(*[F.coalesce(F.avg(v), F.lit(0.0)) for v in value])).scalar()
+    held = df.select(*[(v - means[i]).alias(f"c{i}") for i, v in enumerate(value)])
+    k = len(columns)
+    first, second = np.triu_indices(k, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            have = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
+            with np.errstate(invalid="ignore", over="ignore"):
+                square = x * x
+                sums += (have.T @ have, x.T @ have, have.T @ x, square.T @ have, have.T @ square, x.T @ x)
+        parts = [pa.array(np.arange(len(first), dtype=np.int32)), *[pa.array(s[first, second]) for s in sums]]
+        yield pa.RecordBatch.from_arrays(parts, names=["pair", "n", "x", "y", "xx", "yy", "xy"])
+
+    made = held.mapInArrow(run, "pair int, n double, x double, y double, xx double, yy double, xy double")
+    found = made.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    shared = F.col("xy") / n - (F.col("x") / n) * (F.col("y") / n)
+    spread = [F.greatest(F.col(q) / n - F.pow(F.col(s) / n, 2), F.lit(0.0)) for q, s in (("xx", "x"), ("yy", "y"))]
+    # a spread of rounding errors is none
+    steady = [v <= 1e-14 * (F.col(q) / n) for v, q in zip(spread, ("xx", "yy"))]
+    r = F.when(~steady[0] & ~steady[1], F.greatest(F.lit(-1.0), F.least(F.lit(1.0), shared / F.sqrt(spread[0] * spread[1]))))
+    names = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b")) for a, b in combinations(columns, 2)])
+    return found.withColumn("r", r).withColumn("names", F.get(names, F.col("pair"))).select("names.column_a", "names.column_b", "r")
 
 
 def high_correlation(df: DataFrame, columns: list[str] | None = None, limit: float = 0.7) -> DataFrame:

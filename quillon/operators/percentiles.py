@@ -1,8 +1,8 @@
 """Exact quantiles of many columns without sorting or collecting a column.
 
-The built-in exact percentile keeps every distinct value of a column in one task. Here histograms
-with a bounded number of bins show between which values each wanted rank lies, until so few
-values are left there that they can be counted one by one. A value held by any share of the
+The built-in exact percentile keeps every distinct value of a column in one task. Here a sketch shows
+between which values each wanted rank lies, and only the values between them are counted one by one, exactly. Where these are too
+many, histograms with a bounded number of bins narrow the bounds first. A value held by any share of the
 rows is one counted row, and all passes combine before they shuffle.
 """
 
@@ -18,6 +18,9 @@ from quillon.operators.catalog import local_frame
 
 #: Values between two bounds, from which on they are counted one by one.
 COUNTED = 1 << 20
+#: Size of the sketch that gives the first bounds, and how far in rank they lie from what is wanted: four times its error.
+SKETCH = 2048
+REACH = 0.01
 LINEAR_BINS = 1 << 16
 BINS_PER_DOUBLING = 1 << 8
 LARGEST = 8e307
@@ -77,9 +80,9 @@ def _inside(cells: DataFrame, brackets: list[Bracket]) -> DataFrame:
     return cells.join(F.broadcast(spans), "column").where(F.col("value").between(F.col("lo"), F.col("hi")))
 
 
-def _at_ranks(counted: DataFrame, order: str, wanted: dict[int, list[int]], below: list[Bracket]) -> list:
+def _at_ranks(counted: DataFrame, order: list[str], wanted: dict[int, list[int]], below: list[Bracket]) -> list:
     """The row of ``counted`` (``bracket, rows, lo, hi``) that holds each wanted rank: ``(bracket, rank, lo, hi, rows, end)``."""
-    upto = Window.partitionBy("bracket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("bracket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     places = [(i, r, r - below[i].below) for i, ranks in wanted.items() for r in ranks]
     ranks = local_frame(counted.sparkSession, places, "bracket int, rank bigint, place bigint")
     found = counted.withColumn("end", F.sum("rows").over(upto)).join(F.broadcast(ranks), "bracket").where("end > place")
@@ -87,10 +90,9 @@ def _at_ranks(counted: DataFrame, order: str, wanted: dict[int, list[int]], belo
         F.min_by(F.struct("lo", "hi", "rows", "end"), "end").alias("at")).select("bracket", "rank", "at.*").collect()
 
 
-def _values_at(df: DataFrame, columns: list[str], wanted: list[list[int]], brackets: list[Bracket]) -> dict:
-    """The value at each wanted rank of each column (by number)."""
+def _values_at(df: DataFrame, columns: list[str], ranks: dict[int, list[int]], brackets: list[Bracket]) -> dict:
+    """The value at each rank wanted in a bracket, by the numbers of column and rank."""
     cells = _cells(df, columns)
-    ranks = {i: wanted[b.column] for i, b in enumerate(brackets) if wanted[b.column]}
     values, stuck = {}, False
     while ranks:
         wide = not stuck and any(brackets[i].rows > COUNTED and not brackets[i].settled for i in ranks)
@@ -104,14 +106,14 @@ def _values_at(df: DataFrame, columns: list[str], wanted: list[list[int]], brack
         if not wide:
             counted = inside.groupBy("bracket", F.col("value").alias("lo")).agg(F.count("*").alias("rows"))
             counted = counted.select("bracket", "lo", F.col("lo").alias("hi"), "rows")
-            for r in _at_ranks(counted, "lo", wanted_here, todo):
+            for r in _at_ranks(counted, ["lo"], wanted_here, todo):
                 values[todo[r.bracket].column, r["rank"]] = r.lo
             break
         binned = inside.groupBy("bracket", _bin(F.col("value"), F.col("lo"), F.col("hi")).alias("bin")).agg(
             F.count("*").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
         binned = binned.select("bracket", "bin", "rows", F.col("low").alias("lo"), F.col("high").alias("hi"))
         narrow: dict[Bracket, list[int]] = {}
-        for r in _at_ranks(binned, "bin", wanted_here, todo):
+        for r in _at_ranks(binned, ["bin"], wanted_here, todo):
             old = todo[r.bracket]
             narrow.setdefault(Bracket(old.column, r.lo, r.hi, r["rows"], old.below + r.end - r["rows"]), []).append(r["rank"])
         stuck = set(narrow) == set(todo)  # nothing but values beyond the largest that bins tell apart
@@ -119,24 +121,63 @@ def _values_at(df: DataFrame, columns: list[str], wanted: list[list[int]], brack
     return values
 
 
+def _zones(df: DataFrame, columns: list[str], bounds: list[list[tuple[float, float]]], values: bool) -> DataFrame:
+    """``bracket`` (the column's number), ``zone, lo, hi, rows``: counts of what lies before, in, between and after a column's bounds.
+
+    Zones with odd numbers are the bounds; ``values`` counts each value in them apart. Every cell is in one zone.
+    """
+    cells = []
+    for c, spans in zip(columns, bounds):
+        v = value_or_null(df, c).cast("double")
+        zone, inside = F.when(v.isNull(), -1), F.when(v.isNull(), F.lit(None).cast("double"))
+        for i, (lo, hi) in enumerate(spans):
+            zone = zone.when(v < lo, 2 * i).when(v <= hi, 2 * i + 1)
+            inside = inside.when(v < lo, F.lit(None)).when(v <= hi, v if values else F.lit(None))
+        cells.append(F.struct(zone.otherwise(2 * len(spans)).alias("zone"), inside.alias("lo")))
+    each = df.select(F.posexplode(F.array(*cells)).alias("bracket", "c")).select("bracket", "c.zone", "c.lo").where("zone >= 0")
+    return each.groupBy("bracket", "zone", "lo").agg(F.count("*").alias("rows")).withColumn("hi", F.col("lo"))
+
+
 def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Rows ``(column, p, n, value)``: quantiles by linear interpolation, missing values left out.
 
-    One aggregation gives the extremes of all columns. While the values between two bounds around a
-    wanted rank are more than ``COUNTED``, a histogram of them moves the bounds together: four times at
-    most, as the first has 256 bins per doubling and each further one divides what is left by 65,536.
-    Then the values between the bounds are counted one by one. What comes to the driver is some rows per column and
+    One aggregation gives the extremes of all columns and, by a sketch, bounds around the wanted ranks, which hold a
+    hundredth of the values or two. A second pass counts the values between the bounds one by one and all others together, so
+    the result is exact. Where a bound should fail, or more than ``COUNTED`` values lie between them, histograms
+    narrow the bounds in further passes: each divides what is left by 65,536. What comes to the driver is some rows per column and
     quantile. A column without values gives no row.
     """
     probs = sorted(set(float(p) for p in probs))
+    edges = sorted({e for p in probs for e in (max(0.0, p - REACH), min(1.0, p + REACH))})
     held = [value_or_null(df, c).cast("double") for c in columns]
-    spans = df.agg(F.array(*[F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-                             for v in held]).alias("spans")).first()["spans"]
-    brackets = [Bracket(i, s.lo, s.hi, s.n, 0) for i, s in enumerate(spans) if s.n]
+    spans = df.agg(F.array(*[F.struct(
+        F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.array(*[
+            F.when(F.count(v) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v, SKETCH), F.lit(e))) for e in edges]).alias("at"))
+        for v in held]).alias("spans")).first()["spans"]
     places = {(i, p): (s.n - 1) * p for i, s in enumerate(spans) if s.n for p in probs}
     wanted = [sorted({f(x) for (c, _), x in places.items() if c == i for f in (math.floor, math.ceil)})
               for i in range(len(columns))]
-    values = _values_at(df, columns, wanted, brackets)
+    bounds: list[list[tuple[float, float]]] = []
+    for s in spans:
+        found: list[tuple[float, float]] = []
+        for p in probs if s.n else []:
+            lo = s.lo if p <= REACH else s.at[edges.index(max(0.0, p - REACH))]
+            hi = s.hi if p >= 1 - REACH else s.at[edges.index(min(1.0, p + REACH))]
+            if found and lo <= found[-1][1]:
+                lo, hi = found[-1][0], max(hi, found[-1][1])
+                found.pop()
+            found.append((lo, hi))
+        bounds.append(found)
+    largest = max((s.n for s in spans), default=0)
+    values: dict = {}
+    if largest and 2 * REACH * len(probs) * largest <= COUNTED:
+        zones = _zones(df, columns, bounds, True)
+        ranks = {i: w for i, w in enumerate(wanted) if w}
+        none = [Bracket(i, 0.0, 0.0, 0, 0) for i in range(len(columns))]
+        values = {(r.bracket, r["rank"]): r.lo for r in _at_ranks(zones, ["zone", "lo"], ranks, none) if r.lo is not None}
+    missing = {i: [r for r in w if (i, r) not in values] for i, w in enumerate(wanted)}
+    if any(missing.values()):
+        values |= _narrowed(df, columns, spans, bounds, {i: m for i, m in missing.items() if m})
     rows = []
     for (i, p), place in places.items():
         low, high = values[i, math.floor(place)], values[i, math.ceil(place)]
@@ -145,6 +186,26 @@ def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFr
     return local_frame(df.sparkSession, rows, "column string, p double, n bigint, value double")
 
 
+def _narrowed(df: DataFrame, columns: list[str], spans: list, bounds: list, ranks: dict[int, list[int]]) -> dict:
+    """The values at ``ranks`` by histograms, from the zone of the bounds in which each rank lies."""
+    counts = {(r.bracket, r.zone): r["rows"] for r in _zones(df, columns, bounds, False).collect()}  # some numbers a column
+    brackets, todo = [], {}
+    for i, wanted in ranks.items():
+        ends = [spans[i].lo, *[e for b in bounds[i] for e in b], spans[i].hi]
+        below = 0
+        for zone in range(2 * len(bounds[i]) + 1):
+            rows = counts.get((i, zone), 0)
+            here = [r for r in wanted if below <= r < below + rows]
+            if here:
+                # an even zone lies strictly between its ends: what is at the ends is counted with the bounds beside it
+                lo = ends[zone] if zone % 2 or zone == 0 else math.nextafter(ends[zone], math.inf)
+                hi = ends[zone + 1] if zone % 2 or zone == 2 * len(bounds[i]) else math.nextafter(ends[zone + 1], -math.inf)
+                todo[len(brackets)] = here
+                brackets.append(Bracket(i, lo, hi, rows, below))
+            below += rows
+    return _values_at(df, columns, todo, brackets)
+
+
 def quantile_table(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
     """One row per column with a named column per quantile."""
     found = percentiles(df, columns, list(probs.values()))

@@ -186,8 +186,9 @@ def test_trend_and_anomalies(spark):
 
 
 def test_brackets_hold_few_values(spark, monkeypatch):
-    # one outlier puts all other values into one bin of the first histogram
+    # one outlier puts all other values into one bin of the first histogram, if it starts from the extremes
     monkeypatch.setattr(percentiles, "COUNTED", 2000)
+    monkeypatch.setattr(percentiles, "REACH", 0.5)
     seen, inside = [], percentiles._inside
     monkeypatch.setattr(percentiles, "_inside", lambda cells, brackets: seen.append(brackets) or inside(cells, brackets))
     rng = np.random.default_rng(5)
@@ -200,3 +201,32 @@ def test_brackets_hold_few_values(spark, monkeypatch):
         for p in probs:
             assert got[c, p] == pytest.approx(np.quantile(frame[c], p), rel=1e-12), (c, p)
     assert max(b.rows for b in seen[-1] if not b.settled) <= 2000 and 2 < len(seen) <= 5
+
+
+def test_bounds_that_fail_are_made_good(spark, monkeypatch):
+    """Where the sketch's bounds miss a rank, its zone is searched; the result is exact all the same."""
+    monkeypatch.setattr(percentiles, "SKETCH", 8)
+    monkeypatch.setattr(percentiles, "REACH", 1e-6)
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"a": rng.normal(size=5000), "b": rng.integers(0, 40, 5000).astype(float), "c": np.full(5000, 2.5)})
+    df = spark.createDataFrame(frame).repartition(4)
+    probs = [0.0, 0.01, 0.3, 0.31, 0.77, 1.0]
+    for counted in (1 << 20, 100):
+        monkeypatch.setattr(percentiles, "COUNTED", counted)
+        got = {(r.column, r.p): r.value for r in percentiles.percentiles(df, list(frame.columns), probs).collect()}
+        for c in frame.columns:
+            for p in probs:
+                assert got[c, p] == pytest.approx(np.quantile(frame[c], p), rel=1e-12), (c, p)
+
+
+def test_correlation_of_large_numbers_and_gaps(spark):
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame(rng.normal(size=(3000, 6)) + 1e9, columns=list("abcdef"))
+    frame["b"] = frame["a"] + rng.normal(size=3000) / 10
+    frame["f"] = 7.0
+    frame = frame.mask(rng.random(frame.shape) < 0.1)
+    got = {(r.column_a, r.column_b): r.r for r in insights.correlations(spark.createDataFrame(frame).repartition(5)).collect()}
+    want = frame.corr()
+    assert len(got) == 15
+    for (a, b), r in got.items():
+        assert r is None if "f" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-6)
