@@ -16,15 +16,15 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "own", "own", "own") for r in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("block", [1, 3, 256])
-def test_against_sql(spark, block):
+@pytest.mark.parametrize("parts", [None, 1, 16])
+def test_against_sql(spark, parts):
     rows = ROWS + [(9, i, f"s{i % 3}", "word " * (i % 7)) for i in range(600)]
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     result = con.execute(oracle.ORACLE["op7_perspectives"].replace("url_encode(role)", "replace(url_encode(role), '%20', '+')"))
     names = [d[0] for d in result.description]
-    out = perspectives.perspectives(frame(spark, rows), block=block)
+    out = perspectives.perspectives(frame(spark, rows), parts=parts)
     assert listed(out, *names) == sorted(result.fetchall(), key=str)
 
 
@@ -59,3 +59,16 @@ def test_escape_can_be_undone(spark):
 
 def test_no_turns(spark):
     assert perspectives.perspectives(frame(spark, [])).count() == 0
+
+
+def test_turns_without_numbers_cross_many_ranges(spark):
+    """Twice the turns without a number, the same share of them in the largest range."""
+    for n in (2000, 4000):
+        rows = [(1, None, ["ann", "bob"][i % 2], f"text {i}") for i in range(n)] + [(2, 5, "ann", f"same number {i}") for i in range(n)]
+        cut = perspectives.ranged(perspectives.rendered(frame(spark, rows)), 16)
+        sizes = [r["count"] for r in cut.groupBy("conv_id", "perspective", "block").count().collect()]
+        assert sum(sizes) == 3 * n and max(sizes) < 0.15 * 3 * n
+        out = perspectives.placed(cut).where("conv_id = 1 and perspective = 'ann'").select("seq", "segment").orderBy("seq").collect()
+        assert [r.seq for r in out] == list(range(n))
+        texts = [r.segment.split("\n")[1] for r in out]
+        assert texts == [f"{t}<|end|>" for k in (0, 1) for t in sorted(f"text {i}" for i in range(k, n, 2))]
