@@ -121,21 +121,14 @@ def _values_at(df: DataFrame, columns: list[str], ranks: dict[int, list[int]], b
     return values
 
 
-def _zones(df: DataFrame, columns: list[str], bounds: list[list[tuple[float, float]]], values: bool) -> DataFrame:
-    """``bracket`` (the column's number), ``zone, lo, hi, rows``: counts of what lies before, in, between and after a column's bounds.
-
-    Zones with odd numbers are the bounds; ``values`` counts each value in them apart. Every cell is in one zone.
-    """
-    cells = []
-    for c, spans in zip(columns, bounds):
-        v = value_or_null(df, c).cast("double")
-        zone, inside = F.when(v.isNull(), -1), F.when(v.isNull(), F.lit(None).cast("double"))
-        for i, (lo, hi) in enumerate(spans):
-            zone = zone.when(v < lo, 2 * i).when(v <= hi, 2 * i + 1)
-            inside = inside.when(v < lo, F.lit(None)).when(v <= hi, v if values else F.lit(None))
-        cells.append(F.struct(zone.otherwise(2 * len(spans)).alias("zone"), inside.alias("lo")))
-    each = df.select(F.posexplode(F.array(*cells)).alias("bracket", "c")).select("bracket", "c.zone", "c.lo").where("zone >= 0")
-    return each.groupBy("bracket", "zone", "lo").agg(F.count("*").alias("rows")).withColumn("hi", F.col("lo"))
+def _counted(df: DataFrame, columns: list[str], brackets: list[Bracket], values: bool) -> DataFrame:
+    """``bracket, lo, hi, rows``: the values in each bracket, and as null all smaller ones together. Without ``values`` those
+    in it are one row too, whose value is the bracket's upper end."""
+    rows = [(b.column, i, b.lo, b.hi) for i, b in enumerate(brackets)]
+    spans = local_frame(df.sparkSession, rows, "column int, bracket int, low double, high double")
+    each = _cells(df, columns).join(F.broadcast(spans), "column").where("value <= high")
+    key = F.when(F.col("value") >= F.col("low"), F.col("value") if values else F.col("high"))
+    return each.groupBy("bracket", key.alias("lo")).agg(F.count("*").alias("rows")).withColumn("hi", F.col("lo"))
 
 
 def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
@@ -157,27 +150,27 @@ def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFr
     places = {(i, p): (s.n - 1) * p for i, s in enumerate(spans) if s.n for p in probs}
     wanted = [sorted({f(x) for (c, _), x in places.items() if c == i for f in (math.floor, math.ceil)})
               for i in range(len(columns))]
-    bounds: list[list[tuple[float, float]]] = []
-    for s in spans:
-        found: list[tuple[float, float]] = []
-        for p in probs if s.n else []:
-            lo = s.lo if p <= REACH else s.at[edges.index(max(0.0, p - REACH))]
-            hi = s.hi if p >= 1 - REACH else s.at[edges.index(min(1.0, p + REACH))]
-            if found and lo <= found[-1][1]:
-                lo, hi = found[-1][0], max(hi, found[-1][1])
-                found.pop()
-            found.append((lo, hi))
-        bounds.append(found)
-    largest = max((s.n for s in spans), default=0)
+    brackets, ranks = [], {}
+    for (i, p), place in places.items():
+        s = spans[i]
+        lo = s.lo if p <= REACH else s.at[edges.index(max(0.0, p - REACH))]
+        hi = s.hi if p >= 1 - REACH else s.at[edges.index(min(1.0, p + REACH))]
+        ranks[len(brackets)] = sorted({math.floor(place), math.ceil(place)})
+        brackets.append(Bracket(i, lo, hi, s.n, 0))
     values: dict = {}
-    if largest and 2 * REACH * len(probs) * largest <= COUNTED:
-        zones = _zones(df, columns, bounds, True)
-        ranks = {i: w for i, w in enumerate(wanted) if w}
-        none = [Bracket(i, 0.0, 0.0, 0, 0) for i in range(len(columns))]
-        values = {(r.bracket, r["rank"]): r.lo for r in _at_ranks(zones, ["zone", "lo"], ranks, none) if r.lo is not None}
-    missing = {i: [r for r in w if (i, r) not in values] for i, w in enumerate(wanted)}
-    if any(missing.values()):
-        values |= _narrowed(df, columns, spans, bounds, {i: m for i, m in missing.items() if m})
+    if brackets and 2 * REACH * max(s.n for s in spans) <= COUNTED:
+        found = _at_ranks(_counted(df, columns, brackets, True), ["lo"], ranks, brackets)
+        values = {(brackets[r.bracket].column, r["rank"]): r.lo for r in found if r.lo is not None}
+    elif brackets:
+        counts = {(r.bracket, r.lo is None): r["rows"] for r in _counted(df, columns, brackets, False).collect()}  # two numbers a bracket
+        brackets = [Bracket(b.column, b.lo, b.hi, counts.get((i, False), 0), counts.get((i, True), 0)) for i, b in enumerate(brackets)]
+        sure = {i: [r for r in w if brackets[i].below <= r < brackets[i].below + brackets[i].rows] for i, w in ranks.items()}
+        values = _values_at(df, columns, {i: w for i, w in sure.items() if w}, brackets)
+    # ranks that the sketch's bounds missed are looked for between the extremes
+    missed = {i: [r for r in w if (i, r) not in values] for i, w in enumerate(wanted)}
+    whole = {i: Bracket(i, spans[i].lo, spans[i].hi, spans[i].n, 0) for i, w in missed.items() if w}
+    if whole:
+        values |= _values_at(df, columns, {n: missed[i] for n, i in enumerate(whole)}, list(whole.values()))
     rows = []
     for (i, p), place in places.items():
         low, high = values[i, math.floor(place)], values[i, math.ceil(place)]
@@ -186,26 +179,6 @@ def percentiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFr
     return local_frame(df.sparkSession, rows, "column string, p double, n bigint, value double")
 
 
-def _narrowed(df: DataFrame, columns: list[str], spans: list, bounds: list, ranks: dict[int, list[int]]) -> dict:
-    """The values at ``ranks`` by histograms, from the zone of the bounds in which each rank lies."""
-    counts = {(r.bracket, r.zone): r["rows"] for r in _zones(df, columns, bounds, False).collect()}  # some numbers a column
-    brackets, todo = [], {}
-    for i, wanted in ranks.items():
-        ends = [spans[i].lo, *[e for b in bounds[i] for e in b], spans[i].hi]
-        below = 0
-        for zone in range(2 * len(bounds[i]) + 1):
-            rows = counts.get((i, zone), 0)
-            here = [r for r in wanted if below <= r < below + rows]
-            if here:
-                # an even zone lies strictly between its ends: what is at the ends is counted with the bounds beside it
-                lo = ends[zone] if zone % 2 or zone == 0 else math.nextafter(ends[zone], math.inf)
-                hi = ends[zone + 1] if zone % 2 or zone == 2 * len(bounds[i]) else math.nextafter(ends[zone + 1], -math.inf)
-                todo[len(brackets)] = here
-                brackets.append(Bracket(i, lo, hi, rows, below))
-            below += rows
-    return _values_at(df, columns, todo, brackets)
-
-
 def quantile_table(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
     """One row per column with a named column per quantile."""
     found = percentiles(df, columns, list(probs.values()))
