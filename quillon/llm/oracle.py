@@ -47,12 +47,22 @@ SELECT conv_id, perspective, seq, turn, role, segment, stop - length(segment) AS
   CASE WHEN own THEN stop - length(segment) + 14 END AS mask_start, CASE WHEN own THEN stop - 1 END AS mask_end FROM p"""
 
 
-def _secret_sql() -> str:
-    """Base and weak spans by the patterns of the operator, positions from the text between the matches."""
-    from quillon.llm.secret_links import KINDS, PATTERNS, SCOPE
+# What op3 looks for, stated here on its own, so that a wrong pattern of the operator shows.
+SECRETS = {
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]{32,}",
+    "id": r"""(?i:access_?key_?id|client_?id|account_?id|tenant_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""",
+    "endpoint": r"""(?i:https?|ftps?|ssh|s3|jdbc:[a-z]{2,12}|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}""",
+    "key": r"[A-Za-z0-9+/_=-]{20,}",
+}
+SECRET_SCOPE = 200
+
 
+def _secret_sql() -> str:
+    """Base and weak spans, positions from the text between the matches."""
     found, steps = [], []
-    for k, pattern in enumerate(PATTERNS):
+    for k, pattern in enumerate(SECRETS.values()):
         quoted = "'" + pattern.replace("'", "''") + "'"
         steps.append(f"""m{k} AS (SELECT r, generate_subscripts(ms, 1) AS i, ms, gaps FROM (SELECT r,
             regexp_extract_all(t, {quoted}) AS ms, string_split_regex(t, {quoted}) AS gaps FROM d) WHERE len(ms) > 0)""")
@@ -63,7 +73,7 @@ def _secret_sql() -> str:
         found.append(f"""SELECT r, {k} AS k, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
             + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(ms[i]) AS n
             FROM m{k} WHERE {value}""")
-    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    names = "[" + ", ".join(f"'{k}'" for k in SECRETS) + "]"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 {", ".join(steps)},
@@ -75,7 +85,7 @@ apart AS (SELECT * FROM spans w WHERE k >= 3 AND NOT (k = 5 AND EXISTS (SELECT 1
 weak AS (SELECT * FROM apart w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.s < w.e AND w.s < b.e)),
 parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
 kept AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM parts o WHERE o.r = w.r
-    AND (o.k IN (0, 2, 5)) <> (w.k IN (0, 2, 5)) AND o.s - {SCOPE} <= w.e AND w.s <= o.e + {SCOPE})),
+    AND (o.k IN (0, 2, 5)) <> (w.k IN (0, 2, 5)) AND o.s - {SECRET_SCOPE} <= w.e AND w.s <= o.e + {SECRET_SCOPE})),
 listed AS (SELECT r, k, s, {names}[k + 1] || ':' || s || ':' || e AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM kept)),
 one AS (SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
     string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY s, k) AS spans FROM listed GROUP BY r)
