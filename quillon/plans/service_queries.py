@@ -158,14 +158,18 @@ def visual_suggestions(spark, sf_dir):
         "priority", F.col("priority").cast("bigint"))
 
 
+PAGES_A_FILE = 2000
+
+
 def json_documents(spark, sf_dir):
     """Pages written as one JSON list per file over several lines, and read back."""
     path = scratch(spark, "documents")
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.groupBy(F.pmod("page_id", F.lit(16)).alias("part")).agg(
+    parts = pages.agg(F.greatest(F.ceil(F.count("*") / PAGES_A_FILE), F.lit(16))).scalar()
+    listed = pages.groupBy(F.pmod(F.xxhash64("page_id"), parts).alias("part")).agg(
         F.sort_array(F.collect_list(F.to_json(F.struct("page_id", "url")))).alias("rows"))
     text = F.concat(F.lit("["), F.array_join("rows", ",\n  "), F.lit("]"))
-    listed.repartition(16, "part").select(text.alias("value"), "part").write.partitionBy("part").text(f"{path}/pages")
+    listed.repartition("part").select(text.alias("value"), "part").write.partitionBy("part").text(f"{path}/pages")
     return read_source(spark, {"type": "json", "path": path, "multi_line": True,
                                "schema": "page_id bigint, url string"}, "pages").select("page_id", "url")
 
