@@ -22,7 +22,7 @@ THRESHOLD = 0.8
 REGISTERS = 128
 BAND_ROWS = 4
 BANDS = REGISTERS // BAND_ROWS
-#: Nodes of a bucket that all others of it are compared with.
+#: Central nodes that every node is compared with first.
 HEADS = 3
 #: Nodes on a side of a cell, the part of a bucket whose pairs are made under one key.
 CELL = 1000
@@ -325,26 +325,18 @@ def cross_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshol
     return plausible(few, sets, threshold).union(many.select(*pair)).distinct()
 
 
-def star_pairs(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, small: int = SMALL_BUCKET) -> DataFrame:
-    """``a, b``, once: the nodes of every bucket with its ``HEADS`` most central ones, where they may reach the threshold. As in
-    ``cross_pairs``, buckets of more than ``small`` nodes make only the pairs that pass the test."""
+def star_pairs(members: DataFrame, heads: int = HEADS) -> DataFrame:
+    """``a, b``, once: every node with the ``heads`` most central nodes that it shares a bucket with, those whose buckets are the
+    largest. So a group of any size makes a few pairs for each of its nodes, nearly all to the same ones."""
     # Spark keeps the first of each bucket in every task before it shuffles
     order = Window.partitionBy("band").orderBy(F.desc("weight"), "node")
-    heads = written(members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEADS).drop("place", "weight"), "heads")
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    few = members.where(F.col("n") <= small).select("band", F.col("node").alias("a")).join(
-        heads.select("band", F.col("node").alias("b")), "band").where("a <> b").select(*pair).distinct()
-    columns = F.ceil(F.col("n") / cell).cast("int")
-
-    def side(of: DataFrame, column: Column, left: bool) -> DataFrame:
-        rows = of.where(F.col("n") > small).select("band", "node", column.alias("column"))
-        return rows.join(facts(sets, "node", ""), "node").select(
-            "band", "column", "node", F.col("node").alias("root"), F.lit(True).alias("inner"), "size", "mass", "signature", F.lit(left).alias("left"))
-
-    every = side(heads, F.explode(F.sequence(F.lit(0), columns - 1)), True).union(
-        side(members, F.pmod(F.xxhash64("node"), columns).cast("int"), False))
-    many = every.groupBy("band", "column").applyInArrow(_cell_pairs(threshold), "a binary, b binary")
-    return plausible(few, sets, threshold).union(many.select(*pair)).distinct()
+    first = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads).select(
+        "band", F.col("node").alias("head"), F.struct(F.col("weight"), F.col("node")).alias("rank"))
+    met = members.select("band", "node").join(first, "band").where("node <> head")
+    # a node has at most this number of heads in each of its bands
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("rank"), asc=False), 1, heads).alias("best"))
+    pairs = best.select("node", F.explode("best.node").alias("head"))
+    return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -352,8 +344,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
 
     Rows with the same words are one node. Nodes meet in buckets of equal bands; a link is a pair that shares a bucket
     and whose exact similarity is ``threshold`` or more. Classes are the components of the links. A large group of near copies
-    has more links than can be looked at, and its class needs few of them: first every node of a bucket is
-    compared with the bucket's ``HEADS`` most central nodes, those whose buckets are the largest. Then all pairs that share a bucket,
+    has more links than can be looked at, and its class needs few of them: first every node is compared with the ``HEADS`` most
+    central nodes that it shares a bucket with (``star_pairs``). Then all pairs that share a bucket,
     are in different classes and may reach the threshold by an exact bound are compared (``cross_pairs``), so that no link is missed.
 
     ``text_key`` tells rows of a repeated doc_id apart. Repeated rows get the same class. Texts without words are alike only if equal; a null text is alone. Null ids
@@ -365,10 +357,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(placed.join(shared, "band"), "buckets")
     weights = sized.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = written(sized.join(weights, "node").select("band", "node", "n", "weight"), "members")
+    members = written(sized.join(weights, "node").select("band", "node", "weight"), "members")
     wanted = nodes.select("node", "doc_id").join(members.select("node"), "node", "left_semi")
     sets = shingle_sets(docs, written(wanted, "wanted"), size)
-    tried = written(star_pairs(members, sets, threshold), "pairs")
+    tried = written(plausible(star_pairs(members), sets, threshold), "pairs")
     links = written(verified(tried, sets, threshold), "links")
     labels = components(links)
     rest = written(cross_pairs(members, sets, labels, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
