@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quillon.functions import names as N
 from quillon.functions.types import spark_family, value_or_null
-from quillon.operators.catalog import local_frame
-from quillon.session import scratch
+from quillon.operators.catalog import local_frame, row_counts
+from quillon.session import scratch, shuffled_in
+
+#: Distinct keys that one task counts or joins, about.
+KEYS_A_TASK = 250_000
 
 
 def detect_keys(catalog_df: DataFrame, legacy: bool = False, fk_suffixes=("_id", "key")) -> DataFrame:
@@ -44,6 +47,10 @@ def key_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("rows"))
 
 
+def _tasks(keys: int) -> int:
+    return keys // KEYS_A_TASK + 1
+
+
 COUNTED_SCHEMA = "table string, column string, key string, rows bigint"
 
 
@@ -52,14 +59,17 @@ def counted_keys(tables: dict[str, DataFrame], columns: dict[str, list[str]]) ->
 
     Every column is read and counted on its own: the file format gives it without the
     others. Whatever is asked about keys later reads this table of distinct keys and not
-    the data; a key that a third of all rows hold is one row of it.
+    the data; a key that a third of all rows hold is one row of it. Keys are spread over as
+    many tasks as the rows of the largest table ask for, and written as they come, without a sort.
     """
     spark = next(iter(tables.values())).sparkSession
     frames = [key_counts(tables[t], c).select(F.lit(t).alias("table"), F.lit(c).alias("column"),
                                               F.col("key").cast("string").alias("key"), "rows")
               for t, names in columns.items() for c in names]
+    most = row_counts({t: tables[t] for t in columns}).agg(F.max("row_count")).first()[0] or 0
     path = scratch(spark, "keys")
-    _union(frames).write.partitionBy("table", "column").parquet(path)
+    with shuffled_in(spark, _tasks(most)):
+        _union(frames).write.parquet(path)
     return spark.read.schema(COUNTED_SCHEMA).parquet(path)
 
 

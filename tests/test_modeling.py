@@ -161,6 +161,27 @@ def test_keys_orphans_and_cardinality(spark):
     assert held == {"c": (2, 2), "p": (1, 1)}
 
 
+@pytest.fixture
+def unmerged(spark, monkeypatch):
+    """Shuffle partitions are left as they are, and a task is meant to take 50 keys."""
+    monkeypatch.setattr(modeling, "KEYS_A_TASK", 50, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_keys_are_counted_in_tasks_of_bounded_size(spark, unmerged):
+    tables = {"t": spark.range(2000).select((F.col("id") * 2).alias("id"), (F.col("id") % 3).alias("few_id"), F.lit(None).cast("int").alias("no_id")), "u": spark.range(0)}
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    counted = modeling.counted_keys(tables, {"t": ["id", "few_id", "no_id"], "u": ["id"]})
+    assert spark.conf.get("spark.sql.shuffle.partitions") == parts
+    # four shuffle partitions alone would hold 500 keys each
+    assert counted.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 120
+    profile = modeling.key_profile(tables, {"t": ["id", "few_id", "no_id"], "u": ["id"]}, counted)
+    assert rows(profile.drop("is_unique"), "table", "column") == [
+        ("t", "few_id", 2000, 0, 3, 667), ("t", "id", 2000, 0, 2000, 1), ("t", "no_id", 2000, 2000, 0, None), ("u", "id", 0, 0, 0, None)]
+
+
 def edges_of(spark, text):
     pairs = [tuple(p.split(">")) for p in text.split()]
     return spark.createDataFrame([(a, "k", b, "k", "many_to_one") for a, b in pairs],
