@@ -241,16 +241,20 @@ def inclusion(tables: dict[str, DataFrame], edges: list[dict], counted: DataFram
     """The edges with the rows on the ``from`` side that have, or lack, a partner.
 
     All edges are one join of distinct keys: those of the ``from`` columns, once per edge, with
-    those of the ``to`` columns. Missing keys are left out.
+    those of the ``to`` columns, in as many tasks as there are keys for. Missing keys are left out.
     """
     counted = counted if counted is not None else counted_keys(tables, _edge_columns(edges))
     ends = _edge_frame(tables, edges)
+    # a number per key column of the catalog
+    sizes = {(r["table"], r["column"]): r["n"] for r in counted.groupBy("table", "column").agg(F.count("key").alias("n")).collect()}
+    parts = _tasks(sum(sizes.get((e["from_table"], e["from_column"]), 0) + sizes.get((e["to_table"], e["to_column"]), 0) for e in edges))
+    by = ("to_table", "to_column", "key")
     keys = counted.where("key IS NOT NULL").select(F.col("table").alias("t"), F.col("column").alias("c"), "key", "rows")
-    child = keys.join(ends, (F.col("t") == F.col("from_table")) & (F.col("c") == F.col("from_column"))).drop("t", "c")
-    parent = keys.join(ends.select("to_table", "to_column").distinct(),
+    child = keys.join(F.broadcast(ends), (F.col("t") == F.col("from_table")) & (F.col("c") == F.col("from_column"))).drop("t", "c")
+    parent = keys.join(F.broadcast(ends.select("to_table", "to_column").distinct()),
                        (F.col("t") == F.col("to_table")) & (F.col("c") == F.col("to_column"))).select(
         "to_table", "to_column", "key", F.lit(True).alias("found"))
-    both = child.join(parent, ["to_table", "to_column", "key"], "left").groupBy(*EDGE_FIELDS).agg(
+    both = child.repartition(parts, *by).join(parent.repartition(parts, *by), list(by), "left").groupBy(*EDGE_FIELDS).agg(
         F.sum(F.when(F.col("found"), F.col("rows"))).alias("matched_rows"),
         F.sum(F.when(F.col("found").isNull(), F.col("rows"))).alias("orphan_rows"))
     zero = F.lit(0).cast("bigint")

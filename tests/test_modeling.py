@@ -182,6 +182,15 @@ def test_keys_are_counted_in_tasks_of_bounded_size(spark, unmerged):
         ("t", "few_id", 2000, 0, 3, 667), ("t", "id", 2000, 0, 2000, 1), ("t", "no_id", 2000, 2000, 0, None), ("u", "id", 0, 0, 0, None)]
 
 
+def test_edges_are_joined_in_tasks_of_bounded_size(spark, unmerged):
+    child, parent = spark.range(1000).select((F.col("id") * 2).alias("p")), spark.range(1000)
+    edge = {"from_table": "c", "from_column": "p", "to_table": "p", "to_column": "id"}
+    held = modeling.inclusion({"c": child, "p": parent}, [edge])
+    # 1000 keys on either side at 50 a task
+    assert held._jdf.queryExecution().optimizedPlan().toString().count(", 41") == 2
+    assert [(r.matched_rows, r.orphan_rows) for r in held.collect()] == [(500, 500)]
+
+
 def edges_of(spark, text):
     pairs = [tuple(p.split(">")) for p in text.split()]
     return spark.createDataFrame([(a, "k", b, "k", "many_to_one") for a, b in pairs],
