@@ -42,3 +42,36 @@ def test_few_rows_and_repeated_rows(spark):
     assert grain.minimal_keys(df) == [("a",), ("b",)] and grain.minimal_keys(df.where("a > 1")) == [("a",), ("b",)]
     assert grain.minimal_keys(df.union(df)) == []
     assert [tuple(r) for r in grain.grains({"t": df}).collect()] == [("t", "a", 1), ("t", "b", 1)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shares_of_tuples_and_small_tasks_against_every_set(spark, monkeypatch, seed):
+    for name, value in {"FIRST_ROWS": 5, "SCREEN_TUPLES": 20, "TUPLES_A_TASK": 30, "SETS_A_PASS": 3}.items():
+        monkeypatch.setattr(grain, name, value)
+    rng = random.Random(100 + seed)
+    names = ["a", "b", "c", "d"]
+    records = list({tuple(rng.choice([None, *range(w)]) for w in (4, 6, 7, 12)) for _ in range(90)})
+    df = spark.createDataFrame(records, "a int, b int, c int, d int")
+    assert grain.minimal_keys(df) == brute(records, names)
+
+
+def test_sets_that_repeat_often_are_not_shuffled_whole(spark, monkeypatch):
+    for name, value in {"FIRST_ROWS": 10, "SCREEN_TUPLES": 500}.items():
+        monkeypatch.setattr(grain, name, value)
+    tested, test = [], grain._without_repeats
+
+    def spy(df, sets, share=1, rows=None):
+        tested.extend((s, share, rows) for s in sets)
+        return test(df, sets, share, rows)
+
+    monkeypatch.setattr(grain, "_without_repeats", spy)
+    # the first rows repeat in no column, later ones do in "half"
+    df = spark.range(0, 4000, 1, 1).select("id", F.floor(F.col("id") % 2000).alias("half"))
+    assert grain.minimal_keys(df) == [("id",)]
+    assert {s for s, share, _ in tested if share > 1} == {("half",), ("id",)}
+    assert [(s, rows) for s, _, rows in tested if rows is not None] == [(("id",), 4000)]
+
+
+def test_values_that_change_places_are_other_tuples(spark):
+    df = spark.createDataFrame([(1, 2), (2, 1), (1, None), (None, 1), (2, 2), (1, 1)], "a int, b int")
+    assert grain.minimal_keys(df) == [("a", "b")]
