@@ -1,9 +1,17 @@
+import glob
 import json
+import os
+import random
+from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators.sketches import sketch_report
+from quillon.plans import stream_queries
+from quillon.plans.operator_queries import EVENT_RECORD
+from quillon.session import shared_dir
 from quillon.streaming import runner
 from tests.conftest import rows
 
@@ -117,3 +125,25 @@ def test_update_mode_drops_state_and_merges(spark, tmp_path):
         assert got.count() == total and got.agg({"records": "sum"}).first()[0] == total
     written = spark.read.parquet(sink).count()
     assert written <= 2 * total  # a batch writes what it changed
+
+
+def test_records_are_parsed_once(spark):
+    raw = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"b": "y"}',), ("{broken",), (None,)], "value string")
+    decoded = runner.decode(raw, "a bigint, b string", ("a",))
+    assert [tuple(r) for r in decoded.select("failed", "record.b").collect()] == [(False, "x"), (True, "y"), (True, None), (True, None)]
+    good = runner.good_records(decoded)
+    # as one expression of every field and check, the parser would run for each of them
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [tuple(r) for r in good.collect()] == [(1, "x")]
+
+
+def test_a_batch_of_one_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "ROW_GROUP_BYTES", 1 << 18)
+    rng = random.Random(1)
+    events = spark.createDataFrame([(i, datetime(2024, 1, 1), rng.randrange(1 << 60), str(rng.random()) * 4, rng.random(), "{}") for i in range(60_000)],
+                                   EVENT_RECORD)
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    stream_queries.batched_events(spark, str(tmp_path), files=1)
+    inbox = max(glob.glob(f"{shared_dir(spark)}/inbox-*"), key=os.path.getmtime)
+    [file] = glob.glob(f"{inbox}/*.parquet")
+    assert pq.ParquetFile(file).num_row_groups > 1
