@@ -23,11 +23,12 @@ TREES = 5
 
 
 def _forest_rows(spark, sf_dir) -> DataFrame:
-    """Orders with their price as the target, and features of which some are missing."""
+    """Orders with their price as the target, and features of which some are missing; joined and written once, as training reads
+    them many times."""
     price = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
-    return blanked_orders(spark, sf_dir).select(
+    return stored(blanked_orders(spark, sf_dir).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").alias("known_price"),
-        F.month("o_orderdate").alias("month")).join(price, "o_orderkey")
+        F.month("o_orderdate").alias("month")).join(price, "o_orderkey"), "forest-rows")
 
 
 def predict_rows(spark, sf_dir):

@@ -1,6 +1,6 @@
 import pytest
 
-from quillon.plans import guard
+from quillon.plans import guard, service_queries
 from quillon.plans.report import build_report
 from quillon.session import load_all
 
@@ -56,3 +56,12 @@ def test_report(spark, tmp_path):
 def test_report_without_measures_is_a_table(spark):
     report = build_report(spark, {"names": spark.createDataFrame([("a",)], "label string")}, "nothing fits")
     assert report["visual_data"].columns == ["label"]
+
+
+def test_forest_rows_are_joined_once(spark, tmp_path):
+    spark.sql("SELECT id AS o_orderkey, id % 3 AS o_custkey, 'F' AS o_orderstatus, CAST(id AS DOUBLE) AS o_totalprice, "
+              "TIMESTAMP '2024-02-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(14)").write.parquet(f"{tmp_path}/orders.parquet")
+    data = service_queries._forest_rows(spark, str(tmp_path))
+    # training reads the rows many times: each would join them again
+    assert "Join" not in data._jdf.queryExecution().optimizedPlan().toString()
+    assert data.count() == 14 and data.where("known_price IS NULL").count() == 2 and data.agg({"price": "sum"}).first()[0] == 91
