@@ -65,10 +65,10 @@ def test_sets_that_repeat_often_are_not_shuffled_whole(spark, monkeypatch):
         return test(df, sets, share, rows)
 
     monkeypatch.setattr(grain, "_without_repeats", spy)
-    # the first rows repeat in no column, later ones do in "half"
-    df = spark.range(0, 4000, 1, 1).select("id", F.floor(F.col("id") % 2000).alias("half"))
+    # the first rows repeat in no column, a hundred do in "most"
+    df = spark.range(0, 4000, 1, 1).select("id", (F.col("id") % 3900).alias("most"))
     assert grain.minimal_keys(df) == [("id",)]
-    assert {s for s, share, _ in tested if share > 1} == {("half",), ("id",)}
+    assert {s for s, share, _ in tested if share > 1} == {("most",), ("id",)}
     assert [(s, rows) for s, _, rows in tested if rows is not None] == [(("id",), 4000)]
 
 
