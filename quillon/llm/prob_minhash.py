@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +25,13 @@ BANDS = REGISTERS // BAND_ROWS
 HEADS = 3
 #: Nodes on a side of a cell, the part of a bucket whose pairs are made under one key.
 CELL = 1000
+#: Shingles on a side of a cell whose links are made under one key, 8 MB, and how many a node counts for besides its own.
+CELL_SHINGLES = 1 << 20
+NODE_SHINGLES = 128
 #: Bits of a node's signature for each of its shingles at least, and at least in all; see ``parity``.
 BITS_A_SHINGLE = 4
 LEAST_BITS = 512
-#: Nodes of a bucket whose pairs are made before they are tested; pairs of larger buckets are tested as they are found.
+#: Nodes of a bucket whose pairs are made before they are tested; of larger buckets only links are made.
 SMALL_BUCKET = 32
 #: What rounding may add to a bound.
 SLACK = 1e-9
@@ -145,6 +147,15 @@ def _folded(signatures: np.ndarray, width: int) -> np.ndarray:
     return signatures
 
 
+def _may_reach(only: np.ndarray, rest: np.ndarray, only_other: np.ndarray, rest_other: np.ndarray, threshold: float) -> np.ndarray:
+    """If two nodes may reach the threshold, by the weights of the shingles that one has alone and of its others at most.
+
+    Let u be the weight share of a node's shingles that the other one lacks, and v that of the other's. Their
+    probability Jaccard similarity is at most 1 / (1 + u / (1 - u) + v / (1 - v)), and just that if all shingles weigh one.
+    """
+    return only * rest_other + only_other * rest <= (1 / threshold - 1 + SLACK) * rest * rest_other
+
+
 class Facts:
     """What is known of some nodes without their shingles: how many they are, their weight, and the signatures."""
 
@@ -163,9 +174,8 @@ class Facts:
     def may_link(self, size: float, mass: float, signature: bytes, threshold: float = THRESHOLD) -> np.ndarray:
         """Which of the nodes may reach the threshold with one that has these facts; never false for a link.
 
-        Let u be the weight share of a node's shingles that the other one lacks, and v that of the other's. Their
-        probability Jaccard similarity is at most 1 / (1 + u / (1 - u) + v / (1 - v)). At least as many shingles as there are
-        different bits are in one set only, the difference of the sizes says how many in which, and each weighs one or more.
+        At least as many shingles as there are different bits are in one set only, the difference of the sizes says how many in
+        which, and each weighs one or more; see ``_may_reach``.
         """
         one = np.frombuffer(signature, _U)[None, :]
         apart = np.empty(len(self.sizes))
@@ -175,8 +185,7 @@ class Facts:
         more = size - self.sizes
         apart = np.maximum(apart, np.abs(more))
         only, only_other = (apart + more) / 2, (apart - more) / 2
-        rest, rest_other = mass - only, self.masses - only_other
-        return only * rest_other + only_other * rest <= (1 / threshold - 1 + SLACK) * rest * rest_other
+        return _may_reach(only, mass - only, only_other, self.masses - only_other, threshold)
 
 
 def node_of(doc_id: int | None, text: str | None, words: list[str]) -> bytes:
@@ -270,7 +279,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -
 def _cell_pairs(threshold: float):
     """The pairs of a cell that may link, made one left node at a time against all right ones."""
     def run(table: pa.Table) -> pa.Table:
-        left, right = table.filter(table["left"]), table.filter(pc.invert(table["left"]))
+        left, right = table.filter(table["left"]), table.filter(table["right"])
         found: tuple[list, list] = ([], [])
         if len(left) and len(right):
             known = Facts(*[right[c].to_pylist() for c in ("size", "mass", "signature")])
@@ -288,41 +297,117 @@ def _cell_pairs(threshold: float):
     return run
 
 
-def cross_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
-                small: int = SMALL_BUCKET) -> DataFrame:
-    """``a, b``, once: the pairs of nodes of different classes that share a bucket and may reach the threshold.
+def _cell_links(threshold: float):
+    """Links of a cell that join its classes as all its links would: no more than there are nodes.
 
-    One end of such a pair is outside the largest class of the bucket, so only those nodes meet all others. Buckets of up
-    to ``small`` nodes make their pairs, which are then tested. A larger one is cut into cells of about ``cell`` nodes by
-    ``cell`` nodes, each a key of its own, and makes the pairs alone that pass the test: a large family around the threshold, whose nodes
-    share most of their buckets, makes few.
+    Each left node meets all right ones of other classes. The signatures rule most out, the weights of the common shingles nearly all
+    others that are no links; the exact similarity decides. A link makes two classes one.
     """
-    classed = members.select("band", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = classed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"),
-                                      F.max("n").alias("most"), F.count("*").alias("classes")).where("classes > 1")
-    mixed = mixed.select("band", "main", "n", F.ceil(F.col("n") / cell).cast("int").alias("columns"),
-                         F.ceil((F.col("n") - F.col("most")) / cell).cast("int").alias("lines"))
-    rows = written(classed.join(mixed, "band"), "mixed")
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table["node"].to_pylist()
+        found: list[tuple[int, int]] = []
+        is_left, is_right, inner = (np.array(table[c].to_pylist(), bool) for c in ("left", "right", "inner"))
+        rights = np.flatnonzero(is_right)
+        if is_left.any() and len(rights):
+            hashes, counts = table["hashes"].combine_chunks(), table["counts"].combine_chunks()
+            ends = np.cumsum(hashes.value_lengths().to_numpy())
+            spans = [slice(start, end) for start, end in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            flat = hashes.flatten().to_numpy().view(_U)
+            weights = np.ones(len(flat), np.int32)
+            for i in np.flatnonzero(counts.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                weights[spans[i]] = counts[i].values.to_numpy()
+            different, keys = np.unique(flat, return_inverse=True)
+            number = np.zeros(len(different))
+            size, mass, signature = (table[c].to_pylist() for c in ("size", "mass", "signature"))
+            known = Facts(*[[column[i] for i in rights] for column in (size, mass, signature)])
+            masses = np.array(mass, float)
+            order, root = (np.unique(np.array(table[c].to_pylist(), object), return_inverse=True)[1] for c in ("node", "root"))
+            once = inner[rights], order[rights]
+            for i in np.flatnonzero(is_left).tolist():
+                passed = known.may_link(size[i], mass[i], signature[i], threshold) & (root[rights] != root[i])
+                others = rights[passed & (once[0] | (once[1] > order[i]))]
+                if not len(others):
+                    continue
+                number[keys[spans[i]]] = weights[spans[i]]
+                theirs = [spans[j] for j in others.tolist()]
+                first = np.cumsum([0, *(x.stop - x.start for x in theirs[:-1])])
+                common = number[np.concatenate([keys[x] for x in theirs])]
+                number[keys[spans[i]]] = 0
+                rest = np.add.reduceat(common, first)
+                rest_other = np.add.reduceat(np.concatenate([weights[x] for x in theirs]) * (common > 0), first)
+                others = others[_may_reach(masses[i] - rest, rest, masses[others] - rest_other, rest_other, threshold)]
+                while len(others):
+                    j, others = int(others[0]), others[1:]
+                    if probability_jaccard((flat[spans[i]], weights[spans[i]]), (flat[spans[j]], weights[spans[j]])) >= threshold:
+                        found.append((i, j))
+                        root[root == root[j]] = root[i]
+                        others = others[root[others] != root[i]]
+        return pa.table({c: pa.array([nodes[pair[k]] for pair in found], pa.binary()) for k, c in enumerate("ab")})
+
+    return run
+
+
+def mixed_buckets(members: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
+    """``band, node, root, main, n, columns, lines``: the members (``band, node, room``) of buckets of several classes, each with its
+    class, the largest class of the bucket, the bucket's nodes, and how many cells of this room all its nodes and those outside the largest
+    class take."""
+    classed = members.select("band", "node", "room").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = classed.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("room").alias("room"))
+    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("room", "root")).alias("main"), F.sum("n").alias("n"), F.sum("room").alias("room"),
+                                      F.max("room").alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    mixed = mixed.select("band", "main", "n", F.ceil(F.col("room") / cell).cast("int").alias("columns"),
+                         F.ceil((F.col("room") - F.col("most")) / cell).cast("int").alias("lines"))
+    return written(classed.drop("room").join(mixed, "band"), "mixed")
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """``band, line, column, node, root, inner, left, right``: rows of ``mixed_buckets`` in their cells. A node outside the largest class is
+    a left one in its line, and every node a right one in its column, so that all pairs of them meet in a cell; ``inner`` tells the largest class."""
     own = F.xxhash64("node")
+    placed = rows.withColumns({"own_line": F.pmod(own, "lines").cast("int"), "own_column": F.pmod(own, "columns").cast("int"),
+                               "inner": F.col("root") == F.col("main")})
+    left = placed.where("not inner").withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).select(
+        "band", F.col("own_line").alias("line"), "column", "node", "root", "inner", F.lit(True).alias("left"),
+        (F.col("column") == F.col("own_column")).alias("right"))
+    right = placed.withColumn("line", F.explode(F.sequence(F.lit(0), F.col("lines") - 1))).where("inner or line <> own_line").select(
+        "band", "line", F.col("own_column").alias("column"), "node", "root", "inner", F.lit(False).alias("left"), F.lit(True).alias("right"))
+    return left.union(right)
+
 
-    def sides(of: DataFrame) -> tuple[DataFrame, DataFrame]:
-        left = of.where("root <> main").withColumns({
-            "line": F.pmod(own, "lines").cast("int"), "column": F.explode(F.sequence(F.lit(0), F.col("columns") - 1))})
-        right = of.withColumns({
-            "column": F.pmod(own, "columns").cast("int"), "line": F.explode(F.sequence(F.lit(0), F.col("lines") - 1))})
-        return left, right
+def cross_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
+                small: int | None = SMALL_BUCKET) -> DataFrame:
+    """``a, b``, once: the pairs of nodes of different classes that share a bucket and may reach the threshold.
 
+    One end of such a pair is outside the largest class of the bucket, so only those nodes meet all others. Buckets of up
+    to ``small`` nodes (None: all) make their pairs, which are then tested. A larger one is cut into cells of about ``cell`` nodes by
+    ``cell`` nodes, each a key of its own, and makes the pairs alone that pass the test. These may still grow with the square of a family
+    around the threshold; where links will do, ``cross_links`` makes no more than there are nodes.
+    """
+    rows = mixed_buckets(members.withColumn("room", F.lit(1)), labels, cell)
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    little = rows.where(F.col("n") <= small)
+    little = rows if small is None else rows.where(F.col("n") <= small)
     left = little.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
     right = little.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("inner"))
     few = left.join(right, "band").where("ra <> rb and (inner or a < b)").select(*pair).distinct()
-    wide = rows.where(F.col("n") > small).join(facts(sets, "node", ""), "node")
-    left, right = (side.select("band", "line", "column", "node", "root", (F.col("root") == F.col("main")).alias("inner"), "size", "mass",
-                               "signature", F.lit(number == 0).alias("left")) for number, side in enumerate(sides(wide)))
-    many = left.union(right).groupBy("band", "line", "column").applyInArrow(_cell_pairs(threshold), "a binary, b binary")
-    return plausible(few, sets, threshold).union(many.select(*pair)).distinct()
+    few = plausible(few, sets, threshold)
+    if small is None:
+        return few
+    wide = cells(rows.where(F.col("n") > small)).join(facts(sets, "node", ""), "node")
+    many = wide.groupBy("band", "line", "column").applyInArrow(_cell_pairs(threshold), "a binary, b binary")
+    return few.union(many.select(*pair)).distinct()
+
+
+def cross_links(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+                cell: int = CELL_SHINGLES) -> DataFrame:
+    """``a, b``: links between nodes of different classes that share a bucket. With the classes of ``labels`` they join the same nodes as all
+    such links would, and a cell makes fewer of them than it has nodes, also in a large family around the threshold.
+
+    A bucket is cut into cells of about ``cell`` shingles by ``cell`` shingles, each a key of its own, which hold the sets of their nodes.
+    """
+    room = sets.select("node", (F.col("size") + NODE_SHINGLES).alias("room"))
+    rows = mixed_buckets(members.select("band", "node").join(room, "node"), labels, cell)
+    full = cells(rows).join(sets.select("node", "hashes", "counts", "size", "mass", "signature"), "node")
+    return full.groupBy("band", "line", "column").applyInArrow(_cell_links(threshold), "a binary, b binary")
 
 
 def star_pairs(members: DataFrame, heads: int = HEADS) -> DataFrame:
@@ -346,7 +431,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     and whose exact similarity is ``threshold`` or more. Classes are the components of the links. A large group of near copies
     has more links than can be looked at, and its class needs few of them: first every node is compared with the ``HEADS`` most
     central nodes that it shares a bucket with (``star_pairs``). Then all pairs that share a bucket,
-    are in different classes and may reach the threshold by an exact bound are compared (``cross_pairs``), so that no link is missed.
+    are in different classes and may reach the threshold by an exact bound are compared, those of small buckets as rows
+    (``cross_pairs``), those of large ones where they meet (``cross_links``), so that no class misses a link.
 
     ``text_key`` tells rows of a repeated doc_id apart. Repeated rows get the same class. Texts without words are alike only if equal; a null text is alone. Null ids
     don't count for the smallest id: a class of null ids has a null class_id. An empty table gives no rows.
@@ -357,14 +443,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(placed.join(shared, "band"), "buckets")
     weights = sized.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = written(sized.join(weights, "node").select("band", "node", "weight"), "members")
+    members = written(sized.join(weights, "node").select("band", "node", "weight", "n"), "members")
     wanted = nodes.select("node", "doc_id").join(members.select("node"), "node", "left_semi")
     sets = shingle_sets(docs, written(wanted, "wanted"), size)
     tried = written(plausible(star_pairs(members), sets, threshold), "pairs")
     links = written(verified(tried, sets, threshold), "links")
     labels = components(links)
-    rest = written(cross_pairs(members, sets, labels, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = written(verified(rest, sets, threshold), "links")
+    little, wide = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
+    rest = written(cross_pairs(little, sets, labels, threshold, small=None).join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = written(verified(rest, sets, threshold).union(cross_links(wide, sets, labels, threshold)), "links")
     if not found.isEmpty():
         labels = components(links.union(found))
 

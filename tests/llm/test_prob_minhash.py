@@ -208,3 +208,49 @@ def test_a_large_family_makes_few_cross_pairs(spark):
         patch.setattr(p, "verified", counted)
         assert listed(p.near_duplicates(docs)) == sorted(brute_classes(list(enumerate(texts))), key=str)
     assert seen[1] < 2 * len(texts)
+
+
+@pytest.mark.parametrize("cell", [700, 1 << 20])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_cross_links_join_what_all_links_join(spark, cell, weighted):
+    rng = random.Random(7)
+    every = near_threshold(rng, weighted)
+    names = [bytes([i]) for i in range(len(every))]
+    members = [(band, n) for n in names for band in rng.sample(range(6), 3)]
+    root = {n: names[i // 12 * 12] if rng.random() < 0.4 else n for i, n in enumerate(names)}
+    labels = spark.createDataFrame([(n, r) for n, r in root.items() if n != r], "node binary, root binary")
+    rows = [(n, h.astype(np.int64).tolist(), c.tolist() if c.max() > 1 else None, len(h), int(c.sum()), p.parity(h)) for n, (h, c) in zip(names, every)]
+    sets = spark.createDataFrame(rows, "node binary, hashes array<long>, counts array<int>, size long, mass long, signature binary")
+    found = p.cross_links(spark.createDataFrame(members, "band long, node binary"), sets, labels, cell=cell)
+    got = [(bytes(r.a), bytes(r.b)) for r in found.collect()]
+    bands = {n: {b for b, m in members if m == n} for n in names}
+    links = [(a, b) for a in names for b in names if a < b and root[a] != root[b] and bands[a] & bands[b]
+             and p.probability_jaccard(every[a[0]], every[b[0]]) >= 0.8]
+    assert links and {(min(x), max(x)) for x in got} <= set(links) and len(got) < len(members)
+
+    def joined(more):
+        rows = [(a, b) for a, b in [*root.items(), *more] if a != b]
+        return {(bytes(a), bytes(b)) for a, b in listed(components(spark.createDataFrame(rows, "a binary, b binary")))}
+    assert joined(got) == joined(links) != joined([])
+
+
+def test_two_families_closely_below_the_threshold_make_rows_for_their_nodes(spark, monkeypatch):
+    """Every text of one is 0.7994 like every text of the other: no table between has more rows than the texts have bands."""
+    texts = []
+    for i in range(160):
+        words = [f"w{k}" for k in range(300)]
+        for at in (10, 20, 30, 2) if i % 2 else (40, 50, 60):
+            words[at] = f"x{i} {at}".replace(" ", "x")
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+
+    def counted(frame, label, real=p.written):
+        out = real(frame, label)
+        if label in ("pairs", "links"):
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(p, "written", counted)
+    assert listed(p.near_duplicates(docs)) == sorted(((i, i % 2) for i in range(160)), key=str)
+    assert max(seen) < p.BANDS * len(texts)
