@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import byte_bpe, decontaminate, prob_minhash, robust_outliers, secret_links
 from quillon.llm.queries import RANKS
-from quillon.llm.tables import written
+from quillon.llm.tables import small_batches, written
 from quillon.session import load
 
 
@@ -41,7 +41,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document, a row each, repeated ones too. A null text is empty."""
-    return byte_bpe.token_digests(docs, RANKS)
+    with small_batches(spark):
+        return written(byte_bpe.token_digests(docs, RANKS), "tokens")
 
 
 STAGES = [

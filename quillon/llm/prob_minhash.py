@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.tables import with_python, written
+from quillon.llm.tables import small_batches, with_python, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -437,6 +437,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_W
     ``text_key`` tells rows of a repeated doc_id apart. Repeated rows get the same class. Texts without words are alike only if equal; a null text is alone. Null ids
     don't count for the smallest id: a class of null ids has a null class_id. An empty table gives no rows.
     """
+    with small_batches(docs.sparkSession):
+        return _classes(docs, threshold, size)
+
+
+def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     drawn = written(sketches(docs, size), "sketches")
     nodes = written(drawn.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
     placed = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))

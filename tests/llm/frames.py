@@ -29,3 +29,25 @@ def no_documents(spark):
 
 def listed(df, *columns):
     return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=str)
+
+
+def wide_documents(spark, n=1500):
+    """One partition of 6 MB, which are one Arrow batch by the count of rows."""
+    from pyspark.sql import functions as F
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.concat(F.lit("w"), F.col("id") * 1000 + i)))
+    return spark.range(n).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"),
+                                 F.length(words).cast("long").alias("n_chars")).coalesce(1)
+
+
+def bounded(with_python, most=2_000_000):
+    """``with_python`` whose function raises on a batch of more characters."""
+    def checked(df, inputs, outputs, function, keep=None):
+        def run(*columns):
+            n = sum(len(x) for c in columns for x in c if isinstance(x, str))
+            if n > most:
+                raise ValueError(f"{n} characters in a batch")
+            return function(*columns)
+
+        return with_python(df, inputs, outputs, run, keep)
+
+    return checked

@@ -9,7 +9,7 @@ import corpus_pipeline
 from quillon.llm import byte_bpe, decontaminate, prob_minhash, robust_outliers, secret_links
 from quillon.llm.queries import QUERIES, RANKS
 from quillon.session import TABLES
-from tests.llm.frames import listed, odd_documents
+from tests.llm.frames import bounded, listed, odd_documents, wide_documents
 from tools.compare import table
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,9 @@ def test_stages_take_no_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, SF)
         assert at.count() == 0
+
+
+def test_tokens_are_made_of_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "with_python", bounded(byte_bpe.with_python))
+    docs = wide_documents(spark)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 1500

@@ -5,7 +5,7 @@ import pytest
 
 from quillon.llm import prob_minhash as p
 from quillon.llm.components import components
-from tests.llm.frames import listed, no_documents, odd_documents
+from tests.llm.frames import bounded, listed, no_documents, odd_documents, wide_documents
 
 
 def sets(rng, n, share):
@@ -254,3 +254,12 @@ def test_two_families_closely_below_the_threshold_make_rows_for_their_nodes(spar
     monkeypatch.setattr(p, "written", counted)
     assert listed(p.near_duplicates(docs)) == sorted(((i, i % 2) for i in range(160)), key=str)
     assert max(seen) < p.BANDS * len(texts)
+
+
+def test_texts_go_to_python_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(p, "with_python", bounded(p.with_python))
+    docs = wide_documents(spark)
+    docs = docs.union(docs.where("doc_id < 100").withColumn("doc_id", docs.doc_id + 10_000)).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    assert p.keep_one(docs).count() == 1500
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before

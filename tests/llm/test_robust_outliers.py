@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import robust_outliers
 from quillon.llm.text_stats import text_stats
-from tests.llm.frames import listed, no_documents, odd_documents
+from tests.llm.frames import bounded, listed, no_documents, odd_documents, wide_documents
 
 
 def brute_counts(text):
@@ -189,3 +189,10 @@ def test_odd_rows(spark):
 def test_no_documents(spark):
     assert robust_outliers.verdicts(no_documents(spark)).count() == 0
     assert robust_outliers.filter_documents(no_documents(spark)).count() == 0
+
+
+def test_texts_are_counted_once_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(robust_outliers, "with_python", bounded(robust_outliers.with_python))
+    plan = robust_outliers.filter_documents(wide_documents(spark))
+    assert plan.count() > 0
+    assert "MapInArrow" not in plan._jdf.queryExecution().toString()
